@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 WORD_CACHE = 300_000
 #: Buckets for :func:`split_by_ids`: what is broadcast has this many rows of one long at most.
 ID_BUCKETS = 1 << 20
+#: While a table is written, its shuffle files go as soon as it is there.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _S29, _S32 = np.uint64(29), np.uint64(32)
@@ -93,7 +95,12 @@ class Table:
         self.spark = df.sparkSession
         self.path = f"{shared_dir(self.spark)}/tables/{name}-{uuid.uuid4().hex}"
         self.schema = df.schema
-        df.write.parquet(self.path)
+        before = self.spark.conf.get(_CLEAN)
+        self.spark.conf.set(_CLEAN, "true")
+        try:
+            df.write.parquet(self.path)
+        finally:
+            self.spark.conf.set(_CLEAN, before)
 
     @property
     def df(self) -> DataFrame:
