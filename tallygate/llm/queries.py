@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontamination, jaccard_join, lm_scoring, packing, pii, quality, substring_dedup
+from . import decontamination, jaccard_join, licences, lm_scoring, packing, pii, quality, quality_rules, substring_dedup, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +25,11 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary(), size=2048, end=1)
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listed = url_filter.rules(block=["com/en/", "example.net/de/8", "org/es/"], allow=["example.com/en/7", "net/de/"])
+    return url_filter.filter_urls(table(spark, sf_dir, "pages"), listed).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal_data(table(spark, sf_dir, "documents"))
 
@@ -44,13 +50,24 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = quality_rules.apply_policy(quality_rules.ledger(table(spark, sf_dir, "documents")), "v2")
+    base = F.col("failed").bitwiseAND(F.lit(quality_rules.mask("base")).cast("long")) != 0
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept", "failed")
+
+
+def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan_licences(table(spark, sf_dir, "documents"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=13)
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_packing, op3_personal_data, op4_quality, op5_lm_score, op6_jaccard_join, op7_decontamination, op10_substring_dedup)
+    f.__name__: f
+    for f in (op1_packing, op2_url_filter, op3_personal_data, op4_quality, op5_lm_score, op6_jaccard_join, op7_decontamination, op8_quality_rules, op9_licences, op10_substring_dedup)
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -68,7 +85,42 @@ def _shingles(key: str, name: str, k: int) -> str:
         WHERE len(w) > 0"""
 
 
+def _quote(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _canonical(text: str) -> str:
+    """SQL for the canonical form of a licence text."""
+    x = f"translate(coalesce({text}, ''), '{licences.UPPER}', '{licences.LOWER}')"
+    x = f"regexp_replace({x}, {_quote(licences.COPYRIGHT)}, chr(10), 'g')"
+    x = f"trim(regexp_replace(translate({x}, {_quote(licences.PUNCTUATION)}, repeat(' ', {len(licences.PUNCTUATION)})), ' +', ' ', 'g'))"
+    for a, b in licences.SPELLINGS:
+        x = f"regexp_replace({x}, '\\b{a}(s?)\\b', '{b}\\1', 'g')"
+    return x
+
+
+_BITS = " + ".join(f"CASE WHEN {rule} THEN {1 << k} ELSE 0 END" for k, (_, rule) in enumerate(quality_rules.RULES))
+_HELD = lambda m: f"(failed & {m}) <> 0"
+
 ORACLE: dict[str, str] = {
+    "op8_quality_rules": f"""
+        WITH t AS MATERIALIZED (SELECT doc_id, coalesce(text, '') AS s, {_words("coalesce(text, '')")} AS w,
+            list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM documents),
+        v AS (SELECT doc_id, i, array_to_string(w[i : i + 4], ' ') AS g FROM t, unnest(range(1, len(w) - 3)) u(i)),
+        r AS (SELECT doc_id, g FROM v GROUP BY ALL HAVING count(*) > 1),
+        c AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM v JOIN r USING (doc_id, g), unnest(range(0, 5)) u(j) GROUP BY doc_id),
+        m AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+            (length(s) - length(translate(s, '{quality_rules.SYMBOLS}', '')))::BIGINT AS n_symbols,
+            (length(s) - length(translate(s, '{licences.UPPER}', '')))::BIGINT AS n_upper,
+            len(l)::BIGINT AS n_lines, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words
+            FROM t LEFT JOIN c USING (doc_id)),
+        f AS (SELECT *, ({_BITS})::BIGINT AS failed FROM m)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+            {_HELD(quality_rules.mask("base"))} AS base_failed, NOT {_HELD(quality_rules.mask("v2"))} AS kept, failed FROM f""",
+    "op9_licences": f"""
+        WITH k AS (SELECT sha256({_canonical("t")}) AS d, min(id) AS license_id FROM (VALUES {", ".join(f"({_quote(i)}, {_quote(t)})" for i, t in licences.KNOWN)}) v(id, t) GROUP BY d),
+        x AS (SELECT doc_id, sha256({_canonical("text")}) AS digest FROM documents)
+        SELECT doc_id, digest, license_id FROM x LEFT JOIN k ON digest = d""",
     "op6_jaccard_join": f"""
         WITH RECURSIVE s AS MATERIALIZED ({_shingles("doc_id", "documents", 4)}),
         n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
