@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import WordHash, lean, shingle_set, texts
+from .shared import WordHash, lean, shingle_set, small, texts
 
 #: Bytes of item texts that are broadcast at a time. More items make more blocks, each one more pass.
 BLOCK_BYTES = 16 << 20
@@ -65,7 +65,7 @@ class Index:
 
 def _search(batches: Iterator[pa.RecordBatch], index, k: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
     cache, at = WordHash(), index.value
-    for batch in batches:
+    for batch in small(batches):
         rows = []
         for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts(batch), strict=True):
             words = text.lower().split()

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .shared import lean
+from .shared import lean, small
 
 COLUMNS = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
@@ -143,7 +143,7 @@ def _pack(batches: Iterator[pa.RecordBatch], path: str, size: int, end: int) ->
         rows.clear()
         return out
 
-    for batch in batches:
+    for batch in small(batches):
         for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
             ids = encoder.encode(text or "") + tail
             placed(packer.add(Piece(doc_id, 0, ids, len(ids) // 4)))

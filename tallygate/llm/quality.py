@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Table, fold_arrays, lean, pack_array, texts
+from .shared import Table, fold_arrays, lean, pack_array, small, texts
 
 #: Statistics of a text, in this order; all are transformed to be roughly bell-shaped.
 FEATURES = ("log_words", "word_bytes", "upper", "digit", "symbol", "punctuation", "distinct_words", "repeated_pairs", "repeated_lines", "line_words", "bars", "top_word", "bang")
@@ -60,7 +60,7 @@ def statistics(text: bytes) -> list[float]:
 
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small(batches):
         x = np.array([statistics(t) for t in texts(batch)]).reshape(-1, len(FEATURES))
         ids = batch.column("doc_id").to_pylist()
         crc = [None if i is None else zlib.crc32(str(i).encode()) for i in ids]

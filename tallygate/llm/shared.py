@@ -62,6 +62,13 @@ def texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     return [x or b"" for x in batch.column(name).cast(pa.large_binary()).to_pylist()]
 
 
+def small(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The batches in slices, so that what a task makes of one stays small."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def lean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only doc_id (long) and text (string), so that further columns and their names play no part."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -125,11 +132,12 @@ def fold_arrays(df: DataFrame, dtype, add: Callable, zero: np.ndarray) -> np.nda
     All arrays have the fixed length of ``zero``, so what reaches the driver doesn't grow.
     """
     parts = df.rdd.map(lambda r: np.frombuffer(zlib.decompress(r[0]), dtype)).mapPartitions(lambda it: _fold(it, add))
-    n = max(1, parts.getNumPartitions())
     depth = 1
-    while n > 16**depth:
+    while parts.getNumPartitions() > 16**depth:
         depth += 1
-    return zero if parts.isEmpty() else add(zero, parts.treeReduce(add, depth + 1))
+    both = lambda a, b: b if a is None else a if b is None else add(a, b)
+    total = parts.treeAggregate(None, both, both, depth + 1)
+    return zero if total is None else add(zero, total)
 
 
 def _fold(it: Iterator[np.ndarray], add: Callable) -> Iterator[np.ndarray]:

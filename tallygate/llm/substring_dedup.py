@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Table, WordHash, fold_arrays, lean, pack_array, shingles, split_by_ids, texts
+from .shared import Table, WordHash, fold_arrays, lean, pack_array, shingles, small, split_by_ids, texts
 
 #: Bits of the table of short windows seen in two documents or more: 8 MB at any input size. Where it
 #: fills up, it lets more windows through to the exact second level; results don't change.
@@ -41,7 +41,7 @@ def _pairs(ids: list, parts: list[np.ndarray]) -> pa.RecordBatch:
 def _windows(batches: Iterator[pa.RecordBatch], length: int, seed: int, repeated) -> Iterator[pa.RecordBatch]:
     """Seeds of the documents, or with ``repeated`` given, the full windows whose seed is marked there."""
     cache = WordHash()
-    for batch in batches:
+    for batch in small(batches):
         ids, parts = [], []
         for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts(batch), strict=True):
             words = text.split()
@@ -79,7 +79,7 @@ def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _strip(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """Drop the words covered by the windows listed in ``gone``."""
     cache = WordHash()
-    for batch in batches:
+    for batch in small(batches):
         n, removed, kept = [], [], []
         lists = batch.column("gone").to_pylist() if "gone" in batch.schema.names else [None] * batch.num_rows
         for text, gone in zip(texts(batch), lists, strict=True):
