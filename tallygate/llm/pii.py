@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .boosting import Trees, fit_trees
-from .shared import lean
+from .shared import lean, small
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -175,7 +175,8 @@ def examples(seed: int, count: int) -> Iterator[tuple[str, str, int, int, int]]:
             s = "".join(digit(1) if c == "#" else c for c in form)
             return r.choice(["order ", "serial ", "isbn ", "", word() + " "]), s
         form = r.choice(["20##-##-##", "##.##.20##", "##/##/20##", "### - ###", "#### ####", "## ##", "###.###", "19## 20##", "## ### ###", "###-#-###-#####-#", "### ###-####"])
-        return r.choice(["order ", "isbn ", "version ", "date ", "", word() + " ", "table ", "total $"]), "".join(digit(1) if c == "#" else c for c in form)
+        near = ["call on ", "phone of ", "mobile, "] if "20##" in form or "19##" in form else []
+        return r.choice(["order ", "isbn ", "version ", "date ", "", word() + " ", "table ", "total $", *near]), "".join(digit(1) if c == "#" else c for c in form)
 
     for _ in range(count):
         kind, label = r.choice(KINDS), r.randint(0, 1)
@@ -231,7 +232,7 @@ def redact(text: str, spans: list[tuple[str, int, int]]) -> str:
 
 
 def _find(batches: Iterator[pa.RecordBatch], model: tuple[Trees, dict[str, float]], clean: bool) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small(batches):
         rows, clear = [], []
         for text in batch.column("text").to_pylist():
             base, found = all_spans(text or "", *model)
@@ -264,7 +265,7 @@ def find_personal_data(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
 
 def _replace(batches: Iterator[pa.RecordBatch], model: tuple[Trees, dict[str, float]], text_col: str) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small(batches):
         at = batch.schema.get_field_index(text_col)
         clear = [t if t is None or not (found := all_spans(t, *model)[1]) else redact(t, found) for t in batch.column(at).to_pylist()]
         yield batch.set_column(at, batch.schema.field(at), pa.array(clear, batch.schema.field(at).type))
