@@ -5,9 +5,10 @@ Exact self-join of the documents' word-shingle sets at a Jaccard threshold, repo
 * Copies: a set is named by the digest of its members. Copies share the name, so they are one set.
 * Index: shingles are ordered from rare to common by a fixed-size table of bucket counts over all
   documents (any order gives exact results; this one keeps the lists short). Two sets that link
-  share a shingle among the first ``probe`` ones of the larger and the first ``index`` ones of the
-  smaller. Lists are cut into blocks by set size; a list entry whose position lies too deep for the
-  overlap that its block still allows is skipped.
+  share SHARED shingles among the first ones of either, fewer of the smaller set than of the larger.
+  Lists are cut into blocks by set size; an entry whose position lies too deep for the overlap that
+  a partner of the block needs is skipped. So is a pair whose parities differ in more cells than
+  the two sets may differ in shingles.
 * Derived answers: in every block each set is first verified against one set only, the block's
   least. A set found similar takes over that set's answers, that is, its component. Only pairs of
   sets in different components, not verified before, are looked at in the second round. So a group
@@ -25,34 +26,42 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Table, WordHash, components, fold_arrays, lean, pack_array, shingle_set, split_by_ids, texts
+from .shared import Table, WordHash, components, fold_arrays, lean, pack_array, shingle_set, small, split_by_ids, texts
 
 #: Buckets of the table of shingle counts, which fixes the order of the index; 8 MB at any input size.
 COUNT_BUCKETS = 1 << 21
 #: Sets whose shingles a task need not write again (copies); forgotten and begun anew when full.
 SEEN_SETS = 500_000
 
-_SETS = "doc_id long, n_shingles long, set_id long, counts binary"
+#: Shingles that a pair must share in the index before its sets are compared.
+SHARED = 3
+_CELLS = 256
+
+_PARITY = ["b0", "b1", "b2", "b3"]
+_SETS = "doc_id long, n_shingles long, set_id long, b0 long, b1 long, b2 long, b3 long, counts binary"
 _POSTINGS = "token long, set_id long, n int, pos int"
 
 
 def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    """The sets of the documents by name, with their parities; and one row of bucket counts for each task."""
     cache, counts = WordHash(), np.zeros(COUNT_BUCKETS, np.uint32)
-    for batch in batches:
-        n, ids = [], []
+    names = ["doc_id", "n_shingles", "set_id", *_PARITY, "counts"]
+    for batch in small(batches):
+        n, ids, parity = [], [], []
         for text in texts(batch):
             s = shingle_set(cache.array(text.lower().split()), words)
             n.append(len(s))
             ids.append(_set_id(s))
-            np.add.at(counts, (s & np.uint64(COUNT_BUCKETS - 1)).astype(np.int64), 1) if len(s) < 64 else _tally(counts, s)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.int64()), pa.nulls(len(n), pa.binary())], names=["doc_id", "n_shingles", "set_id", "counts"])
+            parity.append(np.packbits(np.bincount((s >> np.uint64(32)).astype(np.int64) & (_CELLS - 1), minlength=_CELLS) & 1).tobytes())
+            np.add.at(counts, _bucket(s), np.uint32(1))
+        bits = np.frombuffer(b"".join(parity), np.int64).reshape(-1, 4)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.int64()), *(pa.array(bits[:, j]) for j in range(4)), pa.nulls(len(n), pa.binary())], names=names)
     if counts.any():
-        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([pack_array(counts)], pa.binary())], names=["doc_id", "n_shingles", "set_id", "counts"])
+        yield pa.RecordBatch.from_arrays([*(pa.nulls(1, pa.int64()) for _ in names[:-1]), pa.array([pack_array(counts)], pa.binary())], names=names)
 
 
-def _tally(counts: np.ndarray, s: np.ndarray) -> None:
-    b, c = np.unique(s & np.uint64(COUNT_BUCKETS - 1), return_counts=True)
-    counts[b.astype(np.int64)] += c.astype(np.uint32)
+def _bucket(s: np.ndarray) -> np.ndarray:
+    return (s & np.uint64(COUNT_BUCKETS - 1)).astype(np.int64)
 
 
 def _set_id(s: np.ndarray) -> int | None:
@@ -61,7 +70,7 @@ def _set_id(s: np.ndarray) -> int | None:
 
 def _postings(batches: Iterator[pa.RecordBatch], words: int, num: int, den: int, counts) -> Iterator[pa.RecordBatch]:
     cache, order, seen = WordHash(), counts.value, set()
-    for batch in batches:
+    for batch in small(batches):
         out: list[tuple[np.ndarray, int, int]] = []
         for text in texts(batch):
             s = shingle_set(cache.array(text.lower().split()), words)
@@ -71,8 +80,8 @@ def _postings(batches: Iterator[pa.RecordBatch], words: int, num: int, den: int,
             if len(seen) >= SEEN_SETS:
                 seen.clear()
             seen.add(set_id)
-            probe = n + num * n // -den + 1
-            rank = order[(s & np.uint64(COUNT_BUCKETS - 1)).astype(np.int64)]
+            probe = n + num * n // -den + SHARED
+            rank = order[_bucket(s)]
             out.append((s[np.argsort(rank, kind="stable")[:probe]], set_id, n))
         if out:
             sizes = [len(x[0]) for x in out]
@@ -84,13 +93,13 @@ def _postings(batches: Iterator[pa.RecordBatch], words: int, num: int, den: int,
 
 def _members(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     cache = WordHash()
-    for batch in batches:
+    for batch in small(batches):
         sets = [shingle_set(cache.array(t.lower().split()), words) for t in texts(batch)]
         yield pa.RecordBatch.from_arrays([pa.array([_set_id(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["set_id", "members"])
 
 
 def _verify(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small(batches):
         links = []
         for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
             p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
@@ -124,34 +133,51 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     named = table.df.where("counts is null").select("doc_id", "n_shingles", "set_id")
     counts = spark.sparkContext.broadcast(fold_arrays(table.df.where("counts is not null").select("counts"), np.uint32, np.add, np.zeros(COUNT_BUCKETS, np.uint32)))
     postings = Table(docs.mapInArrow(lambda it: _postings(it, words, num, den, counts), _POSTINGS), "postings")
+    first = table.df.where("set_id is not null and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), *(F.first(b).alias(b) for b in _PARITY))
 
     # Blocks: sets of one block differ in size by the threshold at most; a pair's larger set lies in the block of the smaller or the next.
     block = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num) + 1e-9)).cast("int")
-    cut = F.col("n") - F.ceil(F.col("n") * (2 * num) / (num + den) - 1e-9) + 1
+    cut = F.col("n") - F.ceil(F.col("n") * (2 * num) / (num + den) - 1e-9) + SHARED
     shared = postings.df.groupBy("token").agg(F.min("set_id").alias("lo"), F.max("set_id").alias("hi")).where("lo < hi").select("token")
-    active = Table(postings.df.join(shared, "token", "left_semi").groupBy("token", "set_id").agg(F.first("n").alias("n"), F.first("pos").alias("pos")).withColumns({"block": block, "indexed": F.col("pos") < cut}), "active")
+    active = postings.df.join(shared, "token", "left_semi").groupBy("token", "set_id").agg(F.first("n").alias("n"), F.first("pos").alias("pos"))
+    active = Table(active.join(first.drop("doc_id"), "set_id").withColumns({"block": block, "indexed": F.col("pos") < cut}), "active")
     postings.drop()
 
-    first = named.where("set_id is not null and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
-    wanted = first.join(active.df.select("set_id").distinct(), "set_id", "left_semi").select("doc_id")
-    maybe, _ = split_by_ids(docs, wanted)
-    chosen = maybe.join(wanted, "doc_id", "left_semi")
-    sets = Table(chosen.mapInArrow(lambda it: _members(it, words), "set_id long, members binary").dropDuplicates(["set_id"]), "members")
-
     def candidates(a: DataFrame, b: DataFrame, more) -> DataFrame:
+        """(a, b) of the sets that may link, each pair once."""
         need = F.ceil((F.col("na") + F.col("nb")) * num / (num + den) - 1e-9)
         near = (F.col("nb") * num <= F.col("na") * den) & (F.col("na") * num <= F.col("nb") * den)
-        deep = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= need
-        return a.join(b, ["token", "key"]).where(near & deep & more).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-    entry = lambda s, *extra: [F.col("set_id").alias(s), F.col("n").alias(f"n{s}"), F.col("pos").alias(f"p{s}"), *extra]
-    small = lambda df, *extra: df.where("indexed").select("token", *entry("a", *extra), F.explode(F.array(F.col("block"), F.col("block") + 1)).alias("key"))
-    large = lambda df, *extra: df.select("token", *entry("b", *extra), F.col("block").alias("key"))
+        deep = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) + SHARED - 1 >= need
+        odd = sum((F.bit_count(F.col(f"{x}a").bitwiseXOR(F.col(f"{x}b"))) for x in _PARITY[1:]), F.bit_count(F.col("b0a").bitwiseXOR(F.col("b0b"))))
+        met = a.join(b, ["token", "key"]).where(near & deep & more & (odd <= F.col("na") + F.col("nb") - 2 * need))
+        pairs = met.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count("*").alias("k"), F.first(need).alias("need"))
+        return pairs.where(F.col("k") >= F.least(F.col("need"), F.lit(SHARED))).select("a", "b")
+
+    def verified(pairs: DataFrame) -> Table:
+        """(a, b, linked), by the sets of the documents in question alone."""
+        used = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct()
+        wanted = Table(first.join(used, "set_id", "left_semi").select("doc_id"), "wanted")
+        maybe, _ = split_by_ids(docs, wanted.df)
+        chosen = maybe.join(wanted.df, "doc_id", "left_semi")
+        sets = Table(chosen.mapInArrow(lambda it: _members(it, words), "set_id long, members binary").dropDuplicates(["set_id"]), "members")
+        out = Table(_links(pairs, sets.df, num, den), "verified")
+        for t in (wanted, sets):
+            t.drop()
+        return out
+
+    def entry(df: DataFrame, s: str, *extra) -> DataFrame:
+        return df.select("token", F.col("set_id").alias(s), F.col("n").alias(f"n{s}"), F.col("pos").alias(f"p{s}"), *(F.col(x).alias(f"{x}{s}") for x in _PARITY), *extra)
+
+    lesser = lambda df, *extra: entry(df.where("indexed"), "a", *extra, F.explode(F.array(F.col("block"), F.col("block") + 1)).alias("key"))
+    larger = lambda df, *extra: entry(df, "b", *extra, F.col("block").alias("key"))
 
     # First round: against the least set of each block, one pair for each list entry at most.
-    rows = small(active.df)
-    least = rows.groupBy("token", "key").agg(F.min(F.struct("a", "na", "pa")).alias("x")).select("token", "key", "x.*")
-    tried = Table(_links(candidates(least, large(active.df), F.col("a") != F.col("b")), sets.df, num, den), "tried")
+    rows = lesser(active.df)
+    fields = [c for c in rows.columns if c not in ("token", "key")]
+    least = rows.groupBy("token", "key").agg(F.min(F.struct(*fields)).alias("x")).select("token", "key", "x.*")
+    pairs = Table(candidates(least, larger(active.df), F.col("a") != F.col("b")), "pairs")
+    tried = verified(pairs.df)
+    pairs.drop()
     reached = Table(components(tried.df.where("linked").select("a", "b")), "reached")
 
     # Second round: only lists that still hold different components, only pairs across them, each once.
@@ -159,15 +185,16 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     open_ = comp.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("token")
     comp = Table(comp.join(open_, "token", "left_semi"), "open")
     active.drop()
-    across = candidates(small(comp.df, F.col("root").alias("ra")), large(comp.df, F.col("root").alias("rb")), F.col("ra") != F.col("rb"))
-    fresh = across.join(tried.df.select("a", "b"), ["a", "b"], "left_anti")
-    links = Table(_links(fresh, sets.df, num, den).where("linked").select("a", "b").union(reached.df.select(F.col("node").alias("a"), F.col("root").alias("b"))), "links")
-    for t in (tried, reached, comp, sets):
+    across = candidates(lesser(comp.df, F.col("root").alias("ra")), larger(comp.df, F.col("root").alias("rb")), (F.col("ra") != F.col("rb")) & (F.struct("na", "a") < F.struct("nb", "b")))
+    pairs = Table(across.join(tried.df.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+    fresh = verified(pairs.df)
+    links = Table(fresh.df.where("linked").select("a", "b").union(reached.df.select(F.col("node").alias("a"), F.col("root").alias("b"))), "links")
+    for t in (pairs, fresh, tried, reached, comp):
         t.drop()
     roots = components(links.df.where("a <> b"))
 
     # A component is named by its least document.
-    class_of = first.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").select("set_id", "doc_id", F.coalesce("root", "set_id").alias("root"))
+    class_of = first.select("set_id", "doc_id").join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").select("set_id", "doc_id", F.coalesce("root", "set_id").alias("root"))
     name = class_of.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     class_of = Table(class_of.join(name, "root").select("set_id", "component_id"), "classes")
     links.drop()
