@@ -100,5 +100,3 @@ def key() -> Column:
     """Rows of one id share a key; a row without id has its own."""
     return F.when(F.col("id").isNotNull(), F.concat(F.lit("i"), "id")).otherwise(F.concat(F.lit("l"), F.col("line").cast("string")))
 
-
-__all__ = ["difference", "effective_outcome", "failed", "finite", "key", "match_error", "matches", "points2", "raise_error", "row_error", "trials"]

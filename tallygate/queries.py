@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from .functions import numeric
 from .operators import graph, netting, resample
-from .operators.trials import matches
 from .plans import compare as comparisons
 from .plans import matrix as matrices
 from .plans import power, recommend
@@ -317,5 +316,3 @@ for _name, _make in {
     "sprt_asn": lambda spark, sf_dir: power.sprt_trials(SprtConfig(0, 20), horizon=3000, spark=spark),
 }.items():
     _report_query(_name, _make)
-
-__all__ = ["ORACLE", "QUERIES", "matches"]
