@@ -9,8 +9,8 @@ Exact self-join of the documents' word-shingle sets at a Jaccard threshold, repo
   Lists are cut into blocks by set size; an entry whose position lies too deep for the overlap that
   a partner of the block needs is skipped. So is a pair whose parities differ in more cells than
   the two sets may differ in shingles.
-* Derived answers: in every block each set is first verified against one set only, the block's
-  least. A set found similar takes over that set's answers, that is, its component. Only pairs of
+* Derived answers: in every block each set is first verified against one set only, the one in which
+  the shingle stands first, which so has the fewest shingles of its own. A set found similar takes over that set's answers, that is, its component. Only pairs of
   sets in different components, not verified before, are looked at in the second round. So a group
   of mutually similar sets costs its size, not the square of it, and no link between components is
   lost.
@@ -171,11 +171,11 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     lesser = lambda df, *extra: entry(df.where("indexed"), "a", *extra, F.explode(F.array(F.col("block"), F.col("block") + 1)).alias("key"))
     larger = lambda df, *extra: entry(df, "b", *extra, F.col("block").alias("key"))
 
-    # First round: against the least set of each block, one pair for each list entry at most.
+    # First round: against one set of each block, one pair for each list entry at most.
     rows = lesser(active.df)
-    fields = [c for c in rows.columns if c not in ("token", "key")]
-    least = rows.groupBy("token", "key").agg(F.min(F.struct(*fields)).alias("x")).select("token", "key", "x.*")
-    pairs = Table(candidates(least, larger(active.df), F.col("a") != F.col("b")), "pairs")
+    fields = ["pa", "a", *(c for c in rows.columns if c not in ("token", "key", "pa", "a"))]
+    central = rows.groupBy("token", "key").agg(F.min(F.struct(*fields)).alias("x")).select("token", "key", "x.*")
+    pairs = Table(candidates(central, larger(active.df), F.col("a") != F.col("b")), "pairs")
     tried = verified(pairs.df)
     pairs.drop()
     reached = Table(components(tried.df.where("linked").select("a", "b")), "reached")
