@@ -4,8 +4,8 @@ Plain patterns give the base spans. Generators of high recall then propose furth
 in forms that the patterns don't cover (written-out addresses, numbers without a plus, other
 separators); boosted trees judge each by its format and context, and those above a threshold of its
 kind are added where they meet no base span. There are no labelled spans to learn from, so the trees
-are trained on examples that :func:`examples` composes from the kinds of numbers and phrases named
-there, and each threshold is calibrated on further ones to let through one false span in 200 at most.
+are trained on examples that :func:`examples` and :func:`further_examples` compose from the kinds of numbers and phrases
+named there, and each threshold is calibrated on further ones to let through one false span in 200 at most.
 """
 
 from __future__ import annotations
@@ -81,13 +81,20 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 _GENERATORS = (
     ("email", re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}\s?(?:[\[({]\s?at\s?[\])}]|\bat\b|@)\s?[A-Za-z0-9-]{1,63}(?:\s?(?:[\[({]\s?dot\s?[\])}]|\bdot\b|\.)\s?[A-Za-z0-9-]{2,63}){1,3}", re.I)),
-    ("ip", re.compile(r"(?<![\w.])[0-9]{1,3}(?:\s?(?:[\[({]\.[\])}]|[\[({]dot[\])}])\s?[0-9]{1,3}){3}(?![\w])")),
+    ("ip", re.compile(r"(?<![\w.])[0-9]{1,3}(?:\s?[\[({]\s?(?:\.|dot)\s?[\])}]\s?[0-9]{1,3}){3}(?![\w])", re.I)),
     ("ip", re.compile(r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){3,7}[0-9A-Fa-f]{1,4}(?![\w:])")),
     ("card", re.compile(r"(?<![\w])[0-9]{4}(?:[ ._/ ‐-―-]{1,2}[0-9]{2,6}){2,4}(?![\w])")),
     ("phone", re.compile(r"(?<![\w+.])(?:\(?00[0-9]{1,3}\)?[ ./-]?)?\(?[0-9]{2,5}\)?(?:[ ./-]{1,2}[0-9]{2,5}){1,4}(?![\w.])")),
 )
-# A generator looks only at texts that hold one of these (ASCII-lower-cased).
-_HINTS = (("(at", "[at", "{at", "[dot", "(dot", "{dot", " dot "), ("[.]", "(.)", "{.}", "dot"), ("::", ":"), None, None)
+# The end of each match of the first generator, from its at sign on, in a form that is quick to search for; the letters
+# beyond ASCII are those that re.I takes for ASCII ones.
+_LABEL = "A-Za-z\u0130\u0131\u017f\u212a0-9-"
+_AT = re.compile(
+    r"[@\[({Aa](?:(?<=@)|(?<=[\[({])\s?[Aa][Tt]\s?[\])}]|(?<=\b[Aa])[Tt]\b)\s?"
+    rf"[{_LABEL}]{{1,63}}\s?(?:[\[({{]\s?[Dd][Oo][Tt]\s?[\])}}]|\b[Dd][Oo][Tt]\b|\.)\s?[{_LABEL}]{{2}}"
+)
+# The first generator's match begins at most so many characters before its at sign: 64 and a space.
+_BEFORE_AT = 65
 # Words before personal data, by kind.
 _CONTEXT = {
     "email": re.compile(r"e-?mail|contact|write|reach|address|correo|courriel|mailto", re.I),
@@ -96,15 +103,29 @@ _CONTEXT = {
     "phone": re.compile(r"phone|\btel|call|mobile|fax|cell|whatsapp|\bsms|dial|ring|telefon|tél", re.I),
 }
 _AGAINST = re.compile(r"version|isbn|order|invoice|page|chapter|date|section|score|room|\bno\.|model|serial|§|\$|€|ratio|table|total", re.I)
+# Words before an "at" that a place, not an address, follows.
+_PLAIN = re.compile(r"(?:us|me|it|is|are|was|were|be|them|him|her|here|more|online|site|website|page|available|found|visit|hosted|read|look|looked|and|or)\s", re.I)
 _AROUND = 32
 
 
+def _written_emails(text: str) -> Iterator[tuple[int, int]]:
+    """All matches of the first generator, tried only shortly before what looks like their at sign."""
+    pattern, end, at = _GENERATORS[0][1], 0, _AT.search(text)
+    while at:
+        tries = (pattern.match(text, i) for i in range(max(end, at.start() - _BEFORE_AT), at.start()))
+        if m := next(filter(None, tries), None):
+            yield m.span()
+            end = m.end()
+        at = _AT.search(text, max(end, at.start() + 1))
+
+
 def candidates(text: str) -> list[tuple[str, int, int]]:
-    low, out = text.lower() if text.isascii() else None, []
-    low = text if low is None else low
+    """All matches of the generators; one is passed over only if the text lacks a character that each of its matches has."""
+    out = [("email", *span) for span in _written_emails(text)]
     digits = bool(_DIGITS.search(text))
-    for (kind, pattern), hints in zip(_GENERATORS, _HINTS, strict=True):
-        if (kind == "email" or digits) and (hints is None or any(h in low for h in hints)):
+    may = (digits and any(b in text for b in "[({"), text.count(":") >= 3, digits, digits)
+    for (kind, pattern), looks in zip(_GENERATORS[1:], may, strict=True):
+        if looks:
             out += [(kind, *m.span()) for m in pattern.finditer(text)]
     return out
 
@@ -128,7 +149,10 @@ def describe(text: str, kind: str, start: int, end: int) -> list[float]:
         float(len(hexes)),
         float(bool(re.search(r"[\[({]\s?(?:at|dot|\.)\s?[\])}]", s, re.I))),
         float(bool(re.search(r"\bdot\b", s, re.I)) and bool(re.search(r"\bat\b", s, re.I))),
-        float(bool(re.search(r"(?:com|org|net|edu|gov|io|de|fr|es|uk|info)$", s, re.I))),
+        float(bool(re.search(r"(?<![A-Za-z0-9-])(?:com|org|net|edu|gov|io|de|fr|es|uk|info)$", s, re.I))),
+        float(bool(re.search(r"\.\s", s))),
+        float("@" in s),
+        float(bool(_PLAIN.match(s))),
         float("(" in s),
         float(s.startswith("0")),
         float(bool(_CONTEXT[kind].search(before))),
@@ -186,13 +210,39 @@ def examples(seed: int, count: int) -> Iterator[tuple[str, str, int, int, int]]:
         yield text + r.choice([f" {word()}", ".", f", {word()}", ""]), kind, start, start + len(s), label
 
 
+def further_examples(seed: int, count: int) -> Iterator[tuple[str, str, int, int, int]]:
+    """As :func:`examples`, of forms half written out: a spaced or plain at sign, and sentences and sites that look like them."""
+    r = random.Random(seed)
+    word = lambda: "".join(r.choice(["an", "er", "the", "in", "on", "re", "is", "to", "mo", "la"]) for _ in range(r.randint(1, 4)))
+    told, tld = ["email ", "contact ", "write to ", "reach me: "], ["com", "org", "net", "de"]
+    for _ in range(count):
+        form = r.choice(["spaced", "sign", "plain", "ip", "sentence", "site", "place"])
+        kind, label = "ip" if form == "ip" else "email", int(form in ("spaced", "sign", "plain", "ip"))
+        name = f"{word()}{r.choice(['', '.' + word(), str(r.randint(10, 99))])}"
+        # A plain "at" without a word for mail before it may as well name a site.
+        before = r.choice([*told, word() + " "]) if form in ("spaced", "sign", "sentence", "place") else r.choice(told) if form == "plain" else word() + " "
+        if form == "ip":
+            before = r.choice(["ip ", "server ", "login from ", word() + " "])
+            s = r.choice(["[DOT]", " [.] ", "[ . ]", "( dot )"]).join(str(r.randint(0, 255)) for _ in range(4))
+        elif form == "sentence":
+            s = f"{word()} at {word()}.{r.choice([' ', chr(10)])}{r.choice([word(), word().title(), 'es', 'De', 'Info', 'Com'])}"
+        elif form == "place":
+            s = f"{r.choice(['us', 'more', 'available', 'online', 'found', 'is'])} at {word()}.{r.choice(tld)}"
+        else:
+            s = f"{name}{ {'spaced': r.choice([' ( at ) ', ' (AT) ', '[ at ]']), 'sign': ' @ '}.get(form, ' at ')}{word()}.{r.choice(tld)}"
+        text = f"{word()} {word()} {before}{s}"
+        start = len(text) - len(s)
+        yield text + r.choice([f" {word()}", "", f", {word()}"]), kind, start, start + len(s), label
+
+
 @cache
 def trained(seed: int = 20240517, count: int = 6000) -> tuple[Trees, dict[str, float]]:
     """The trees and the threshold of each kind; the same at every call."""
-    made = [(*e[1:2], describe(*e[:4]), e[4]) for e in examples(seed, count)]
+    both = ([*examples(seed, count)], [*further_examples(seed, count // 2)])
+    made = [(e[1], describe(*e[:4]), e[4]) for half in (0, 1) for part in both for e in part[half * len(part) // 2 : (half + 1) * len(part) // 2]]
     x, y, kinds = np.array([m[1] for m in made]), np.array([m[2] for m in made], float), np.array([m[0] for m in made])
-    half = count // 2
-    trees = fit_trees(x[:half], y[:half])
+    half = len(made) // 2
+    trees = fit_trees(x[:half], y[:half], rounds=120)
     p, thresholds = trees.probability(x[half:]), {}
     for k in KINDS:
         own = kinds[half:] == k

@@ -215,6 +215,22 @@ def test_boosted_candidates():
     assert ((t.probability(x) > 0.5) == (x[:, 0] * x[:, 1] > 0)).mean() > 0.9
 
 
+def test_every_candidate_is_judged(spark):
+    every = lambda t: [(k, *m.span()) for k, p in pii._GENERATORS for m in p.finditer(t)]
+    forms = ["jean [AT] exemple [DOT] fr", "bob ( at ) example.com", "bob @ example.com", "bob at example.com", "10 [DOT] 0 [DOT] 0 [DOT] 1", "10( . )0( . )0( . )1", "10[.)0[.)0[.)1", "dead:beef:cafe:babe:dead:beef:cafe:babe", "4111/1111/1111/1111", "(555) 123-4567"]
+    for form in forms:
+        for text in (f"mail {form} now", f"écrire à {form}, né à 中国", f"ÉCRIRE\u00a0{form}\u2028"):
+            assert form in [text[a:b] for _, a, b in pii.candidates(text)] and pii.candidates(text) == every(text)
+    r = random.Random(6)
+    parts = ["at", " AT ", "( at]", "[AT)", "dot", " Dot ", "{ DOT )", " @ ", "@", *"([{)]}", " ", "\u00a0", ".", ". ", ":", "bob", "bob", "joe-1", "é", "\u017f", "\u212a", "-", "x" * 70, "1", "192", "abcd", "\n", "com"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(1, 24))) for _ in range(5000)]
+    assert [pii.candidates(t) for t in texts] == [every(t) for t in texts] and sum(map(len, map(every, texts))) > 50
+    told = [(0, "Écrire à jean [AT] exemple [DOT] fr, né à Nîmes"), (1, "mail bob ( at ) example.com"), (2, "né; bob @ example.com"), (3, "contact bob at example.com"), (4, "ip ( 10[DOT]0[DOT]0[DOT]1 é"), (5, "né, il arrive at noon. Info"), (6, "visit us at example.com"), (7, "look at pages.\nDes gens")]
+    clear = {r.doc_id: r.text for r in pii.redact_documents(spark.createDataFrame(told, "doc_id long, text string")).collect()}
+    assert [clear[i] for i in range(5)] == ["Écrire à <EMAIL>, né à Nîmes", "mail <EMAIL>", "né; <EMAIL>", "contact <EMAIL>", "ip ( <IP> é"]
+    assert all(clear[i] == dict(told)[i] for i in (5, 6, 7))
+
+
 # --- 4 ------------------------------------------------------------------------------------------------
 
 
