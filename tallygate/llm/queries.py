@@ -89,10 +89,14 @@ def _quote(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+# The SQL's rule for lines that name a holder.
+_COPYRIGHT = r"(^|\n)[ \t]*(copyright|\(c\)|©|all rights reserved)[^\n]*"
+
+
 def _canonical(text: str) -> str:
     """SQL for the canonical form of a licence text."""
     x = f"translate(coalesce({text}, ''), '{licences.UPPER}', '{licences.LOWER}')"
-    x = f"regexp_replace({x}, {_quote(licences.COPYRIGHT)}, chr(10), 'g')"
+    x = f"regexp_replace({x}, {_quote(_COPYRIGHT)}, chr(10), 'g')"
     x = f"trim(regexp_replace(translate({x}, {_quote(licences.PUNCTUATION)}, repeat(' ', {len(licences.PUNCTUATION)})), ' +', ' ', 'g'))"
     for a, b in licences.SPELLINGS:
         x = f"regexp_replace({x}, '\\b{a}(s?)\\b', '{b}\\1', 'g')"

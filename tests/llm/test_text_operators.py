@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -424,6 +425,24 @@ def test_licences(spark, docs, none):
     assert licences.scan_licences(docs).count() == len(corpus()) and licences.scan_licences(none).count() == 0
 
 
+def test_licence_files(spark):
+    """Whole files, as found and wrapped anew, with headings and holders."""
+    wrap = lambda t, n: "\n\n".join(textwrap.fill(" ".join(p.split()), n) for p in t.split("\n\n"))
+    known, files = dict(licences.KNOWN), {p.stem: p.read_text() for p in licences.TEXTS.glob("*.txt")}
+    cases = [(name, text) for name, text in files.items()]
+    cases += [(k, f"{head}{holder}\n\n{wrap(known[k], n)}\n") for n in range(40, 100) for k, head in (("MIT", "The MIT License (MIT)\n\n"), ("ISC", "ISC License\n\n"), ("MIT", "")) for holder in ("Copyright (c) 2020, Jane Doe", "Copyright Jane Doe\nCopyright John Doe", "© 2020 Jane Doe\nAll rights reserved.")]
+    body = files["Apache-2.0"][files["Apache-2.0"].index("   TERMS AND") :]
+    cases += [("Apache-2.0", wrap(body, n).replace("Copyright [yyyy] [name of copyright owner]", "Copyright 2021 Jane Doe")) for n in range(50, 80, 3)]
+    cases += [("Apache-2.0", files["Apache-2.0"].split("END OF TERMS")[0]), ("GPL-2.0", files["GPL-2.0"].replace("51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA", "59 Temple Place, Suite 330, Boston, MA  02111-1307  USA"))]
+    cases += [("GPL-3.0", files["GPL-3.0"].split("How to Apply")[0]), ("CC0-1.0", files["CC0-1.0"][files["CC0-1.0"].index("Statement of Purpose") :])]
+    bsd = files["BSD-3-Clause"].replace("The Regents of the University of California", "2020 Jane Doe").replace("the University", "the copyright holder").replace("THE REGENTS AND", "THE COPYRIGHT HOLDERS AND").replace("REGENTS OR", "COPYRIGHT HOLDER OR")
+    cases += [("BSD-3-Clause", f"BSD 3-Clause License\n\n{bsd}"), ("BSD-2-Clause", bsd[: bsd.index("3. Neither")] + bsd[bsd.index("THIS SOFTWARE") :])]
+    cases += [(None, files["GPL-3.0"] + " more"), (None, files["MPL-2.0"][:900]), (None, known["ISC"].replace("copyright notice and this permission notice", "")), (None, "The MIT License"), (None, "Copyright Jane Doe")]
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(cases)], "doc_id long, text string")
+    got = {r.doc_id: r.license_id for r in licences.scan_licences(df).collect()}
+    assert {i: (got[i], t[:80]) for i, (k, t) in enumerate(cases) if got[i] != k} == {}
+
+
 # --- 10 -----------------------------------------------------------------------------------------------
 
 
