@@ -1,4 +1,4 @@
-"""N-gram Jaccard join by set relations: skipped index blocks, answers derived from a similar set's.
+"""N-gram Jaccard join by set relations: index blocks skipped by position, answers derived from a similar set's.
 
 Exact self-join of the documents' word-shingle sets at a Jaccard threshold, reported as components.
 
@@ -6,24 +6,27 @@ Exact self-join of the documents' word-shingle sets at a Jaccard threshold, repo
 * Index: shingles are ordered from rare to common by a fixed-size table of bucket counts over all
   documents (any order gives exact results; this one keeps the lists short). Two sets that link
   share SHARED shingles among the first ones of either, fewer of the smaller set than of the larger.
-  Lists are cut into blocks by set size; an entry whose position lies too deep for the overlap that
-  a partner of the block needs is skipped. So is a pair whose parities differ in more cells than
-  the two sets may differ in shingles.
-* Derived answers: in every block each set is first verified against one set only, the one in which
-  the shingle stands first, which so has the fewest shingles of its own. A set found similar takes over that set's answers, that is, its component. Only pairs of
-  sets in different components, not verified before, are looked at in the second round. So a group
-  of mutually similar sets costs its size, not the square of it, and no link between components is
-  lost.
+* Skipped blocks: the deeper a shingle stands in a set, the smaller a partner must be for the shingles
+  from there on to suffice; that size is the entry's reach. Lists are cut into blocks by the size
+  classes of both partners, and an entry enters only the blocks within its reach. So whole blocks are
+  skipped by position before any pair meets.
+* Derived answers: in every list each set is first verified against one set of a class only, the one in
+  which the shingle stands first, which so has the fewest shingles of its own. A set found similar takes over
+  that set's component, and what that set shares with others bounds what the similar set can share with
+  them: by the shingles in which the two differ, most answers of the second round follow without
+  looking at the sets. That round compares sets of different components alone. So a group of mutually
+  similar sets costs its size, not the square of it, and no link between components is lost.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import Table, WordHash, components, fold_arrays, lean, pack_array, shingle_set, small, split_by_ids, texts
@@ -35,11 +38,13 @@ SEEN_SETS = 500_000
 
 #: Shingles that a pair must share in the index before its sets are compared.
 SHARED = 3
+#: A shingle whose bucket counts so many more than eight times the average is hot; parts its list is dealt to.
+HOT, PARTS = 1 << 16, 64
 _CELLS = 256
 
 _PARITY = ["b0", "b1", "b2", "b3"]
 _SETS = "doc_id long, n_shingles long, set_id long, b0 long, b1 long, b2 long, b3 long, counts binary"
-_POSTINGS = "token long, set_id long, n int, pos int"
+_POSTINGS = "token long, part int, set_id long, n int, pos int"
 
 
 def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
@@ -68,11 +73,14 @@ def _set_id(s: np.ndarray) -> int | None:
     return int(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).astype(np.int64)) if len(s) else None
 
 
-def _postings(batches: Iterator[pa.RecordBatch], words: int, num: int, den: int, counts) -> Iterator[pa.RecordBatch]:
+def _postings(batches: Iterator[pa.RecordBatch], words: int, num: int, den: int, counts, hot: float) -> Iterator[pa.RecordBatch]:
+    """The first shingles of each set, rare ones first; a hot one's list is dealt to parts by set, from 1 on."""
     cache, order, seen = WordHash(), counts.value, set()
     for batch in small(batches):
-        out: list[tuple[np.ndarray, int, int]] = []
-        for text in texts(batch):
+        tokens, ids, sizes, parts = [], [], [], []
+        for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts(batch), strict=True):
+            if doc_id is None:
+                continue
             s = shingle_set(cache.array(text.lower().split()), words)
             n, set_id = len(s), _set_id(s)
             if set_id is None or set_id in seen:
@@ -80,15 +88,23 @@ def _postings(batches: Iterator[pa.RecordBatch], words: int, num: int, den: int,
             if len(seen) >= SEEN_SETS:
                 seen.clear()
             seen.add(set_id)
-            probe = n + num * n // -den + SHARED
             rank = order[_bucket(s)]
-            out.append((s[np.argsort(rank, kind="stable")[:probe]], set_id, n))
-        if out:
-            sizes = [len(x[0]) for x in out]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([x[0] for x in out]).view(np.int64)), pa.array(np.repeat(np.array([x[1] for x in out], np.int64), sizes)), pa.array(np.repeat(np.array([x[2] for x in out], np.int32), sizes)), pa.array(np.concatenate([np.arange(k, dtype=np.int32) for k in sizes]))],
-                names=["token", "set_id", "n", "pos"],
-            )
+            first = np.argsort(rank, kind="stable")[: n + num * n // -den + SHARED]
+            tokens.append(s[first])
+            ids.append(set_id)
+            sizes.append(n)
+            parts.append(np.where(rank[first] > hot, 1 + set_id % PARTS, 0))
+        if not ids:
+            continue
+        length = [len(t) for t in tokens]
+        columns = [
+            pa.array(np.concatenate(tokens).view(np.int64)),
+            pa.array(np.concatenate(parts).astype(np.int32)),
+            pa.array(np.repeat(np.array(ids, np.int64), length)),
+            pa.array(np.repeat(np.array(sizes, np.int32), length)),
+            pa.array(np.concatenate([np.arange(k, dtype=np.int32) for k in length])),
+        ]
+        yield pa.RecordBatch.from_arrays(columns, names=["token", "part", "set_id", "n", "pos"])
 
 
 def _members(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
@@ -98,21 +114,122 @@ def _members(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.Recor
         yield pa.RecordBatch.from_arrays([pa.array([_set_id(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["set_id", "members"])
 
 
-def _verify(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
+def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in small(batches):
-        links = []
+        n = []
         for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
             p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
             both = np.count_nonzero(q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p)
-            links.append(den * both >= num * (len(p) + len(q) - both))
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(links, pa.bool_())], names=["a", "b", "linked"])
+            n.append((len(p), len(q), both))
+        columns = [pa.array([x[k] for x in n], pa.int64()) for k in range(3)]
+        given = ["a", "b", "a_leads", "b_leads"]
+        yield pa.RecordBatch.from_arrays([*map(batch.column, given), *columns], names=[*given, "na", "nb", "both"])
 
 
-def _links(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b, linked) of pairs of set ids, by the exact overlap of the sets."""
+def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, a_leads, b_leads, na, nb, both) of pairs of set ids: with the sizes and the exact overlap of the sets."""
     x = sets.select(F.col("set_id").alias("a"), F.col("members").alias("x"))
     y = sets.select(F.col("set_id").alias("b"), F.col("members").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(lambda it: _verify(it, num, den), "a long, b long, linked boolean")
+    met = pairs.join(x, "a").join(y, "b").select("a", "b", "a_leads", "b_leads", "x", "y")
+    return met.mapInArrow(_verify, "a long, b long, a_leads boolean, b_leads boolean, na long, nb long, both long")
+
+
+class _Index:
+    """Entries (token, set_id, n, pos) of the shingles that two sets have among their first, and what pairs them."""
+
+    def __init__(self, num: int, den: int):
+        self.num, self.den = num, den
+
+    def need(self, na: Column, nb: Column) -> Column:
+        """The overlap from which sets of these sizes link."""
+        return F.ceil((na + nb) * self.num / (self.num + self.den) - 1e-9)
+
+    def differ(self) -> Column:
+        """The most shingles that a linked pair has in one set alone."""
+        return F.col("na") + F.col("nb") - 2 * self.need(F.col("na"), F.col("nb"))
+
+    def linked(self) -> Column:
+        return F.col("both") * self.den >= (F.col("na") + F.col("nb") - F.col("both")) * self.num
+
+    def size_class(self, n: Column) -> Column:
+        """A pair's larger set lies in the class of the smaller or the next."""
+        return F.floor(F.log(n.cast("double")) / (math.log(self.den / self.num) + 1e-9)).cast("int")
+
+    def shared(self, postings: DataFrame) -> DataFrame:
+        """Each set's entries in lists of two sets or more, with their reach, after one exchange."""
+        lists = Window.partitionBy("token", "part")
+        rows = postings.withColumns({"lo": F.min("set_id").over(lists), "hi": F.max("set_id").over(lists)})
+        rows = rows.where((F.col("lo") < F.col("hi")) | (F.col("part") > 0))
+        rows = rows.groupBy("token", "part", "set_id").agg(F.first("n").alias("n"), F.first("pos").alias("pos"))
+        left = F.col("n").cast("long") - F.col("pos") + (SHARED - 1)
+        reach = F.floor(left * (self.num + self.den) / self.num + 1e-9) - F.col("n")
+        return rows.select("token", "set_id", "n", "pos", reach.alias("reach"))
+
+    def _cut(self, entries: DataFrame) -> DataFrame:
+        """The entries with their size class and the farthest within reach."""
+        return entries.withColumns({"own": self.size_class(F.col("n")), "far": self.size_class(F.greatest("reach", F.lit(1)))})
+
+    def _side(self, rows: DataFrame, s: str, *extra: str) -> DataFrame:
+        keys = [c for c in ("small", "large") if c in rows.columns]
+        return rows.select("token", *keys, F.col("set_id").alias(s), *(F.col(c).alias(c + s) for c in ("n", "pos", "reach", *extra)))
+
+    def central(self, entries: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Of each list and class of the larger set, the entry that stands first in its set, as a; and the entries to try with it, as b.
+
+        Of both only such as reach a set of their own size: two that link share enough of these, unless their sizes lie far apart.
+        """
+        cut = self._cut(entries).where("reach >= n")
+        smaller = cut.withColumn("large", F.explode(F.array(F.col("own"), F.col("own") + 1))).where("large <= far")
+        first = self._side(smaller, "a").groupBy("token", "large").agg(F.min(F.struct("posa", "a", "na", "reacha")).alias("x"))
+        return first.select("token", "large", "x.*"), self._side(cut.withColumn("large", F.col("own")), "b")
+
+    def sides(self, entries: DataFrame, *extra: str) -> tuple[DataFrame, DataFrame]:
+        """The entries as a, the smaller set of a pair, and as b, the larger, in the blocks (small, large) within their reach."""
+        cut = self._cut(entries).withColumn("step", F.explode(F.array(F.lit(0), F.lit(1))))
+        smaller = cut.where("reach >= n").withColumns({"small": F.col("own"), "large": F.col("own") + F.col("step")}).where("large <= far")
+        larger = cut.withColumns({"small": F.col("own") - F.col("step"), "large": F.col("own")}).where("small <= far")
+        return self._side(smaller, "a", *extra), self._side(larger, "b", *extra)
+
+    def pairs(self, smaller: DataFrame, larger: DataFrame, which: Column) -> DataFrame:
+        """(a, b, na, nb, a_leads, b_leads), a < b, of the sets that share enough entries in common blocks; it leads as the smaller."""
+        near = (F.col("nb") * self.num <= F.col("na") * self.den) & (F.col("na") * self.num <= F.col("nb") * self.den)
+        within = (F.col("nb") <= F.col("reacha")) & (F.col("na") <= F.col("reachb"))
+        met = smaller.join(larger, [c for c in ("token", "small", "large") if c in smaller.columns]).where(near & within & which)
+        turn = F.col("a") < F.col("b")
+        one = lambda x, y, to: F.when(turn, F.col(x)).otherwise(F.col(y)).alias(to)
+        met = met.select(one("a", "b", "a"), one("b", "a", "b"), one("na", "nb", "na"), one("nb", "na", "nb"), turn.alias("turn"))
+        counted = met.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.max("turn").alias("a_leads"), F.max(~F.col("turn")).alias("b_leads"), F.count("*").alias("k"))
+        return counted.where(F.col("k") >= F.least(self.need(F.col("na"), F.col("nb")), F.lit(SHARED))).drop("k")
+
+    def alike(self) -> Column:
+        """Whether the parities differ in no more cells than the sets may differ in shingles."""
+        odd = [F.bit_count(F.col(c + "a").bitwiseXOR(F.col(c + "b"))) for c in _PARITY]
+        return sum(odd[1:], odd[0]) <= self.differ()
+
+    def possible(self, pairs: DataFrame, parities: DataFrame) -> DataFrame:
+        """The pairs that are alike."""
+        columns = pairs.columns
+        for s in "ab":
+            pairs = pairs.join(parities.select(F.col("set_id").alias(s), *(F.col(c).alias(c + s) for c in _PARITY)), s)
+        return pairs.where(self.alike()).select(*columns)
+
+    def derived(self, pairs: DataFrame, answers: DataFrame) -> DataFrame:
+        """``pairs`` with the least and the most that they can share, from the ``answers`` (r, x, nr, both) of sets r tried with either.
+
+        With a similar to r, a & b holds all of r & b but what a lacks of r, and beyond it only what a has besides r.
+        """
+        a = answers.select("r", F.col("x").alias("a"), "nr", F.col("both").alias("ra"))
+        b = answers.select("r", F.col("x").alias("b"), F.col("both").alias("rb"))
+        most = F.least(F.col("rb") + F.col("na") - F.col("ra"), F.col("ra") + F.col("nb") - F.col("rb"))
+        least = F.col("ra") + F.col("rb") - F.col("nr")
+        met = pairs.join(a, "a", "left").join(b, ["r", "b"], "left")
+        return met.groupBy("a", "b", "na", "nb", "a_leads", "b_leads").agg(F.min(most).alias("most"), F.max(least).alias("least"))
+
+
+def _answers(tried: DataFrame) -> DataFrame:
+    """(r, x, nr, both): what the sets r that led a pair share with the others; a set is x to few, one for each entry of it at most."""
+    first = tried.where("a_leads").select(F.col("a").alias("r"), F.col("b").alias("x"), F.col("na").alias("nr"), "both")
+    return first.union(tried.where("b_leads").select("b", "a", "nb", "both"))
 
 
 def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: tuple[int, int] = (80, 100)) -> DataFrame:
@@ -127,76 +244,64 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     text has a component, gets that. An empty table gives none. Other columns are ignored.
     """
     num, den = threshold
-    spark = docs.sparkSession
+    index, spark = _Index(num, den), docs.sparkSession
     docs = lean(docs, id_col, text_col)
     table = Table(docs.mapInArrow(lambda it: _sets(it, words), _SETS), "sets")
     named = table.df.where("counts is null").select("doc_id", "n_shingles", "set_id")
-    counts = spark.sparkContext.broadcast(fold_arrays(table.df.where("counts is not null").select("counts"), np.uint32, np.add, np.zeros(COUNT_BUCKETS, np.uint32)))
-    postings = Table(docs.mapInArrow(lambda it: _postings(it, words, num, den, counts), _POSTINGS), "postings")
+    counted = fold_arrays(table.df.where("counts is not null").select("counts"), np.uint32, np.add, np.zeros(COUNT_BUCKETS, np.uint32))
+    counts, hot = spark.sparkContext.broadcast(counted), HOT + 8 * float(counted.mean())
     first = table.df.where("set_id is not null and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), *(F.first(b).alias(b) for b in _PARITY))
+    first = Table(first, "first")
+    entries = Table(index.shared(docs.mapInArrow(lambda it: _postings(it, words, num, den, counts, hot), _POSTINGS)), "entries")
 
-    # Blocks: sets of one block differ in size by the threshold at most; a pair's larger set lies in the block of the smaller or the next.
-    block = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num) + 1e-9)).cast("int")
-    cut = F.col("n") - F.ceil(F.col("n") * (2 * num) / (num + den) - 1e-9) + SHARED
-    shared = postings.df.groupBy("token").agg(F.min("set_id").alias("lo"), F.max("set_id").alias("hi")).where("lo < hi").select("token")
-    active = postings.df.join(shared, "token", "left_semi").groupBy("token", "set_id").agg(F.first("n").alias("n"), F.first("pos").alias("pos"))
-    active = Table(active.join(first.drop("doc_id"), "set_id").withColumns({"block": block, "indexed": F.col("pos") < cut}), "active")
-    postings.drop()
-
-    def candidates(a: DataFrame, b: DataFrame, more) -> DataFrame:
-        """(a, b) of the sets that may link, each pair once."""
-        need = F.ceil((F.col("na") + F.col("nb")) * num / (num + den) - 1e-9)
-        near = (F.col("nb") * num <= F.col("na") * den) & (F.col("na") * num <= F.col("nb") * den)
-        deep = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) + SHARED - 1 >= need
-        odd = sum((F.bit_count(F.col(f"{x}a").bitwiseXOR(F.col(f"{x}b"))) for x in _PARITY[1:]), F.bit_count(F.col("b0a").bitwiseXOR(F.col("b0b"))))
-        met = a.join(b, ["token", "key"]).where(near & deep & more & (odd <= F.col("na") + F.col("nb") - 2 * need))
-        pairs = met.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count("*").alias("k"), F.first(need).alias("need"))
-        return pairs.where(F.col("k") >= F.least(F.col("need"), F.lit(SHARED))).select("a", "b")
-
-    def verified(pairs: DataFrame) -> Table:
-        """(a, b, linked), by the sets of the documents in question alone."""
+    def overlaps(pairs: DataFrame) -> Table:
+        """By the sets of the documents in question alone."""
         used = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct()
-        wanted = Table(first.join(used, "set_id", "left_semi").select("doc_id"), "wanted")
+        wanted = Table(first.df.join(used, "set_id", "left_semi").select("doc_id"), "wanted")
         maybe, _ = split_by_ids(docs, wanted.df)
         chosen = maybe.join(wanted.df, "doc_id", "left_semi")
-        sets = Table(chosen.mapInArrow(lambda it: _members(it, words), "set_id long, members binary").dropDuplicates(["set_id"]), "members")
-        out = Table(_links(pairs, sets.df, num, den), "verified")
-        for t in (wanted, sets):
-            t.drop()
+        sets = chosen.mapInArrow(lambda it: _members(it, words), "set_id long, members binary").dropDuplicates(["set_id"])
+        out = Table(_overlaps(pairs, sets), "overlaps")
+        wanted.drop()
         return out
 
-    def entry(df: DataFrame, s: str, *extra) -> DataFrame:
-        return df.select("token", F.col("set_id").alias(s), F.col("n").alias(f"n{s}"), F.col("pos").alias(f"p{s}"), *(F.col(x).alias(f"{x}{s}") for x in _PARITY), *extra)
-
-    lesser = lambda df, *extra: entry(df.where("indexed"), "a", *extra, F.explode(F.array(F.col("block"), F.col("block") + 1)).alias("key"))
-    larger = lambda df, *extra: entry(df, "b", *extra, F.col("block").alias("key"))
+    counts.destroy()
 
-    # First round: against one set of each block, one pair for each list entry at most.
-    rows = lesser(active.df)
-    fields = ["pa", "a", *(c for c in rows.columns if c not in ("token", "key", "pa", "a"))]
-    central = rows.groupBy("token", "key").agg(F.min(F.struct(*fields)).alias("x")).select("token", "key", "x.*")
-    pairs = Table(candidates(central, larger(active.df), F.col("a") != F.col("b")), "pairs")
-    tried = verified(pairs.df)
+    # First round: against one set of each list and class, one pair for each entry at most.
+    central, others = index.central(entries.df)
+    pairs = Table(index.possible(index.pairs(central, others, F.col("a") != F.col("b")), first.df), "pairs")
+    tried = overlaps(pairs.df)
     pairs.drop()
-    reached = Table(components(tried.df.where("linked").select("a", "b")), "reached")
+    reached = Table(components(tried.df.where(index.linked()).select("a", "b")), "reached")
 
     # Second round: only lists that still hold different components, only pairs across them, each once.
-    comp = active.df.join(reached.df.select(F.col("node").alias("set_id"), "root"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
-    open_ = comp.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("token")
-    comp = Table(comp.join(open_, "token", "left_semi"), "open")
-    active.drop()
-    across = candidates(lesser(comp.df, F.col("root").alias("ra")), larger(comp.df, F.col("root").alias("rb")), (F.col("ra") != F.col("rb")) & (F.struct("na", "a") < F.struct("nb", "b")))
-    pairs = Table(across.join(tried.df.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
-    fresh = verified(pairs.df)
-    links = Table(fresh.df.where("linked").select("a", "b").union(reached.df.select(F.col("node").alias("a"), F.col("root").alias("b"))), "links")
-    for t in (pairs, fresh, tried, reached, comp):
+    roots = first.df.select("set_id", *_PARITY).join(reached.df.select(F.col("node").alias("set_id"), "root"), "set_id", "left")
+    rooted = Table(entries.df.join(roots.withColumn("root", F.coalesce("root", "set_id")), "set_id"), "rooted")
+    entries.drop()
+    mixed = rooted.df.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("token")
+    open_ = Table(rooted.df.join(mixed, "token", "left_semi"), "open")
+    rooted.drop()
+    smaller, larger = index.sides(open_.df, "root", *_PARITY)
+    across = (F.col("roota") != F.col("rootb")) & (F.struct("na", "a") < F.struct("nb", "b"))
+    pairs = index.pairs(smaller, larger, across & index.alike()).join(tried.df.select("a", "b"), ["a", "b"], "left_anti")
+    pairs = Table(index.derived(pairs, _answers(tried.df)), "pairs")
+    open_.drop()
+    need = index.need(F.col("na"), F.col("nb"))
+    doubtful = pairs.df.where(F.coalesce(F.col("most") >= need, F.lit(True)) & F.coalesce(F.col("least") < need, F.lit(True)))
+    fresh = overlaps(doubtful)
+    stars = reached.df.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    links = fresh.df.where(index.linked()).select("a", "b").union(pairs.df.where(F.col("least") >= need).select("a", "b")).union(stars)
+
+    # Among the sets' least documents, so that the least of a component names it.
+    for s in "ab":
+        links = links.join(first.df.select(F.col("set_id").alias(s), F.col("doc_id").alias(f"doc_{s}")), s)
+    links = Table(links.select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")), "links")
+    for t in (pairs, fresh, tried, reached):
+        t.drop()
+    roots = components(links.df.where("a <> b")).select(F.col("node").alias("doc_id"), "root")
+    class_of = first.df.join(roots, "doc_id", "left").select("set_id", F.coalesce("root", "doc_id").alias("component_id"))
+    class_of = Table(class_of, "classes")
+    for t in (links, first):
         t.drop()
-    roots = components(links.df.where("a <> b"))
-
-    # A component is named by its least document.
-    class_of = first.select("set_id", "doc_id").join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").select("set_id", "doc_id", F.coalesce("root", "set_id").alias("root"))
-    name = class_of.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    class_of = Table(class_of.join(name, "root").select("set_id", "component_id"), "classes")
-    links.drop()
     out = named.join(class_of.df, "set_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))

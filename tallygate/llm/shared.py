@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Distinct words that a Python worker remembers the hashes of before it starts afresh.
@@ -181,6 +181,7 @@ def components(links: DataFrame) -> DataFrame:
     adaptive execution may split.
     """
     edges = Table(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
+    before = None
     while True:
         both = edges.df.union(edges.df.select("v", "u"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -189,15 +190,11 @@ def components(links: DataFrame) -> DataFrame:
         least = large.df.groupBy("u").agg(F.min("v").alias("m"))
         small = large.df.join(least, "u")
         small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
-        small = Table(small, "links")
+        told = Observation()
+        small = Table(small.observe(told, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")), "links")
         large.drop()
-        same = _mark(edges.df) == _mark(small.df)
         edges.drop()
-        edges = small
+        edges, same, before = small, before == told.get, told.get
         if same:
             stars = edges.df
             return stars.select(F.col("u").alias("node"), F.col("v").alias("root")).union(stars.select("v", "v").distinct())
-
-
-def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
