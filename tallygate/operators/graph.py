@@ -16,6 +16,8 @@ from .trials import _ERROR, _error, match_error, matches
 
 #: Steps and tolerance of the fit; share of resamples in which a pair must be connected.
 STEPS, TOLERANCE, CONNECTED = 10_000, 1e-9, 0.9
+#: Pairs whose draws meet in one group; resamples that a task hands on at a time.
+PAIR_BLOCK, RESAMPLE_BLOCK = 256, 64
 
 
 def canonical(a: Column, b: Column) -> tuple[Column, Column]:
@@ -131,22 +133,65 @@ class Graph:
                 return label, 400 * np.log10(strength)
         return fail("BradleyTerryDidNotConverge", f"no convergence in {STEPS} steps")
 
+    def joined(self, games: np.ndarray) -> bool:
+        """Whether all nodes are one strongly connected component: the first reaches every node, and every node it."""
+        to = np.zeros((self.nodes, self.nodes), bool)
+        to[self.a, self.b] = games[:, 0] + games[:, 2] > 0
+        to[self.b, self.a] = games[:, 1] + games[:, 2] > 0
+        for step in (to, to.T):
+            seen = new = np.arange(self.nodes) == 0
+            while new.any():
+                new = step[new].any(0) & ~seen
+                seen = seen | new
+            if not seen.all():
+                return False
+        return True
+
+    def fit_joined(self, games: np.ndarray) -> np.ndarray:
+        """Elo of every node of a graph that is one component and of which most pairs have played, on whole matrices."""
+        n = np.zeros((self.nodes, self.nodes))
+        n[self.a, self.b] = n[self.b, self.a] = games.sum(1)
+        half = games[:, 2] / 2
+        wins = np.bincount(self.a, games[:, 0] + half, self.nodes) + np.bincount(self.b, games[:, 1] + half, self.nodes)
+        strength = np.ones(self.nodes)
+        for _ in range(STEPS):
+            new = wins / (n / (strength[:, None] + strength)).sum(1)
+            new /= new[0]
+            settled = (np.abs(new - strength) < TOLERANCE * strength).all()
+            strength = new
+            if settled:
+                return 400 * np.log10(strength)
+        return fail("BradleyTerryDidNotConverge", f"no convergence in {STEPS} steps")
+
     def differences(self, games: np.ndarray, pairs: np.ndarray) -> np.ndarray:
         """Elo differences of the pairs in a resample; NaN where it doesn't connect them or has no fit."""
+        i, j = pairs.T
         try:
+            if 8 * len(self.a) >= self.nodes**2 and self.joined(games):
+                elo = self.fit_joined(games)
+                return elo[i] - elo[j]
             label, elo = self.fit(games)
         except GateError:
             return np.full(len(pairs), np.nan)
-        i, j = pairs.T
         return np.where(label[i] == label[j], elo[i] - elo[j], np.nan)
 
 
+def _in_blocks(first: int, rows: np.ndarray) -> Iterator[pd.DataFrame]:
+    """A matrix with a column a pair as rows (block, first, x), x the values of a block of pairs, row by row."""
+    blocks = range(0, rows.shape[1], PAIR_BLOCK)
+    yield pd.DataFrame({"block": range(len(blocks)), "first": first, "x": [rows[:, b : b + PAIR_BLOCK].ravel() for b in blocks]})
+
+
+def _matrix(f: pd.DataFrame, width: int) -> np.ndarray:
+    return np.concatenate([np.asarray(x).reshape(-1, width) for x in f.sort_values("first")["x"]])
+
+
 def pairwise_intervals(spark: SparkSession, graph: Graph, label: np.ndarray, elo: np.ndarray, *, resamples: int, seed: int, confidence: float, method: str) -> dict[tuple[int, int], tuple[float, float]]:
     """Bootstrap intervals of the rating differences of all connected pairs.
 
     A resample redraws the games of every edge and fits the graph once for all pairs. Pairs connected in fewer
-    than nine tenths of the resamples get none. Resamples run as tasks; intervals are computed where a pair's
-    draws meet, so the driver gets two numbers a pair.
+    than nine tenths of the resamples get none. Resamples run as tasks, which hand on their draws in blocks of pairs;
+    intervals are computed where a block's draws meet, so the driver gets two numbers a pair.
     """
     i, j = np.triu_indices(graph.nodes, 1)
     keep = label[i] == label[j]
@@ -154,48 +199,70 @@ def pairwise_intervals(spark: SparkSession, graph: Graph, label: np.ndarray, elo
     if not len(pairs):
         return {}
     total = graph.games.sum(1).astype(np.int64)
-    share = graph.games / total[:, None]
-    sent = spark.sparkContext.broadcast((graph, pairs, total, share))
-    number = np.arange(len(pairs))
+    effect = elo[pairs[:, 0]] - elo[pairs[:, 1]]
+    skew = _acceleration(spark, graph, pairs, effect) if method == "bca" else np.zeros(len(pairs))
+    sent = spark.sparkContext.broadcast((graph, pairs, total, graph.games / total[:, None], effect, skew))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        g, p, n, q = sent.value
+        g, p, n, q = sent.value[:4]
         for f in frames:
-            for r in f["id"].tolist():
-                d = g.differences(generator(seed, r).multinomial(n, q).astype(float), p)
-                ok = ~np.isnan(d)
-                yield pd.DataFrame({"pair": number[ok], "r": r, "diff": d[ok]})
+            for lo in range(0, len(f), RESAMPLE_BLOCK):
+                rs = f["id"].tolist()[lo : lo + RESAMPLE_BLOCK]
+                yield from _in_blocks(rs[0], np.stack([g.differences(generator(seed, r).multinomial(n, q).astype(float), p) for r in rs]))
 
-    weights, left_out = _jackknife(graph, pairs) if method == "bca" else (None, None)
-    effect = elo[pairs[:, 0]] - elo[pairs[:, 1]]
     need = resamples * CONNECTED
 
     def close(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
-        k, d = int(key[0]), f["diff"].to_numpy()
-        if len(d) < need:
-            return pd.DataFrame({"pair": [], "lo": [], "hi": []})
-        if method == "basic":
-            lo, hi = numeric.basic_interval(d, effect[k], confidence)
-        elif method == "bca":
-            ok = ~np.isnan(left_out[:, k])
-            lo, hi = numeric.bca_interval(d, effect[k], numeric.acceleration(left_out[ok, k], weights[ok]), confidence)
-        else:
-            lo, hi = numeric.percentile_interval(d, confidence)
-        return pd.DataFrame({"pair": [k], "lo": [lo], "hi": [hi]})
-
-    slices = max(1, min(resamples, 4 * spark.sparkContext.defaultParallelism))
-    draws = spark.range(0, resamples, 1, slices).mapInPandas(run, "pair long, r long, diff double")
-    rows = draws.groupBy("pair").applyInPandas(close, "pair long, lo double, hi double").collect()
+        at = int(key[0]) * PAIR_BLOCK
+        e, a = (v[at : at + PAIR_BLOCK] for v in sent.value[4:])
+        draws, ends = _matrix(f, len(e)), []
+        for k in range(len(e)):
+            d = draws[~np.isnan(draws[:, k]), k]
+            if len(d) < need:
+                continue
+            if method == "basic":
+                lo, hi = numeric.basic_interval(d, e[k], confidence)
+            elif method == "bca":
+                lo, hi = numeric.bca_interval(d, e[k], a[k], confidence)
+            else:
+                lo, hi = numeric.percentile_interval(d, confidence)
+            ends.append((at + k, lo, hi))
+        return pd.DataFrame(ends, columns=["pair", "lo", "hi"])
+
+    slices = max(1, min(resamples, 2 * spark.sparkContext.defaultParallelism))
+    draws = spark.range(0, resamples, 1, slices).mapInPandas(run, "block long, first long, x array<double>")
+    rows = draws.groupBy("block").applyInPandas(close, "pair long, lo double, hi double").collect()
     return {(int(pairs[r.pair, 0]), int(pairs[r.pair, 1])): (r.lo, r.hi) for r in rows}
 
 
-def _jackknife(graph: Graph, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Leave one game out: one fit for each edge and result, which stands for all games of that kind."""
-    weights, out = [], []
-    for e, kinds in enumerate(graph.games):
-        for k in np.flatnonzero(kinds):
-            games = graph.games.copy()
-            games[e, k] -= 1
-            weights.append(kinds[k])
-            out.append(graph.differences(games, pairs))
-    return np.array(weights), np.array(out)
+def _acceleration(spark: SparkSession, graph: Graph, pairs: np.ndarray, effect: np.ndarray) -> np.ndarray:
+    """Of each pair, the skewness of its leave-one-game-out differences.
+
+    One fit for each edge and result stands for all games of that kind. Fits run as tasks, which add up the weights
+    and their products with the first three powers of the differences from the effect.
+    """
+    kinds = np.argwhere(graph.games > 0)
+    sent = spark.sparkContext.broadcast((graph, pairs, effect, kinds))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        g, p, at, ks = sent.value
+        sums = np.zeros((4, len(p)))
+        for f in frames:
+            for e, k in ks[f["id"].to_numpy()]:
+                games = g.games.copy()
+                games[e, k] -= 1
+                d = g.differences(games, p) - at
+                ok = ~np.isnan(d)
+                sums[:, ok] += g.games[e, k] * np.stack([np.ones(ok.sum()), d[ok], d[ok] ** 2, d[ok] ** 3])
+        yield from _in_blocks(0, sums)
+
+    def add(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"block": [int(key[0])], "x": [np.sum(np.stack([np.asarray(x) for x in f["x"]]), 0)]})
+
+    slices = max(1, min(len(kinds), 2 * spark.sparkContext.defaultParallelism))
+    parts = spark.range(0, len(kinds), 1, slices).mapInPandas(run, "block long, first long, x array<double>")
+    rows = sorted(parts.groupBy("block").applyInPandas(add, "block long, x array<double>").collect())
+    n, s1, s2, s3 = np.concatenate([np.array(r.x).reshape(4, -1) for r in rows], 1)
+    mean = s1 / np.maximum(n, 1)
+    squares, cubes = s2 - n * mean**2, s3 - 3 * mean * s2 + 2 * n * mean**3
+    return np.array([numeric.acceleration_from_sums(-c, q) for c, q in zip(cubes, squares, strict=True)])
