@@ -37,29 +37,47 @@ def per_resample(spark: SparkSession, resamples: int, draw: Callable[[int], floa
     return rows.sort_values("r")["x"].to_numpy()
 
 
+def block_share(seed: int, r: int, ends: np.ndarray, i: int) -> int:
+    """How many of resample r's draws fall to block i of the blocks between ``ends``: halved down to it, in as many steps as halvings."""
+    lo, hi, k = 0, len(ends) - 1, int(ends[-1])
+    while hi - lo > 1:
+        mid = (lo + hi) // 2
+        left = int(generator(seed, r, 1, lo * len(ends) + hi).binomial(k, (ends[mid] - ends[lo]) / (ends[hi] - ends[lo])))
+        lo, hi, k = (lo, mid, left) if i < mid else (mid, hi, k - left)
+    return k
+
+
 def bootstrap_means(diffs: DataFrame, n: int, resamples: int, seed: int) -> np.ndarray:
-    """Means of resamples of a table (line, diff) of n rows."""
+    """Means of resamples of a table (line, diff) of n rows.
+
+    Rows lie in blocks by their line. A resample's draws are shared out to the blocks, and a block draws its share among
+    its rows; both depend on (seed, resample, block) alone. Tasks take resamples of a broadcast table, or blocks where
+    it is too long for that: the draws are the same.
+    """
     spark = diffs.sparkSession
+    blocked = diffs.withColumn("block", F.floor(F.col("line") / _BLOCK))
+    sizes = blocked.groupBy("block").count().orderBy("block").toPandas()
+    index, size = {int(b): i for i, b in enumerate(sizes["block"])}, sizes["count"].to_numpy()
+    ends = np.concatenate([[0], np.cumsum(size)])
+
+    def block_sum(v: np.ndarray, r: int, i: int, k: int) -> float:
+        g, total = generator(seed, r, 2, i), 0.0
+        for lo in range(0, k, DRAWS):
+            total += v[g.integers(0, len(v), min(DRAWS, k - lo))].sum()
+        return total
+
     if n <= BROADCAST_DIFFS:
-        values = diffs.orderBy("line").toPandas()["diff"].to_numpy(float)
-        sent = spark.sparkContext.broadcast(values)
+        sent = spark.sparkContext.broadcast(diffs.orderBy("line").toPandas()["diff"].to_numpy(float))
 
         def draw(r: int) -> float:
-            g, v, total = generator(seed, r), sent.value, 0.0
-            for lo in range(0, n, DRAWS):
-                total += v[g.integers(0, n, min(DRAWS, n - lo))].sum()
-            return total / n
+            v = sent.value
+            return sum(block_sum(v[ends[i] : ends[i + 1]], r, i, block_share(seed, r, ends, i)) for i in range(len(size))) / n
 
         return per_resample(spark, resamples, draw)
-    # Each block draws its multinomial share of every resample; the shares depend on (seed, resample) alone.
-    blocked = diffs.withColumn("block", F.floor(F.col("line") / _BLOCK))
-    sizes = blocked.groupBy("block").count().orderBy("block").toPandas()
-    index, share = {int(b): i for i, b in enumerate(sizes["block"])}, sizes["count"].to_numpy() / n
 
     def part(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
         i, v = index[int(key[0])], f.sort_values("line")["diff"].to_numpy()
-        sums = [v[generator(seed, r, 2, i).integers(0, len(v), generator(seed, r, 1).multinomial(n, share)[i])].sum() for r in range(resamples)]
-        return pd.DataFrame({"r": range(resamples), "x": sums})
+        return pd.DataFrame({"r": range(resamples), "x": [block_sum(v, r, i, block_share(seed, r, ends, i)) for r in range(resamples)]})
 
     sums = blocked.groupBy("block").applyInPandas(part, "r long, x double").groupBy("r").agg(F.sum("x").alias("x")).orderBy("r").toPandas()
     return sums["x"].to_numpy() / n
@@ -97,7 +115,7 @@ def order_statistics(diffs: DataFrame, n: int) -> Callable[[np.ndarray], np.ndar
     return look_up
 
 
-def cluster_bootstrap(table: pd.DataFrame, n: int, statistic: Callable[[np.ndarray], np.ndarray], confidence: float, resamples: int, seed: int) -> dict:
+def cluster_bootstrap(spark: SparkSession, table: pd.DataFrame, n: int, statistic: Callable[[np.ndarray], np.ndarray], confidence: float, resamples: int, seed: int) -> dict:
     """Interval, design effect and effective sample size from the counts (w, d, l, clusters) of cluster kinds.
 
     A resample of all clusters is a multinomial draw over the kinds. Its twin draws the single outcomes.
@@ -106,14 +124,16 @@ def cluster_bootstrap(table: pd.DataFrame, n: int, statistic: Callable[[np.ndarr
     outcomes = (kinds * counts[:, None]).sum(0)
 
     def draws(values: np.ndarray, sizes: np.ndarray, tag: int) -> np.ndarray:
-        k, out = int(sizes.sum()), np.empty(resamples)
-        for r in range(resamples):
+        k = int(sizes.sum())
+
+        def draw(r: int) -> float:
             for attempt in range(REDRAWS):
                 s = statistic(generator(seed, r, attempt + 1, tag).multinomial(k, sizes / k) @ values)
                 if np.isfinite(s):
-                    break
-            out[r] = s if np.isfinite(s) else 0.0
-        return out
+                    return float(s)
+            return 0.0
+
+        return per_resample(spark, resamples, draw)
 
     clustered, single = draws(kinds, counts, 1), draws(np.eye(3), outcomes.astype(np.int64), 2)
     a = (1 - confidence) / 2

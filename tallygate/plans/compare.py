@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -111,11 +112,31 @@ def _measure(m: Metric, row: dict, keys: DataFrame, o: Options) -> dict:
     h = m.quantile * (n - 1)
     ends = at(np.array(sorted({math.floor(h), min(math.floor(h) + 1, n - 1)})))
     effect = float(ends[0] + (h - math.floor(h)) * (ends[-1] - ends[0]))
-    draws = resample.bootstrap_quantiles(at, n, m.quantile, o.resamples, o.seed)
-    lo, hi = numeric.basic_interval(draws, effect, o.confidence) if m.bootstrap == "basic" else numeric.percentile_interval(draws, o.confidence)
+    lo, hi = quantile_interval(at, n, m.quantile, effect, m.bootstrap, o)
     return counts | {"effect": effect, "ci_low": lo, "ci_high": hi, "quantile": m.quantile}
 
 
+def quantile_interval(at: Callable[[np.ndarray], np.ndarray], n: int, q: float, effect: float, method: str, o: Options) -> tuple[float, float]:
+    """Interval of the quantile ``effect`` of n values, of which ``at`` gives those at given ranks.
+
+    ``bca`` is here for users of the library; reports refuse it, since a step function has no sound jackknife.
+    """
+    if n == 1:
+        return effect, effect
+    draws = resample.bootstrap_quantiles(at, n, q, o.resamples, o.seed)
+    if method == "percentile":
+        return numeric.percentile_interval(draws, o.confidence)
+    if method == "basic":
+        return numeric.basic_interval(draws, effect, o.confidence)
+    # Leaving one out, the quantile lies between two of three neighbours: three values stand for all n.
+    h = q * (n - 2)
+    k = math.floor(h)
+    ranks = np.minimum(np.arange(k, k + 3), n - 1)
+    x = at(np.unique(ranks))[np.searchsorted(np.unique(ranks), ranks)]
+    left_out = np.array([lo + (h - k) * (hi - lo) for lo, hi in ((x[1], x[2]), (x[0], x[2]), (x[0], x[1]))])
+    return numeric.bca_interval(draws, effect, numeric.acceleration(left_out, np.array([k + 1, 1, n - k - 2])), o.confidence)
+
+
 def mean_interval(diffs: DataFrame, n: int, effect: float, method: str, o: Options) -> tuple[float, float]:
     if n == 1:
         return effect, effect
@@ -139,7 +160,7 @@ def _clustered(m: Metric, row: dict, keys: DataFrame, o: Options, n: int) -> dic
 
     table = netting.cluster_table(keys, m.policy).orderBy("w", "d", "l").toPandas()
     p = netting.name(m.policy)
-    return {"cluster_count": int(row[f"clusters_{p}"]), "max_cluster_size": int(row[f"largest_{p}"])} | resample.cluster_bootstrap(table, n, statistic, o.confidence, o.resamples, o.seed)
+    return {"cluster_count": int(row[f"clusters_{p}"]), "max_cluster_size": int(row[f"largest_{p}"])} | resample.cluster_bootstrap(keys.sparkSession, table, n, statistic, o.confidence, o.resamples, o.seed)
 
 
 def _report(m: Metric, out: dict, row: dict, o: Options) -> dict:

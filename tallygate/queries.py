@@ -5,7 +5,8 @@ The views below are SQL that Spark and DuckDB read alike.
 
 from __future__ import annotations
 
-import json
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,6 +19,7 @@ from .plans import matrix as matrices
 from .plans import power, recommend
 from .plans import sprt as sequential
 from .schema import BASELINE, FailureCaps, Metric, Options, SprtConfig, Thresholds
+from .sources.readers import read
 
 PAIRS = """SELECT CAST(l_orderkey AS STRING) AS id, CAST(l_orderkey AS BIGINT) AS line,
     avg(CASE WHEN l_returnflag = 'N' THEN CAST(l_extendedprice AS DOUBLE) END) AS baseline, avg(CASE WHEN l_returnflag <> 'N' THEN CAST(l_extendedprice AS DOUBLE) END) AS candidate
@@ -49,8 +51,10 @@ def rounded(df: DataFrame) -> DataFrame:
     return df.select(*((F.round(c, DIGITS) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
 
 
-def report(spark: SparkSession, made: dict) -> DataFrame:
-    return spark.createDataFrame([(json.dumps(made),)], "report string")
+def table(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
+    """Fields of reports as a table."""
+    names = [c.split()[0] for c in schema.split(", ")]
+    return rounded(spark.createDataFrame([tuple(r.get(n) for n in names) for r in rows], schema))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,7 +73,7 @@ def query(sql: str | None = None):
 
 # --- closed-form metrics ------------------------------------------------------------------------
 
-_Z = numeric.z_two_sided(0.95)
+_Z = 1.959963984540054  # the normal quantile at 0.975
 _R = f"round({{}}, {DIGITS}) + 0.0"
 
 
@@ -118,8 +122,7 @@ def sign_test(spark, sf_dir):
 
 @query(f"({_closed_sql(_tally(OUTCOMES), _PP, 'winrate')}) UNION ALL ({_closed_sql(_tally(OUTCOMES), _elo_sql, 'elo', True)}) UNION ALL ({_closed_sql(_SIGNS, _PP, 'sign-test')})")
 def multi_metric(spark, sf_dir):
-    both = f"SELECT p.*, o.result FROM ({PAIRS}) p JOIN ({OUTCOMES}) o USING (line)"
-    return _metric(spark, sf_dir, both.replace("p.*", "p.id, p.line, p.baseline, p.candidate"), Metric("winrate"), Metric("elo"), Metric("sign-test"))
+    return _metric(spark, sf_dir, _BOTH, Metric("winrate"), Metric("elo"), Metric("sign-test"))
 
 
 @query(_closed_sql(_tally(_NETTED), _PP, "winrate"))
@@ -154,6 +157,31 @@ def grouped_elo(spark, sf_dir):
     return rounded(comparisons.closed_form(rows, [Metric("elo")], by=("team",)))
 
 
+# --- readers: the trials written as files and read again ---------------------------------------------
+
+
+def _written(spark: SparkSession, sf_dir: str, fmt: str) -> DataFrame:
+    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tallygate-")
+    path = f"{folder}/trials-{uuid.uuid4().hex}.{fmt}"
+    rows = view(spark, sf_dir, _BOTH).select("id", "baseline", "candidate", "result")
+    rows.write.option("header", True).format("json" if fmt == "jsonl" else fmt).save(path)
+    return rounded(read(spark, path).select("id", "baseline", "candidate", "result"))
+
+
+_BOTH = f"SELECT p.id, p.line, p.baseline, p.candidate, o.result FROM ({PAIRS}) p JOIN ({OUTCOMES}) o USING (line)"
+_READ = f"SELECT id, {_R.format('baseline')} AS baseline, {_R.format('candidate')} AS candidate, result FROM ({_BOTH}) b"
+
+
+@query(_READ)
+def read_jsonl(spark, sf_dir):
+    return _written(spark, sf_dir, "jsonl")
+
+
+@query(_READ)
+def read_csv(spark, sf_dir):
+    return _written(spark, sf_dir, "csv")
+
+
 # --- counts ------------------------------------------------------------------------------------------
 
 
@@ -195,7 +223,7 @@ _DIFFS = f"SELECT candidate - baseline AS diff, row_number() OVER (ORDER BY line
 _DRAWS = f"""WITH v AS MATERIALIZED ({_DIFFS}), s AS (SELECT count(*) AS n, avg(diff) AS e FROM v),
     m AS (SELECT r, avg(diff) AS m FROM (SELECT r, ('0x' || substr(md5('{SEED}:' || r || ':' || k), 1, 13))::BIGINT % n AS pos FROM s, unnest(range({RESAMPLES})) a(r), unnest(range(n)) b(k)) d JOIN v USING (pos) GROUP BY r),
     o AS (SELECT list(m ORDER BY m) AS ms FROM m)"""
-_LO, _HI = numeric.ranks(0.025, 0.975, RESAMPLES)
+_LO, _HI = 2, 97  # ranks of the ends among 100 sorted draws at 95 %
 
 
 def _hashed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Column, Column, DataFrame]:
@@ -219,9 +247,8 @@ def mean_boot_basic(spark, sf_dir):
 
 # --- sequential tests ---------------------------------------------------------------------------------
 
-_BOUNDS = numeric.wald_bounds(CONFIG.alpha, CONFIG.beta)
-_UP, _DOWN = numeric.wald_steps(CONFIG.elo0, CONFIG.elo1)
-_DECIDE = f"CASE WHEN llr >= {_BOUNDS[1]} THEN 'pass' WHEN llr <= {_BOUNDS[0]} THEN 'fail' ELSE 'inconclusive' END AS verdict"
+_UP, _DOWN = "ln(2 / (1 + pow(10, -5 / 400.0)))", "ln(2 / (1 + pow(10, 5 / 400.0)))"  # of a win and a loss, elo 5 against 0
+_DECIDE = "CASE WHEN llr >= ln(0.95 / 0.05) THEN 'pass' WHEN llr <= ln(0.05 / 0.95) THEN 'fail' ELSE 'inconclusive' END AS verdict"
 
 
 @query(f"SELECT wins, draws, losses, {_R.format('llr')} AS llr, {_DECIDE} FROM (SELECT w AS wins, d AS draws, l AS losses, w * {_UP} + l * ({_DOWN}) AS llr FROM ({_tally(OUTCOMES)}) t) x")
@@ -282,37 +309,243 @@ def matrix_star(spark, sf_dir):
     return rounded(matrices.star_cells(graph.match_edges(view(spark, sf_dir, STAR), False), 0.95))
 
 
-# --- reports whose numeric part isn't SQL -------------------------------------------------------------------
+# --- reports ------------------------------------------------------------------------------------------------
+
+_EFFECT = "metric string, baseline_count long, candidate_count long, paired_count long, effect double, ci_low double, ci_high double, verdict string"
+
+
+def _compare(spark: SparkSession, sf_dir: str, sql: str, *metrics: Metric, **options) -> list[dict]:
+    made = comparisons.compare(view(spark, sf_dir, sql), list(metrics), Options(**options))
+    return made.get("reports", [made])
+
+
+def _simpson(f: Callable[[str], str], lo: str, hi: str, steps: int = 1000) -> str:
+    """SQL for the integral of ``f`` by Simpson's rule."""
+    weight = f"(CASE WHEN j = 0 OR j = {steps} THEN 1 WHEN j % 2 = 1 THEN 4 ELSE 2 END)"
+    at = f"({lo} + ({hi} - {lo}) * j / {steps}.0)"
+    return f"(({hi} - {lo}) / {3 * steps} * list_sum(list_transform(range({steps} + 1), lambda j: {weight} * {f(at)})))"
+
+
+def _normal_sql(x: str) -> str:
+    """SQL for the normal distribution function."""
+    return f"(0.5 + {_simpson(lambda t: f'exp(-{t} * {t} / 2)', '0.0', x)} / sqrt(2 * pi()))"
+
+
+def _beta_sql(ends: str) -> str:
+    """SQL for (side, x), the quantiles of beta distributions, from rows (side, p, a, b): bisection of the integrated density."""
+    density = lambda t: f"exp((a - 1) * ln(greatest({t}, 1e-300)) + (b - 1) * ln(greatest(1 - {t}, 1e-300)) + lgamma(a + b) - lgamma(a) - lgamma(b))"
+    return f"""SELECT side, (lo + hi) / 2 AS x FROM (
+        WITH RECURSIVE e AS ({ends}),
+        m AS (SELECT *, a / (a + b) AS mean, 12 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) AS wide FROM e),
+        s AS (SELECT side, p, a, b, greatest(mean - wide, 0.0) AS origin, greatest(mean - wide, 0.0) AS lo, least(mean + wide, 1.0) AS hi, 0 AS i FROM m
+            UNION ALL SELECT side, p, a, b, origin, CASE WHEN below < p THEN mid ELSE lo END, CASE WHEN below < p THEN hi ELSE mid END, i + 1
+            FROM (SELECT *, {_simpson(density, "origin", "mid")} AS below FROM (SELECT *, (lo + hi) / 2 AS mid FROM s WHERE i < 50) t) u)
+        SELECT * FROM s WHERE i = 50) q"""
+
+
+def _binomial_sql(counts: str, metric: str, lower: str, upper: str) -> str:
+    """SQL for a win-rate row whose ends are quantiles of beta distributions of these parameters."""
+    ends = f"SELECT 'lo' AS side, 0.025 AS p, {lower} FROM k UNION ALL SELECT 'hi', 0.975, {upper} FROM k"
+    return f"""WITH k AS MATERIALIZED (SELECT w::DOUBLE AS w, l::DOUBLE AS l FROM ({counts}) c), q AS ({_beta_sql(ends)}),
+        r AS (SELECT w, l, w / (w + l) - 0.5 AS e, (SELECT x FROM q WHERE side = 'lo') - 0.5 AS lo, (SELECT x FROM q WHERE side = 'hi') - 0.5 AS hi FROM k)
+        SELECT '{metric}' AS metric, l::BIGINT AS baseline_count, w::BIGINT AS candidate_count, (w + l)::BIGINT AS paired_count, {_R.format("e")} AS effect,
+            {_R.format("lo")} AS ci_low, {_R.format("hi")} AS ci_high, CASE WHEN lo >= 0 THEN 'pass' WHEN hi <= 0 THEN 'fail' ELSE 'inconclusive' END AS verdict FROM r"""
+
+
+_EXACT, _JEFFREYS = ("w AS a, l + 1 AS b", "w + 1, l"), ("w + 0.5 AS a, l + 0.5 AS b", "w + 0.5, l + 0.5")
+
+
+@query(_binomial_sql(_tally(OUTCOMES), "winrate", *_EXACT))
+def winrate_exact(spark, sf_dir):
+    return table(spark, _compare(spark, sf_dir, OUTCOMES, Metric("winrate", ci_method="exact")), _EFFECT)
+
+
+@query(_binomial_sql(_tally(OUTCOMES), "winrate", *_JEFFREYS))
+def winrate_jeffreys(spark, sf_dir):
+    return table(spark, _compare(spark, sf_dir, OUTCOMES, Metric("winrate", ci_method="jeffreys")), _EFFECT)
+
+
+@query(_binomial_sql(_SIGNS, "sign-test", *_EXACT))
+def sign_test_exact(spark, sf_dir):
+    return table(spark, _compare(spark, sf_dir, PAIRS, Metric("sign-test", ci_method="exact")), _EFFECT)
+
+
+_CLAIMS = "metric string, verdict string, achieved_alpha double, adjusted_alpha_threshold double, family_adjusted_verdict string"
+
+
+def _claims_sql(method: str) -> str:
+    """SQL for two claims. A lower end by Wilson's method clears a proportion at the level of the one-sample test against it."""
+    k = f"SELECT 'winrate' AS metric, w, l FROM ({_tally(OUTCOMES)}) c UNION ALL SELECT 'sign-test', w, l FROM ({_SIGNS}) d"
+    level = "0.05 / 2" if method == "bonferroni" else "0.05 / (2 - (row_number() OVER (ORDER BY alpha) - 1))"
+    stands = "alpha <= level" if method == "bonferroni" else "min(CASE WHEN alpha <= level THEN 1 ELSE 0 END) OVER (ORDER BY alpha) = 1"
+    return f"""WITH k AS ({k}), z AS (SELECT metric, (w / (w + l)::DOUBLE - 0.4875) / sqrt(0.4875 * 0.5125 / (w + l)) AS z FROM k),
+        a AS (SELECT metric, z, 2 * (1 - {_normal_sql("z")}) AS alpha FROM z), p AS (SELECT metric, alpha FROM a WHERE z >= {_Z}),
+        v AS (SELECT metric, alpha, {level} AS level FROM p), f AS (SELECT metric, alpha, level, {stands} AS stands FROM v)
+        SELECT metric, CASE WHEN alpha IS NULL THEN 'inconclusive' ELSE 'pass' END AS verdict, {_R.format("alpha")} AS achieved_alpha, {_R.format("level")} AS adjusted_alpha_threshold,
+            CASE WHEN stands THEN 'pass' ELSE 'inconclusive' END AS family_adjusted_verdict FROM k LEFT JOIN f USING (metric)"""
+
+
+def _claims(spark: SparkSession, sf_dir: str, method: str) -> DataFrame:
+    made = _compare(spark, sf_dir, _BOTH, Metric("winrate"), Metric("sign-test"), thresholds=Thresholds(-0.0125, -0.2), correction=method)
+    return table(spark, made, _CLAIMS)
+
+
+@query(_claims_sql("holm"))
+def claim_correction(spark, sf_dir):
+    return _claims(spark, sf_dir, "holm")
+
+
+@query(_claims_sql("bonferroni"))
+def claim_correction_bonferroni(spark, sf_dir):
+    return _claims(spark, sf_dir, "bonferroni")
+
+
+_FAILURES = ", ".join(f"count(*) FILTER (baseline_status = '{k}') + count(*) FILTER (candidate_status = '{k}') AS {n}" for k, n in (("timeout", "timeouts"), ("crash", "crashes"), ("invalid", "invalid")))
+
+
+@query(f"""SELECT CASE WHEN crashes > 10 THEN 'invalid' ELSE 'valid' END AS validity, 'inconclusive' AS verdict, 'not_promoted' AS promotion, timeouts, crashes, invalid,
+    concat('INVALID: ', crashes, ' crash(es) exceed the cap of 10. Strength not evaluated.') AS reason FROM (SELECT {_FAILURES} FROM ({STATUSES}) s) t""")
+def failure_caps(spark, sf_dir):
+    made = _compare(spark, sf_dir, STATUSES, Metric("elo", policy="loss"), caps=FailureCaps(max_crashes=10))
+    return table(spark, made, "validity string, verdict string, promotion string, timeouts long, crashes long, invalid long, reason string")
+
+
+def _resampled(name: str, sql: str, metric: Metric, extra: str = "", **options) -> None:
+    """Bootstrap reports: their draws come from a generator that SQL doesn't have, so tests check them by their properties."""
+    QUERIES[name] = lambda spark, sf_dir: table(spark, _compare(spark, sf_dir, sql, metric, **options), _EFFECT + extra)
+
+
+_resampled("mean_diff_percentile", PAIRS, Metric("mean-diff"), resamples=1000)
+_resampled("mean_diff_bca", PAIRS, Metric("mean-diff", bootstrap="bca"), resamples=1000)
+_resampled("quantile_diff", PAIRS, Metric("quantile-diff", quantile=0.5), ", quantile double")
+_resampled("quantile_diff_basic", PAIRS, Metric("quantile-diff", quantile=0.9, bootstrap="basic"), ", quantile double")
+_resampled("cluster_bootstrap", CLUSTERS, Metric("winrate"), ", cluster_count long, max_cluster_size long, design_effect double", clustered=True)
+
+
+def _pentanomial_sql() -> str:
+    """SQL for the ratio of the likeliest distributions whose means are the scores of elo 0 and 5, found by bisection."""
+    counts = ", ".join(f"count(*) FILTER (p = {b}) AS b{b}" for b in range(5))
+    pairs = f"SELECT sum(CASE result WHEN 'candidate_win' THEN 2 WHEN 'draw' THEN 1 ELSE 0 END) AS p FROM ({GAMES}) g GROUP BY id"
+    total = lambda f: f"list_sum(list_transform(range(5), lambda j: {f}))"
+    return f"""WITH RECURSIVE c AS MATERIALIZED (SELECT {counts} FROM ({pairs}) x),
+        n AS MATERIALIZED (SELECT [{", ".join(f"greatest(b{b}, 0.001)::DOUBLE" for b in range(5))}] AS n FROM c),
+        s AS (SELECT k, sc, n, -1 / (1 - sc) + 1e-9 AS lo, 1 / sc - 1e-9 AS hi, 0 AS i FROM n, (SELECT k, 1 / (1 + pow(10, -5.0 * k / 400)) AS sc FROM (VALUES (0), (1)) v(k)) e
+            UNION ALL SELECT k, sc, n, CASE WHEN g > 0 THEN mid ELSE lo END, CASE WHEN g > 0 THEN hi ELSE mid END, i + 1
+            FROM (SELECT *, {total("n[j + 1] * (j / 4.0 - sc) / (1 + mid * (j / 4.0 - sc))")} AS g FROM (SELECT *, (lo + hi) / 2 AS mid FROM s WHERE i < 100) t) u),
+        f AS (SELECT k, {total("n[j + 1] * ln(1 + (lo + hi) / 2 * (j / 4.0 - sc))")} AS t FROM s WHERE i = 100),
+        r AS (SELECT c.*, (SELECT t FROM f WHERE k = 0) - (SELECT t FROM f WHERE k = 1) AS llr FROM c)
+        SELECT b3 + b4 AS candidate_wins, b2 AS draws, b0 + b1 AS baseline_wins, {_R.format("llr")} AS llr, {_DECIDE} FROM r"""
+
+
+@query(_pentanomial_sql())
+def sprt_pentanomial(spark, sf_dir):
+    made = sequential.sprt(view(spark, sf_dir, GAMES), CONFIG, "pentanomial", paired=True)
+    return table(spark, [made], "candidate_wins long, draws long, baseline_wins long, llr double, verdict string")
+
+
+def _ratings_sql() -> str:
+    """SQL for the fitted ratings: minorise-maximise steps over the list of strengths, pinned to 1 at the first name."""
+    games = "list_sum(list_transform(list_filter(es, lambda e: e.a = i OR e.b = i), lambda e: e.n / (s[e.a] + s[e.b])))"
+    return f"""WITH RECURSIVE e AS MATERIALIZED ({_edges_sql(MATCHES)}), t AS MATERIALIZED (SELECT name, min(seen) AS seen FROM (SELECT a AS name, 2 * line AS seen FROM ({MATCHES}) m UNION ALL SELECT b, 2 * line + 1 FROM ({MATCHES}) m) x GROUP BY name),
+        v AS MATERIALIZED (SELECT name, row_number() OVER (ORDER BY seen) AS i FROM t),
+        w AS (SELECT list(k ORDER BY i) AS ws FROM (SELECT i, sum(CASE WHEN name = lo THEN lo_wins ELSE hi_wins END + draws / 2.0)::DOUBLE AS k FROM v JOIN e ON name = lo OR name = hi GROUP BY i) y),
+        g AS MATERIALIZED (SELECT ws, es FROM w, (SELECT list({{'a': p.i, 'b': q.i, 'n': (lo_wins + hi_wins + draws)::DOUBLE}}) AS es FROM e JOIN v p ON p.name = lo JOIN v q ON q.name = hi) z),
+        r AS (SELECT list_transform(ws, lambda x: 1.0::DOUBLE) AS s, 0 AS k FROM g
+            UNION ALL SELECT list_transform(u, lambda x: x / u[1]), k + 1 FROM (SELECT list_transform(range(1, len(ws) + 1), lambda i: ws[i] / {games}) AS u, k FROM r, g WHERE k < 300) h)
+        SELECT name, {_R.format("400 * log10(s[i])").replace(f", {DIGITS})", ", 3)")} AS elo, 0::BIGINT AS component FROM v, r WHERE k = 300"""
+
+
+def _matrix(spark: SparkSession, sf_dir: str, **options) -> dict:
+    return matrices.matrix(spark, [], [view(spark, sf_dir, MATCHES)], **options)
+
+
+@query(_ratings_sql())
+def matrix_ratings(spark, sf_dir):
+    """Competitors with their ratings; all have won and lost, so they are one component."""
+    made = table(spark, _matrix(spark, sf_dir, resamples=100)["candidates"], "name string, elo double, component long")
+    return made.withColumn("elo", F.round("elo", 3) + F.lit(0.0))
+
+
+_CELLS = "row string, col string, elo_diff double, ci_low double, ci_high double, status string"
+
+
+def matrix_general(spark, sf_dir):
+    return table(spark, _matrix(spark, sf_dir)["matrix"], _CELLS)
+
+
+def matrix_bca(spark, sf_dir):
+    return table(spark, _matrix(spark, sf_dir, method="bca")["matrix"], _CELLS)
+
+
+def matrix_dense(spark, sf_dir):
+    """A full round of 100 competitors of given strengths, 20 games a pair, 2,000 resamples; no table is read."""
+    strength = [100 * numeric.normal_quantile((i + 0.5) / 100) for i in range(100)]
+    edges = []
+    for a in range(100):
+        for b in range(a + 1, 100):
+            wins = round(16 * numeric.score_from_elo(strength[a] - strength[b]))
+            edges.append((a, b, wins, 16 - wins, 4))
+    g = graph.Graph(100, edges)
+    label, elo = g.fit()
+    cis = graph.pairwise_intervals(spark, g, label, elo, resamples=2000, seed=SEED, confidence=0.95, method="percentile")
+    made = [{"row": str(i), "col": str(j), "elo_diff": float(elo[i] - elo[j]), "ci_low": lo, "ci_high": hi, "status": "direct"} for (i, j), (lo, hi) in cis.items()]
+    return table(spark, made, _CELLS)
+
+
+QUERIES |= {f.__name__: f for f in (matrix_general, matrix_bca, matrix_dense)}
+
+
+def _plan_sql() -> str:
+    """SQL for a plan at 20 Elo: against the baseline the games are searched for by halving, else widths fall as the root of the fewer games."""
+    wilson = lambda sign, k: f"((p + {_Z * _Z} / (2 * {k})) / (1 + {_Z * _Z} / {k}) {sign} {_Z} / (1 + {_Z * _Z} / {k}) * sqrt(p * (1 - p) / {k} + {_Z * _Z} / (4.0 * {k} * {k})))"
+    half = lambda k: f"(({_elo_sql(wilson('+', k))} - {_elo_sql(wilson('-', k))}) / 2)"
+    count = "CASE WHEN lo = '{b}' THEN {x} ELSE {y} END".replace("{b}", BASELINE)
+    return f"""WITH RECURSIVE t AS MATERIALIZED (SELECT CASE WHEN a = '{BASELINE}' THEN b ELSE a END AS name, min(line) AS seen FROM ({STAR}) m GROUP BY 1),
+        c AS (SELECT CASE WHEN lo = '{BASELINE}' THEN hi ELSE lo END AS name, {count.format(x="hi_wins", y="lo_wins")} + draws / 2.0 AS points, lo_wins + hi_wins + draws AS n FROM ({_edges_sql(STAR)}) e),
+        s AS MATERIALIZED (SELECT name, seen, n, points::DOUBLE / n AS p FROM c JOIN t USING (name)),
+        h AS MATERIALIZED (SELECT *, {half("n")} AS now FROM s),
+        b AS (SELECT name, n, p, now, n AS lo, greatest((n * (now / 20) * (now / 20) * 2)::BIGINT, n + 1) AS hi, 0 AS i FROM h WHERE now > 20
+            UNION ALL SELECT name, n, p, now, CASE WHEN {half("mid")} <= 20 THEN lo ELSE mid + 1 END, CASE WHEN {half("mid")} <= 20 THEN mid ELSE hi END, i + 1
+            FROM (SELECT *, (lo + hi) // 2 AS mid FROM b WHERE lo < hi) x),
+        r AS (SELECT '{BASELINE}' AS "row", h.name AS col, 'direct' AS status, h.now AS width, coalesce(b.lo - h.n, 0)::BIGINT AS games FROM h LEFT JOIN b ON h.name = b.name AND b.lo >= b.hi
+            UNION ALL SELECT x.name, y.name, 'inferred', sqrt(x.now * x.now + y.now * y.now), CASE WHEN sqrt(x.now * x.now + y.now * y.now) <= 20 THEN 0 ELSE
+                greatest(0, floor(least(x.n, y.n) * (x.now * x.now + y.now * y.now) / 400)::BIGINT - least(x.n, y.n)) END FROM h x JOIN h y ON x.seen < y.seen)
+        SELECT "row", col, status, {_R.format("width")} AS current_ci_half_width, games AS estimated_additional_trials, row_number() OVER (ORDER BY games DESC, "row", col) AS place FROM r"""
+
+
+@query(_plan_sql())
+def plan_star(spark, sf_dir):
+    made = recommend.plan(spark, [], [view(spark, sf_dir, STAR)], min_elo=20)["recommendations"]
+    rows = [r | {"place": k} for k, r in enumerate(made, 1)]
+    return table(spark, rows, "row string, col string, status string, current_ci_half_width double, estimated_additional_trials long, place long")
+
+
+# The first of 20 sizes in a row at which 80 % is reached.
+@query(f"""WITH f AS MATERIALIZED (SELECT n, ceil(0.5 * n + {_Z} * sqrt(0.25 * n) - 1e-9)::BIGINT AS k FROM range(1, 1301) r(n)),
+    p AS (SELECT n, coalesce(list_sum(list_transform(range(k, n + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(0.55) + (n - j) * ln(0.45)))), 0) AS power FROM f),
+    m AS (SELECT n, power, min(power) OVER (ORDER BY n ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING) AS least FROM p)
+    SELECT n AS estimated_trials, {_R.format("power")} AS achieved_power, 'exact_binomial_search' AS method FROM m WHERE least >= 0.8 ORDER BY n LIMIT 1""")
+def power_exact(spark, sf_dir):
+    return table(spark, [power.estimate_trials("winrate", 0.0, 0.05)], "estimated_trials long, achieved_power double, method string")
 
 
-def _report_query(name: str, make: Callable[[SparkSession, str], dict]) -> None:
-    QUERIES[name] = lambda spark, sf_dir: report(spark, make(spark, sf_dir))
+@query(f"""WITH d AS (SELECT stddev_samp(candidate - baseline) AS sd FROM ({PAIRS}) p), n AS (SELECT sd, ceil(pow(({_Z} + 0.8416212335729143) * sd / 1000, 2))::BIGINT AS n FROM d)
+    SELECT n AS estimated_trials, {_R.format("sd")} AS assume_sd, {_R.format(_normal_sql(f"(1000 * sqrt(n) / sd - {_Z})"))} AS achieved_power FROM n""")
+def power_pilot(spark, sf_dir):
+    sd = power.pilot_sd(view(spark, sf_dir, PAIRS))
+    made = power.estimate_trials("mean-diff", 0.0, 1000.0, assume_sd=sd, sd_source="pilot")
+    return table(spark, [made], "estimated_trials long, assume_sd double, achieved_power double")
 
 
-def _compare(sql: str, *metrics: Metric, **options) -> Callable[[SparkSession, str], dict]:
-    return lambda spark, sf_dir: comparisons.compare(view(spark, sf_dir, sql), list(metrics), Options(**options))
+@query("""WITH s AS (SELECT 1 / (1 + pow(10, -20 / 400.0)) AS p1), u AS (SELECT p1, ln(p1 / 0.5) AS up, ln((1 - p1) / 0.5) AS down, ln(0.95 / 0.05) AS top FROM s)
+    SELECT ceil((0.05 * top - 0.95 * top) / (0.5 * up + 0.5 * down))::BIGINT AS expected_trials_under_h0, ceil((0.95 * top - 0.05 * top) / (p1 * up + (1 - p1) * down))::BIGINT AS expected_trials_under_h1 FROM u""")
+def sprt_asn(spark, sf_dir):
+    return table(spark, [power.sprt_trials(SprtConfig(0, 20))], "expected_trials_under_h0 long, expected_trials_under_h1 long")
 
 
-def _sprt(sql: str, variant: str, **options) -> Callable[[SparkSession, str], dict]:
-    return lambda spark, sf_dir: sequential.sprt(view(spark, sf_dir, sql), CONFIG, variant, **options)
+def sprt_horizon(spark, sf_dir):
+    """The risk of no decision within 3,000 trials, by simulation."""
+    return table(spark, [power.sprt_trials(SprtConfig(0, 20), horizon=3000, spark=spark)], "horizon long, probability_no_decision_by_horizon double")
 
 
-for _name, _make in {
-    "winrate_exact": _compare(OUTCOMES, Metric("winrate", ci_method="exact")),
-    "winrate_jeffreys": _compare(OUTCOMES, Metric("winrate", ci_method="jeffreys")),
-    "sign_test_exact": _compare(PAIRS, Metric("sign-test", ci_method="exact")),
-    "claim_correction": _compare(OUTCOMES, Metric("winrate"), Metric("elo"), thresholds=Thresholds.symmetric(0.001), correction="holm"),
-    "failure_caps": _compare(STATUSES, Metric("elo", policy="loss"), caps=FailureCaps(max_crashes=10)),
-    "mean_diff_percentile": _compare(PAIRS, Metric("mean-diff"), resamples=1000),
-    "mean_diff_bca": _compare(PAIRS, Metric("mean-diff", bootstrap="bca"), resamples=1000),
-    "quantile_diff": _compare(PAIRS, Metric("quantile-diff", quantile=0.5), resamples=2000),
-    "cluster_bootstrap": _compare(CLUSTERS, Metric("winrate"), clustered=True, resamples=1000),
-    "sprt_pentanomial": _sprt(GAMES, "pentanomial", paired=True),
-    "matrix_general": lambda spark, sf_dir: matrices.matrix(spark, [], [view(spark, sf_dir, MATCHES)], resamples=500),
-    "matrix_bca": lambda spark, sf_dir: matrices.matrix(spark, [], [view(spark, sf_dir, MATCHES)], resamples=500, method="bca"),
-    "plan_star": lambda spark, sf_dir: recommend.plan(spark, [], [view(spark, sf_dir, STAR)], min_elo=20),
-    "power_exact": lambda spark, sf_dir: power.estimate_trials("winrate", 0.0, 0.05),
-    "power_pilot": lambda spark, sf_dir: power.estimate_trials("mean-diff", 0.0, 1000.0, assume_sd=power.pilot_sd(view(spark, sf_dir, PAIRS)), sd_source="pilot"),
-    "sprt_asn": lambda spark, sf_dir: power.sprt_trials(SprtConfig(0, 20), horizon=3000, spark=spark),
-}.items():
-    _report_query(_name, _make)
+QUERIES["sprt_horizon"] = sprt_horizon

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import sys
 import tempfile
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..errors import fail
@@ -29,6 +30,7 @@ def read(spark: SparkSession, path: str, *, fmt: str | None = None, match: bool
         with tempfile.NamedTemporaryFile("wb", suffix=".records", delete=False) as f:
             f.write(sys.stdin.buffer.read())
         path = f.name
+        atexit.register(os.unlink, path)
     if path.endswith(".parquet"):
         return spark.read.parquet(path)
     try:
@@ -39,10 +41,18 @@ def read(spark: SparkSession, path: str, *, fmt: str | None = None, match: bool
         raise
 
 
-def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """(value, line): the lines of a text file, numbered from 1 over all its splits without gathering them."""
-    text = spark.read.text(path)
-    return text.rdd.map(lambda r: r[0]).zipWithIndex().map(lambda x: (x[0], x[1] + 1)).toDF("value string, line long")
+def _numbered(rows: DataFrame, first: int) -> DataFrame:
+    """The rows of files with their ``line``, counted from ``first`` in each file.
+
+    Rows are numbered within the blocks that files are read in; what stands before a block is the sum of the counts of
+    the blocks before it. So a file of many blocks is numbered where it lies; joined in is one row for each block.
+    """
+    at = {"__file": F.col("_metadata.file_path"), "__start": F.col("_metadata.file_block_start"), "__id": F.monotonically_increasing_id()}
+    placed = rows.select("*", *(c.alias(n) for n, c in at.items()))
+    blocks = placed.groupBy("__file", "__start").agg(F.count("*").alias("n"), F.min("__id").alias("least"))
+    before = F.sum("n").over(Window.partitionBy("__file").orderBy("__start").rowsBetween(Window.unboundedPreceding, -1))
+    shift = blocks.select("__file", "__start", (F.coalesce(before, F.lit(0)) - F.col("least") + first).alias("__shift"))
+    return placed.join(shift, ["__file", "__start"]).select(*rows.columns, (F.col("__id") + F.col("__shift")).alias("line"))
 
 
 def read_jsonl(spark: SparkSession, path: str, match: bool = False) -> DataFrame:
@@ -52,7 +62,7 @@ def read_jsonl(spark: SparkSession, path: str, match: bool = False) -> DataFrame
     checked by parsing it inside brackets, too.
     """
     names = MATCH_COLUMNS if match else TRIAL_COLUMNS
-    lines = _lines(spark, path).where(F.trim(F.regexp_replace("value", r"\s", " ")) != "")
+    lines = _numbered(spark.read.text(path), 1).where(F.trim(F.regexp_replace("value", r"\s", " ")) != "")
     v = F.try_parse_json("value")
     whole = F.try_parse_json(F.concat(F.lit("["), "value", F.lit("]")))
     rows = lines.select("line", "value", v.alias("v"), whole.alias("w"))
@@ -73,9 +83,7 @@ def read_csv(spark: SparkSession, path: str, match: bool = False) -> DataFrame:
     """CSV with a header; an empty cell is null. The line of a record is its number and that of the header."""
     names = MATCH_COLUMNS if match else TRIAL_COLUMNS
     raw = spark.read.csv(path, header=True, inferSchema=False, multiLine=True, mode="PERMISSIVE", quote='"', escape='"', nullValue="", emptyValue="")
-    numbered = raw.rdd.zipWithIndex().map(lambda x: (*x[0], x[1] + 2))
-    schema = ", ".join(f"`{c}` string" for c in raw.columns) + ", `__line` long"
-    df = numbered.toDF(schema)
+    df = _numbered(raw.withColumnRenamed("line", "_line"), 2)
     have = set(raw.columns)
     text = lambda c: F.nullif(F.col(c), F.lit("")) if c in have else F.lit(None).cast("string")
     values, bad = [], F.lit(False)
@@ -87,7 +95,7 @@ def read_csv(spark: SparkSession, path: str, match: bool = False) -> DataFrame:
         else:
             values.append(text(c).alias(c))
     error = F.when(bad, F.lit("InvalidCsv:a number can't be read"))
-    return df.select(*values, F.col("__line").alias("line"), error.alias("_error"))
+    return df.select(*values, "line", error.alias("_error"))
 
 
 def read_named(spark: SparkSession, paths: list[str], fmt: str | None = None) -> list[tuple[str, DataFrame]]:

@@ -73,11 +73,11 @@ def test_blocks_resample_like_a_broadcast(spark, monkeypatch):
     from tallygate.operators import resample
 
     df = pairs(spark, range(50))
+    monkeypatch.setattr(resample, "_BLOCK", 16)
     wide = compare(df, [Metric("mean-diff")], Options(resamples=800))
     monkeypatch.setattr(resample, "BROADCAST_DIFFS", 10)
-    monkeypatch.setattr(resample, "_BLOCK", 16)
     blocks = compare(df, [Metric("mean-diff")], Options(resamples=800))
-    assert (blocks["ci_low"], blocks["ci_high"]) == pytest.approx((wide["ci_low"], wide["ci_high"]), abs=1.0)
+    assert (blocks["ci_low"], blocks["ci_high"]) == pytest.approx((wide["ci_low"], wide["ci_high"]), rel=1e-12)
     q = compare(df, [Metric("quantile-diff", quantile=0.5)], Options(resamples=300))
     assert q["effect"] == 24.5 and q["ci_low"] < 24.5 < q["ci_high"]
 
@@ -260,3 +260,44 @@ def test_streams(spark, tmp_path):
     q.awaitTermination(120)
     assert sorted((r.id, r.bucket) for r in spark.table("pairs_out").collect()) == [(str(i), 3) for i in range(5)]
     assert pentanomial_verdict([0, 0, 0, 5, 0], SprtConfig(0, 20))[0] > 0
+
+
+@pytest.mark.parametrize(("n", "q"), [(2, 0.5), (3, 0.9), (17, 0.25), (40, 0.5), (41, 0.95)])
+def test_quantile_bca_has_the_full_jackknife(n, q):
+    import numpy as np
+
+    from tallygate.functions import numeric
+    from tallygate.operators.resample import bootstrap_quantiles
+    from tallygate.plans.compare import quantile_interval
+
+    x = np.sort(np.random.default_rng(n).exponential(size=n))
+    at, o = (lambda ranks: x[ranks]), Options(resamples=500)
+    left_out = np.array([np.quantile(np.delete(x, i), q) for i in range(n)])
+    effect = float(np.quantile(x, q))
+    expected = numeric.bca_interval(bootstrap_quantiles(at, n, q, 500, o.seed), effect, numeric.acceleration(left_out), 0.95)
+    assert quantile_interval(at, n, q, effect, "bca", o) == pytest.approx(expected)
+    assert quantile_interval(at, 1, q, 3.0, "bca", o) == (3.0, 3.0)
+
+
+def test_lines_over_many_blocks(spark, tmp_path):
+    """A file read in many blocks is numbered as a whole, and every file of a folder for itself."""
+    for name, n in (("a", 5000), ("b", 300)):
+        (tmp_path / f"{name}.jsonl").write_text("".join(json.dumps({"id": f"{name}{i}", "result": W}) + "\n" * (1 + i % 2) for i in range(n)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "7000b")
+    try:
+        rows = read(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert len(rows) == 5300 and all(r.line == 1 + i + i // 2 for r in rows for i in [int(r.id[1:])])
+
+
+def test_draws_are_shared_out_fairly():
+    import numpy as np
+
+    from tallygate.operators.resample import block_share
+
+    ends = np.array([0, 10, 15, 40, 41, 100])
+    shares = np.array([[block_share(1, r, ends, i) for i in range(5)] for r in range(2000)])
+    assert (shares.sum(1) == 100).all() and shares.mean(0) == pytest.approx(np.diff(ends), rel=0.1)
+    assert shares.var(0) == pytest.approx(np.diff(ends) * (1 - np.diff(ends) / 100), rel=0.2)

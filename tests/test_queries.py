@@ -4,6 +4,7 @@ import glob
 import os
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -29,6 +30,46 @@ def test_same_rows(spark, duck, name):
     pd.testing.assert_frame_equal(a, b, check_dtype=False, rtol=1e-6)
 
 
-@pytest.mark.parametrize("name", [n for n in queries.QUERIES if n not in queries.ORACLE])
-def test_reports_are_made(spark, name):
-    assert queries.QUERIES[name](spark, SF).count() == 1
+RESAMPLED = ["mean_diff_percentile", "mean_diff_bca", "quantile_diff", "quantile_diff_basic", "cluster_bootstrap", "matrix_general", "matrix_bca", "matrix_dense", "sprt_horizon"]
+
+
+def test_only_resampled_reports_lack_sql():
+    assert sorted(n for n in queries.QUERIES if n not in queries.ORACLE) == sorted(RESAMPLED)
+
+
+@pytest.mark.parametrize("name", ["mean_diff_percentile", "mean_diff_bca", "quantile_diff", "quantile_diff_basic", "cluster_bootstrap"])
+def test_resampled_intervals(spark, duck, name):
+    """The effect is SQL's; the interval is about as wide as theory has it."""
+    r = queries.QUERIES[name](spark, SF).first()
+    assert r.ci_low < r.effect < r.ci_high
+    if name == "cluster_bootstrap":
+        w, x = duck.execute(f"SELECT count(*) FILTER (result = 'candidate_win'), count(*) FILTER (result = 'baseline_win') FROM ({queries.duck(queries.CLUSTERS)}) c").fetchone()
+        assert (r.candidate_count, r.baseline_count) == (w, x) and r.effect == pytest.approx(w / (w + x) - 0.5, abs=1e-6) and 0.3 < r.design_effect < 3
+        return
+    d = np.sort(duck.execute(f"SELECT candidate - baseline FROM ({queries.duck(queries.PAIRS)}) p").fetchnumpy()["(candidate - baseline)"])
+    n = len(d)
+    if name.startswith("mean"):
+        assert r.effect == pytest.approx(d.mean(), abs=1e-5) and (r.ci_high - r.ci_low) / 2 == pytest.approx(1.96 * d.std(ddof=1) / n**0.5, rel=0.15)
+    else:
+        assert r.effect == pytest.approx(np.quantile(d, r.quantile), abs=1e-5)
+        step = 1.96 * (r.quantile * (1 - r.quantile) / n) ** 0.5
+        lo, hi = np.quantile(d, [r.quantile - step, r.quantile + step])
+        assert (r.ci_high - r.ci_low) == pytest.approx(hi - lo, rel=0.35)
+
+
+@pytest.mark.parametrize("name", ["matrix_general", "matrix_bca"])
+def test_matrix_intervals(spark, duck, name):
+    cells = queries.QUERIES[name](spark, SF).collect()
+    elo = {r[0]: r[1] for r in duck.execute(f"SELECT name, elo FROM ({queries.ORACLE['matrix_ratings']}) r").fetchall()}
+    assert len(cells) == 10
+    for c in cells:
+        assert c.status == "direct" and c.ci_low < c.elo_diff < c.ci_high and c.elo_diff == pytest.approx(elo[c.row] - elo[c.col], abs=0.01)
+
+
+def test_dense_matrix(spark):
+    cells = queries.QUERIES["matrix_dense"](spark, SF).collect()
+    assert len(cells) == 4950 and all(c.ci_low < c.elo_diff < c.ci_high for c in cells)
+
+
+def test_horizon(spark):
+    assert 0.2 < queries.QUERIES["sprt_horizon"](spark, SF).first().probability_no_decision_by_horizon < 0.45
