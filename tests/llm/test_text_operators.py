@@ -87,7 +87,6 @@ def test_packing_round_trip(docs, none):
 
     path = queries.vocabulary()
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     rows = [r.asDict() for r in packing.pack(docs, path, size=64).collect()]
     expected = collections.Counter()
     for i, t in corpus():
@@ -112,7 +111,8 @@ def test_packing_round_trip(docs, none):
         assert at <= 64
     assert sum(f < 64 for f in fills) <= 3  # one a task
     assert packing.pack(none, path).count() == 0
-    assert packing.Encoder(path).encode("a <|endoftext|> b") == np.array(tokenizer.encode("a <|endoftext|> b", add_special_tokens=False).ids, "<u4").tobytes()
+    for text in ("a <|endoftext|> b", "<|endoftext|>", "x  <|endoftext|>  \n<|endoftext|><|endoftext|>é", "<|endoftext| <|ENDOFTEXT|>", "\n\n <|endoftext|>\n\n", " " * 9):
+        assert packing.Encoder(path).encode(text) == np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 def test_sum_of_squares_choice():
