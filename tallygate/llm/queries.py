@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, jaccard_join, licences, lm_scoring, packing, pii, quality, quality_rules, substring_dedup, url_filter
+from . import conversation_repair, decontamination, jaccard_join, licences, lm_scoring, packing, pii, quality, quality_rules, substring_dedup, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,10 +65,18 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = conversation_repair.turns(table(spark, sf_dir, "conversations"))
+    return conversation_repair.report(rows, conversation_repair.damage(rows))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_packing, op2_url_filter, op3_personal_data, op4_quality, op5_lm_score, op6_jaccard_join, op7_decontamination, op8_quality_rules, op9_licences, op10_substring_dedup)
-}
+    for f in (
+        op1_packing, op2_url_filter, op3_personal_data, op4_quality, op5_lm_score, op6_jaccard_join, op7_decontamination,
+        op8_quality_rules, op9_licences, op10_substring_dedup, op13_conversation_repair,
+    )
+}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -106,7 +114,57 @@ def _canonical(text: str) -> str:
 _BITS = " + ".join(f"CASE WHEN {rule} THEN {1 << k} ELSE 0 END" for k, (_, rule) in enumerate(quality_rules.RULES))
 _HELD = lambda m: f"(failed & {m}) <> 0"
 
+
+
+#: SQL for the table of CRC-32, by its rule.
+_CRC_TABLE = """SELECT list(c ORDER BY n) AS crc FROM (SELECT n, list_reduce(list_prepend(n, range(8)),
+    lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS c FROM range(256) t(n)) u"""
+
+
+def _crc32(text: str) -> str:
+    """SQL for the CRC-32 of an ASCII text, a byte at a time by the column ``crc`` of the table above."""
+    chars = f"list_transform(string_split({text}, ''), lambda x: ascii(x)::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {chars}), lambda c, b: xor(c // 256, crc[xor(c, b) % 256 + 1])), 4294967295)"
+
+
+def _repair_sql() -> str:
+    """SQL for op13: a recursion over the turns, whose four paths are texts of nine digits of cost and the audit."""
+    add = lambda x, cost, letter: f"lpad((substr({x}, 1, 9)::BIGINT + {cost})::VARCHAR, 9, '0') || substr({x}, 10) || {letter}"
+    live = lambda x: f"CASE WHEN NOT dead THEN {x} END"
+    write = lambda x, i: live(add(x, f"t + CASE WHEN i = '{i}' THEN 0 ELSE 1 END", f"CASE WHEN i = '{i}' THEN 'K' ELSE 'R' END"))
+    inserted = lambda rows: f"SELECT *, least(a, {add('u', 5, chr(39) + 'I' + chr(39))}) AS b FROM (SELECT * REPLACE (least(u, {add('least(e, s, a)', 5, chr(39) + 'I' + chr(39))}) AS u) FROM ({rows}) v) w"
+    gone = lambda x: add(x, 2, "'D'")
+    return f"""
+        WITH RECURSIVE f AS MATERIALIZED (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+            {_crc32("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS k FROM conversations, ({_CRC_TABLE}) q),
+        d AS (SELECT conv_id, turn, CASE k WHEN 4 THEN 'user' ELSE role END AS role, CASE k WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+            FROM f, unnest(range(CASE k WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) c(j)),
+        o AS (SELECT *, substr(role, 1, 1) AS i, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank,
+            row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) > 1 AS again,
+            regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) NOT IN ('.', '!', '?') AS open FROM d),
+        g AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), again) AS p FROM o),
+        x AS MATERIALIZED (SELECT conv_id, turn, role, text, i, p, blank, again AND NOT blank AS again, open AND NOT blank AND NOT again AS open, blank OR again AS dead,
+            CASE WHEN open THEN 5 ELSE 0 END AS t, lag(i) OVER (PARTITION BY conv_id ORDER BY p) || i NOT IN ('su', 'ua', 'au') AS illegal FROM g),
+        n AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (again) AS duplicate,
+            count(*) FILTER (open) AS truncated, count(*) FILTER (illegal) AS illegal, count(*) AS n FROM x GROUP BY conv_id),
+        r AS (SELECT conv_id, 0::BIGINT AS p, '000000000' AS e, NULL::VARCHAR AS s, NULL::VARCHAR AS u, NULL::VARCHAR AS a FROM n
+            UNION ALL SELECT conv_id, p, {gone("e")}, least({gone("s")}, {live(f"CASE WHEN i = 's' THEN {add('e', 't', chr(39) + 'K' + chr(39))} END")}),
+                least({gone("u")}, {write("least(e, s, b)", "u")}), least({gone("b")}, {write("u", "a")})
+            FROM ({inserted("SELECT x.conv_id, x.p, x.i, x.dead, x.t, r.e, r.s, r.u, r.a FROM r JOIN x ON x.conv_id IS NOT DISTINCT FROM r.conv_id AND x.p = r.p + 1")}) y),
+        z AS MATERIALIZED (SELECT conv_id, substr(best, 1, 9)::BIGINT AS cost, substr(best, 10) AS audit
+            FROM (SELECT conv_id, least(e, b) AS best FROM ({inserted("SELECT r.* FROM r JOIN n ON r.conv_id IS NOT DISTINCT FROM n.conv_id AND r.p = n.n")}) y) w),
+        l AS (SELECT conv_id, k, audit[k] AS edit, length(replace(audit[:k], 'I', '')) AS p, length(replace(audit[:k], 'D', '')) AS j FROM z, unnest(range(1, length(audit) + 1)) q(k)),
+        m AS (SELECT l.conv_id, l.k, l.edit, l.j, x.role, x.text, max(CASE WHEN l.j = 1 AND edit = 'K' AND x.i = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY l.conv_id) AS system
+            FROM l LEFT JOIN x ON x.conv_id IS NOT DISTINCT FROM l.conv_id AND x.p = l.p AND l.edit <> 'I' WHERE l.edit <> 'D'),
+        h AS (SELECT conv_id, string_agg(CASE WHEN edit = 'K' THEN role WHEN (j - system) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || coalesce(text, ''), chr(10) ORDER BY k) AS whole FROM m GROUP BY conv_id)
+        SELECT c.conv_id, {", ".join(f"coalesce({v}, 0)::BIGINT AS {v}" for v in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost"))},
+            coalesce(audit, '') AS audit, sha256(coalesce(whole, '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM c.conv_id
+            LEFT JOIN z ON z.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN h ON h.conv_id IS NOT DISTINCT FROM c.conv_id"""
+
+
 ORACLE: dict[str, str] = {
+    "op13_conversation_repair": _repair_sql(),
     "op8_quality_rules": f"""
         WITH t AS MATERIALIZED (SELECT doc_id, coalesce(text, '') AS s, {_words("coalesce(text, '')")} AS w,
             list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM documents),
