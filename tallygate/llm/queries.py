@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import conversation_repair, decontamination, jaccard_join, licences, lm_scoring, packing, pii, quality, quality_rules, substring_dedup, url_filter
+from . import conversation_repair, decontamination, jaccard_join, licences, lm_scoring, packing, periodic_runs, pii, quality, quality_rules, substring_dedup, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +65,18 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(periodic_runs.repeated_stretch(table(spark, sf_dir, "documents")), least=24, power=3)
+    top = found.withColumn("top", periodic_runs.best_run())
+    line = lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    return top.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "top.start", "top.length", "top.period",
+        F.expr("1000 * top.length div top.period").alias("exponent_milli"),
+        digest(F.array_join(F.transform("runs", line), "")).alias("runs_sha256"), digest(F.col("kept")).alias("collapsed_sha256"),
+    )
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = conversation_repair.turns(table(spark, sf_dir, "conversations"))
     return conversation_repair.report(rows, conversation_repair.damage(rows))
@@ -74,7 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_packing, op2_url_filter, op3_personal_data, op4_quality, op5_lm_score, op6_jaccard_join, op7_decontamination,
-        op8_quality_rules, op9_licences, op10_substring_dedup, op13_conversation_repair,
+        op8_quality_rules, op9_licences, op10_substring_dedup, op12_periodic_runs, op13_conversation_repair,
     )
 }
 
