@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import conversation_repair, decontamination, jaccard_join, licences, lm_scoring, packing, periodic_runs, pii, quality, quality_rules, substring_dedup, url_filter
+from . import conversation_repair, decontamination, embedding_dedup, jaccard_join, licences, lm_scoring, packing, periodic_runs, pii, quality, quality_rules, substring_dedup, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +65,10 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op11_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.9)
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = periodic_runs.periodic_runs(periodic_runs.repeated_stretch(table(spark, sf_dir, "documents")), least=24, power=3)
     top = found.withColumn("top", periodic_runs.best_run())
@@ -86,7 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_packing, op2_url_filter, op3_personal_data, op4_quality, op5_lm_score, op6_jaccard_join, op7_decontamination,
-        op8_quality_rules, op9_licences, op10_substring_dedup, op12_periodic_runs, op13_conversation_repair,
+        op8_quality_rules, op9_licences, op10_substring_dedup, op11_embedding_dedup, op12_periodic_runs, op13_conversation_repair,
     )
 }
 
@@ -176,6 +180,14 @@ def _repair_sql() -> str:
 
 
 ORACLE: dict[str, str] = {
+    "op11_embedding_dedup": """
+        WITH RECURSIVE v AS MATERIALIZED (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+            WHERE len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        link AS MATERIALIZED (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
+        reach(vec_id, root) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT y, root FROM reach JOIN link ON x = reach.vec_id),
+        least AS (SELECT vec_id, min(root) AS component_id FROM reach GROUP BY vec_id),
+        n AS (SELECT x AS vec_id, count(*) AS n FROM link GROUP BY x)
+        SELECT e.vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, e.vec_id = component_id AS kept FROM embeddings e JOIN least USING (vec_id) LEFT JOIN n USING (vec_id)""",
     "op13_conversation_repair": _repair_sql(),
     "op8_quality_rules": f"""
         WITH t AS MATERIALIZED (SELECT doc_id, coalesce(text, '') AS s, {_words("coalesce(text, '')")} AS w,
