@@ -95,3 +95,10 @@ def trinomial_llr(config: SprtConfig, wins: Column, draws: Column, losses: Colum
 def sprt_verdict(llr: Column, config: SprtConfig) -> Column:
     lo, hi = numeric.wald_bounds(config.alpha, config.beta)
     return F.when(llr >= hi, "pass").when(llr <= lo, "fail").otherwise("inconclusive")
+
+
+def bootstrap_interval(draws: Column, effect: Column, method: str, confidence: float, resamples: int) -> tuple[Column, Column]:
+    """Percentile or basic interval from an array of draws."""
+    tail = (1 - confidence) / 2
+    lo, hi = (F.get(F.sort_array(draws), F.lit(i)) for i in numeric.ranks(tail, 1 - tail, resamples))
+    return (lo, hi) if method == "percentile" else (2 * effect - hi, 2 * effect - lo)

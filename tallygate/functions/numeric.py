@@ -38,6 +38,14 @@ def normal_quantile(p: float) -> float:
     return x if p < 0.5 else -x
 
 
+def normal_quantiles(p: np.ndarray) -> np.ndarray:
+    """Of numbers between 0 and 1."""
+    q = p - 0.5
+    tail = np.sqrt(-2 * np.log(np.minimum(p, 1 - p)))
+    outer = _poly(_TAIL_NUM, tail) / _poly(_TAIL_DEN, tail)
+    return np.where((p >= TAIL) & (p <= 1 - TAIL), q * _poly(_CENTRE_NUM, q * q) / _poly(_CENTRE_DEN, q * q), np.where(p < 0.5, outer, -outer))
+
+
 def normal_cdf(x: float) -> float:
     return 0.5 * math.erfc(-x / math.sqrt(2))
 

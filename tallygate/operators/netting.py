@@ -25,7 +25,7 @@ def name(policy: str) -> str:
 
 def by_key(df: DataFrame, metrics: list[Metric], by: tuple[str, ...] = (), context: str = "") -> DataFrame:
     """One row of sums for each id (and each row without id)."""
-    rows = trials(df)
+    rows = trials(df).withColumn("key", key())
     aggregates: list[Column] = [
         F.count("*").alias("n"),
         F.max(F.col("id").isNotNull()).alias("has_id"),
@@ -45,7 +45,7 @@ def by_key(df: DataFrame, metrics: list[Metric], by: tuple[str, ...] = (), conte
     if any(m.numeric for m in metrics):
         d = difference()
         aggregates += [F.count(d).alias("n_diff"), F.avg(d).alias("diff")]
-    return rows.groupBy(*by, key().alias("key")).agg(*aggregates)
+    return rows.groupBy(*by, "key").agg(*aggregates)
 
 
 def net(keys: DataFrame, metrics: list[Metric], paired: bool) -> DataFrame:

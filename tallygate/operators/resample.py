@@ -6,16 +6,16 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import numeric
+from ..sources.scratch import Table
+from . import ranks
 
-#: Differences that are broadcast (16 MB); more are resampled block by block where they lie.
-BROADCAST_DIFFS = 2_000_000
-#: Draws worked on at a time, and redraws while a resample has no decisive outcome.
-DRAWS, REDRAWS = 1_000_000, 1_000
-_BLOCK = 262_144
+#: Redraws while a resample has no decisive outcome.
+REDRAWS = 1_000
 
 
 def generator(seed: int, *counter: int) -> np.random.Generator:
@@ -37,50 +37,128 @@ def per_resample(spark: SparkSession, resamples: int, draw: Callable[[int], floa
     return rows.sort_values("r")["x"].to_numpy()
 
 
-def block_share(seed: int, r: int, ends: np.ndarray, i: int) -> int:
-    """How many of resample r's draws fall to block i of the blocks between ``ends``: halved down to it, in as many steps as halvings."""
-    lo, hi, k = 0, len(ends) - 1, int(ends[-1])
-    while hi - lo > 1:
-        mid = (lo + hi) // 2
-        left = int(generator(seed, r, 1, lo * len(ends) + hi).binomial(k, (ends[mid] - ends[lo]) / (ends[hi] - ends[lo])))
-        lo, hi, k = (lo, mid, left) if i < mid else (mid, hi, k - left)
-    return k
+# --- means ----------------------------------------------------------------------------------------------
 
+# Steps of the counters, and the shifts and factors of the splitmix64 finaliser.
+STEP, NODE = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03
+MIX = ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1))
+# Step, shifts and factors of the 32-bit mixing of single draws.
+DRAW, MIX32 = 0x9E3779B9, ((16, 0x7FEB352D), (15, 0x846CA68B), (16, 1))
+#: Rows of a block, blocks that are drawn from together, draws of a split that are made one by one.
+BLOCK, TOGETHER, SINGLY = 1024, 64, 64
 
-def bootstrap_means(diffs: DataFrame, n: int, resamples: int, seed: int) -> np.ndarray:
-    """Means of resamples of a table (line, diff) of n rows.
 
-    Rows lie in blocks by their line. A resample's draws are shared out to the blocks, and a block draws its share among
-    its rows; both depend on (seed, resample, block) alone. Tasks take resamples of a broadcast table, or blocks where
-    it is too long for that: the draws are the same.
-    """
-    spark = diffs.sparkSession
-    blocked = diffs.withColumn("block", F.floor(F.col("line") / _BLOCK))
-    sizes = blocked.groupBy("block").count().orderBy("block").toPandas()
-    index, size = {int(b): i for i, b in enumerate(sizes["block"])}, sizes["count"].to_numpy()
-    ends = np.concatenate([[0], np.cumsum(size)])
+def mix(x: np.ndarray) -> np.ndarray:
+    """64 well-mixed bits of each counter; every SQL engine with unsigned integers repeats them."""
+    for shift, factor in MIX:
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return x
 
-    def block_sum(v: np.ndarray, r: int, i: int, k: int) -> float:
-        g, total = generator(seed, r, 2, i), 0.0
-        for lo in range(0, k, DRAWS):
-            total += v[g.integers(0, len(v), min(DRAWS, k - lo))].sum()
-        return total
 
-    if n <= BROADCAST_DIFFS:
-        sent = spark.sparkContext.broadcast(diffs.orderBy("line").toPandas()["diff"].to_numpy(float))
+def places(bits: np.ndarray, most: int, size: int) -> np.ndarray:
+    """A row a stream, named by 64 bits: its first draws from 0 to size - 1. The low half starts a counter, the high half enters its mixing."""
+    x = bits.astype(np.uint32)[:, None] + np.arange(most, dtype=np.uint32) * np.uint32(DRAW)
+    for i, (shift, factor) in enumerate(MIX32):
+        x ^= x >> np.uint32(shift)
+        x *= np.uint32(factor)
+        if i == 0:
+            x ^= (bits >> np.uint64(32)).astype(np.uint32)[:, None]
+    return (x.astype(np.uint64) * np.uint64(size) >> np.uint64(32)).astype(np.intp)
 
-        def draw(r: int) -> float:
-            v = sent.value
-            return sum(block_sum(v[ends[i] : ends[i + 1]], r, i, block_share(seed, r, ends, i)) for i in range(len(size))) / n
 
-        return per_resample(spark, resamples, draw)
+def _counter(x: np.ndarray, by: int, step: int = STEP) -> np.ndarray:
+    return x + np.uint64(by * step % 2**64)
+
 
-    def part(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
-        i, v = index[int(key[0])], f.sort_values("line")["diff"].to_numpy()
-        return pd.DataFrame({"r": range(resamples), "x": [block_sum(v, r, i, block_share(seed, r, ends, i)) for r in range(resamples)]})
+def split(k: np.ndarray, p: float, s: np.ndarray) -> np.ndarray:
+    """Of k draws, how many go to the left, each with chance p near a half; from the bits s alone.
 
-    sums = blocked.groupBy("block").applyInPandas(part, "r long, x double").groupBy("r").agg(F.sum("x").alias("x")).orderBy("r").toPandas()
-    return sums["x"].to_numpy() / n
+    Few draws are made one by one. For more, the binomial's quantile at a uniform number is that of the normal with its
+    mean, variance and skewness, rounded.
+    """
+    z = numeric.normal_quantiles(((s >> np.uint64(11)).astype(float) + 0.5) / 2**53)
+    left = np.floor(k * p + z * np.sqrt(k * p * (1 - p)) + (z * z - 1) * (1 - 2 * p) / 6 + 0.5)
+    left = np.clip(left, 0, k).astype(np.int64)
+    for i in np.flatnonzero(k <= SINGLY):
+        bits = mix(np.full(k[i], s[i]) + np.arange(k[i], dtype=np.uint64) * np.uint64(STEP))
+        left[i] = np.count_nonzero((bits >> np.uint64(11)).astype(float) / 2**53 < p)
+    return left
+
+
+def shares(n: int, blocks: int, seed: int, resamples: np.ndarray, first: int, last: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(block, draws, bits) of the blocks from first to before last: how many of n draws each resample takes from the block.
+
+    Draws are halved down a tree over the blocks; a node's split depends on (seed, resample, node) alone.
+    """
+    base = mix(np.full(len(resamples), seed % 2**64, np.uint64) + resamples.astype(np.uint64) * np.uint64(STEP))
+    start = lambda i: i * n // blocks
+
+    def walk(node: int, lo: int, hi: int, k: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        if hi <= first or lo >= last:
+            return
+        bits = mix(_counter(base, node, NODE))
+        if hi - lo == 1:
+            yield lo, k, bits
+            return
+        mid = (lo + hi) // 2
+        left = split(k, (start(mid) - start(lo)) / (start(hi) - start(lo)), bits)
+        yield from walk(2 * node, lo, mid, left)
+        yield from walk(2 * node + 1, mid, hi, k - left)
+
+    yield from walk(1, 0, blocks, np.full(len(resamples), n, np.int64))
+
+
+def drawn_sums(values: np.ndarray, n: int, part: int, seed: int, resamples: np.ndarray, block: int = BLOCK, together: int = TOGETHER) -> np.ndarray:
+    """For each resample, the sum of what it draws from the sorted values of one part of n rows."""
+    blocks = -(-n // block)
+    first, last = part * together, min(blocks, (part + 1) * together)
+    total = np.zeros(len(resamples))
+    for b, k, bits in shares(n, blocks, seed, resamples, first, last):
+        lo, hi = (i * n // blocks - first * n // blocks for i in (b, b + 1))
+        v, most = values[lo:hi], int(k.max(initial=0))
+        for at in range(0, len(k), rows := max(1, 200_000 // max(1, most))):
+            own = slice(at, at + rows)
+            drawn = v[places(bits[own], most, len(v))]
+            total[own] += (drawn * (np.arange(most) < k[own, None])).sum(1)
+    return total
+
+
+def bootstrap_means(values: DataFrame, value: str, resamples: int, seed: int, by: tuple[str, ...] = (), tie: str | None = None) -> tuple[Table, DataFrame]:
+    """(the table to drop when done, (by, n, draws)): for each group the means of its resamples, by resample.
+
+    Rows lie in blocks of about BLOCK by their rank, so draws depend on the values alone, not on lines or partitions. A task
+    takes TOGETHER blocks of a group, for some of the resamples where there are few blocks; a large group is many tasks'
+    work, and a row's value is never repeated for a resample. Sums of parts are added in order.
+    """
+    spark, size, together = values.sparkSession, BLOCK, TOGETHER
+    table, rows = ranks.ranked(values, value, by, tie)
+    blocks = F.ceil(F.col("n") / size)
+    block = F.floor(((F.col("rank") + 1) * blocks - 1) / F.col("n"))
+    group = F.struct(F.lit(0).alias("_"), *by).alias("g")
+    parts = rows.select(group, "n", F.floor(block / together).cast("long").alias("part"), value).groupBy("g", "n", "part").agg(F.sort_array(F.collect_list(value)).alias("v"))
+    work = spark.sparkContext.defaultParallelism * 2
+    slices = F.greatest(F.lit(1), F.least(F.lit(max(1, resamples // 64)), F.floor(F.lit(work) * F.col("n") / (size * 8 * (blocks / together + 1))))).cast("int")
+    dealt = parts.withColumn("slices", slices).withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).repartition("g", "part", "slice")
+    kind = next(f for f in dealt.schema if f.name == "g").dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for i in range(whole.num_rows):
+                row = whole.slice(i, 1)
+                n, part, k, c = (row.column(x)[0].as_py() for x in ("n", "part", "slices", "slice"))
+                rs = np.arange(c * resamples // k, (c + 1) * resamples // k)
+                sums = drawn_sums(row.column("v").flatten().to_numpy(zero_copy_only=False), n, part, seed, rs, size, together)
+                yield pa.RecordBatch.from_arrays([*(row.column(x) for x in ("g", "n", "part", "slice")), pa.array([sums.tolist()], pa.list_(pa.float64()))], names=["g", "n", "part", "slice", "x"])
+
+    sums = dealt.select("g", "n", "part", "slices", "slice", "v").mapInArrow(run, f"g {kind}, n long, part long, slice int, x array<double>")
+    added = F.aggregate(F.slice("xs", 2, F.greatest(F.size("xs") - 1, F.lit(1))), F.get("xs", F.lit(0)), lambda a, b: F.zip_with(a, b, lambda u, v: u + v))
+    in_order = lambda *key: F.transform(F.sort_array(F.collect_list(F.struct(*key, "x"))), lambda s: s["x"]).alias("xs")
+    one = sums.groupBy("g", "n", "slice").agg(in_order("part")).select("g", "n", "slice", added.alias("x"))
+    draws = one.groupBy("g", "n").agg(in_order("slice")).select("g", "n", F.transform(F.flatten("xs"), lambda x: x / F.col("n")).alias("draws"))
+    return table, draws.select(*(F.col("g")[c].alias(c) for c in by), "n", "draws")
+
+
+# --- quantiles ------------------------------------------------------------------------------------------
 
 
 def bootstrap_quantiles(ordered: Callable[[np.ndarray], np.ndarray], n: int, q: float, resamples: int, seed: int) -> np.ndarray:
@@ -100,21 +178,6 @@ def bootstrap_quantiles(ordered: Callable[[np.ndarray], np.ndarray], n: int, q:
     return lo + (h - k) * (hi - lo)
 
 
-def order_statistics(diffs: DataFrame, n: int) -> Callable[[np.ndarray], np.ndarray]:
-    """Values of a table (line, diff) by rank: of a sorted vector, or of a distributed sort where it is too long."""
-    if n <= BROADCAST_DIFFS:
-        values = np.sort(diffs.toPandas()["diff"].to_numpy(float))
-        return lambda ranks: values[ranks]
-
-    def look_up(ranks: np.ndarray) -> np.ndarray:
-        spark = diffs.sparkSession
-        numbered = diffs.sort("diff").select("diff").rdd.map(lambda r: r[0]).zipWithIndex().toDF("diff double, rank long")
-        wanted = spark.createDataFrame(pd.DataFrame({"rank": ranks}))
-        return numbered.join(wanted, "rank").orderBy("rank").toPandas()["diff"].to_numpy()
-
-    return look_up
-
-
 def cluster_bootstrap(spark: SparkSession, table: pd.DataFrame, n: int, statistic: Callable[[np.ndarray], np.ndarray], confidence: float, resamples: int, seed: int) -> dict:
     """Interval, design effect and effective sample size from the counts (w, d, l, clusters) of cluster kinds.
 
@@ -142,22 +205,3 @@ def cluster_bootstrap(spark: SparkSession, table: pd.DataFrame, n: int, statisti
     spread = single.var(ddof=1) if resamples > 1 else 0.0
     effect = float(clustered.var(ddof=1) / spread) if spread > 0 else 1.0
     return {"ci_low": float(s[lo]), "ci_high": float(s[hi]), "design_effect": effect, "effective_sample_size": n / effect if effect > 0 else float(n)}
-
-
-# --- the same in plain SQL, for tables and engines without Python -----------------------------------
-
-
-def hashed_index(seed: int, r: Column, k: Column, n: Column) -> Column:
-    """A draw from 0 to n - 1 that any SQL engine with md5 repeats: 52 bits of md5('seed:r:k')."""
-    digest = F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), r.cast("string"), k.cast("string"))), 1, 13)
-    return F.conv(digest, 16, 10).cast("bigint") % n
-
-
-def hashed_means(diffs: DataFrame, resamples: int, seed: int) -> DataFrame:
-    """(r, m): means of resamples of a table (pos from 0, diff), declared as a join of draws with values."""
-    spark = diffs.sparkSession
-    n = diffs.agg(F.count("*").alias("n"))
-    size = n.scalar()
-    draws = spark.range(resamples).select(F.col("id").alias("r")).select("r", F.explode(F.sequence(F.lit(0).cast("bigint"), size - 1)).alias("k"))
-    at = draws.select("r", hashed_index(seed, F.col("r"), F.col("k"), size).alias("pos"))
-    return at.groupBy("r", "pos").agg(F.count("*").alias("times")).join(diffs, "pos").groupBy("r").agg((F.sum(F.col("diff") * F.col("times")) / F.sum("times")).alias("m"))

@@ -97,6 +97,6 @@ def raise_error(row) -> None:
 
 
 def key() -> Column:
-    """Rows of one id share a key; a row without id has its own."""
-    return F.when(F.col("id").isNotNull(), F.concat(F.lit("i"), "id")).otherwise(F.concat(F.lit("l"), F.col("line").cast("string")))
-
+    """Rows of one id share a key; a row without id has its own, also where lines repeat. For a projection, before rows are grouped."""
+    own = F.concat_ws(":", F.lit("l"), F.col("line").cast("string"), F.monotonically_increasing_id().cast("string"))
+    return F.when(F.col("id").isNotNull(), F.concat(F.lit("i"), "id")).otherwise(own)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..errors import fail
 from ..functions import columns, numeric
-from ..operators import netting, resample
+from ..operators import netting, ranks, resample
 from ..operators.trials import raise_error
 from ..schema import SCHEMA_VERSION, Metric, Options, Thresholds, check_confidence, one_of
 from .correction import apply_correction
@@ -103,12 +103,12 @@ def _measure(m: Metric, row: dict, keys: DataFrame, o: Options) -> dict:
     n = int(row["n_diff"])
     if not n:
         return zero | {"warning": f"no pairs of numbers for {m.kind}"} | ({"quantile": m.quantile} if m.quantile else {})
-    diffs = keys.where("diff is not null").select("line", "diff")
+    diffs = keys.where("diff is not null").select("diff", F.xxhash64("key").alias("tie"))
     counts = {"baseline_count": n, "candidate_count": n, "paired_count": n}
     if m.kind == "mean-diff":
         effect = float(row["mean_diff"])
         return counts | {"effect": effect} | dict(zip(("ci_low", "ci_high"), mean_interval(diffs, n, effect, m.bootstrap, o), strict=True))
-    at = resample.order_statistics(diffs, n)
+    at = ranks.order_statistics(diffs, "diff", n)
     h = m.quantile * (n - 1)
     ends = at(np.array(sorted({math.floor(h), min(math.floor(h) + 1, n - 1)})))
     effect = float(ends[0] + (h - math.floor(h)) * (ends[-1] - ends[0]))
@@ -138,9 +138,12 @@ def quantile_interval(at: Callable[[np.ndarray], np.ndarray], n: int, q: float,
 
 
 def mean_interval(diffs: DataFrame, n: int, effect: float, method: str, o: Options) -> tuple[float, float]:
+    """Interval of the mean ``effect`` of n rows (diff, tie)."""
     if n == 1:
         return effect, effect
-    draws = resample.bootstrap_means(diffs, n, o.resamples, o.seed)
+    table, means = resample.bootstrap_means(diffs, "diff", o.resamples, o.seed, tie="tie")
+    draws = np.array(means.first()["draws"])
+    table.drop()
     if method == "percentile":
         return numeric.percentile_interval(draws, o.confidence)
     if method == "basic":
@@ -279,3 +282,25 @@ def closed_form(df: DataFrame, metrics: list[Metric], options: Options | None =
     out = rows.select(*by, F.expr("error is not null or late_error is not null").alias("has_error"), F.explode(F.array(*parts)).alias("m")).select(*by, "m.*", "has_error")
     verdict = F.when(F.col("paired_count") == 0, "inconclusive").otherwise(columns.verdict(F.col("ci_low"), F.col("ci_high"), o.thresholds))
     return out.withColumn("verdict", verdict)
+
+
+def grouped_mean_diff(df: DataFrame, by: tuple[str, ...], method: str = "percentile", options: Options | None = None) -> DataFrame:
+    """(by, paired_count, effect, ci_low, ci_high, verdict, has_error): bootstrap intervals of the mean difference of each group, as one plan.
+
+    A large group is resampled by many tasks. A group of one pair has its difference as its interval.
+    """
+    o = options or Options()
+    check_confidence(o.confidence)
+    one_of(method, ("percentile", "basic"))
+    m = [Metric("mean-diff", bootstrap=method)]
+    keys = netting.by_key(df, m, by)
+    sums = netting.totals(keys, m, o.paired, by).where("n_diff > 0").select(*(F.col(c).alias(f"_{c}") for c in by), "n_diff", "mean_diff", F.expr("error is not null or late_error is not null").alias("has_error"))
+    diffs = keys.where("diff is not null").select(*by, "diff", F.xxhash64("key").alias("tie"))
+    _, means = resample.bootstrap_means(diffs, "diff", o.resamples, o.seed, by, tie="tie")
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    lo, hi = columns.bootstrap_interval(F.col("draws"), F.col("mean_diff"), method, o.confidence, o.resamples)
+    one = lambda x: F.when(F.col("n") == 1, F.col("mean_diff")).otherwise(x)
+    out = means.join(sums, same).select(*by, F.col("n_diff").alias("paired_count"), F.col("mean_diff").alias("effect"), one(lo).alias("ci_low"), one(hi).alias("ci_high"), "has_error")
+    return out.select(*by, "paired_count", "effect", "ci_low", "ci_high", columns.verdict(F.col("ci_low"), F.col("ci_high"), o.thresholds).alias("verdict"), "has_error")

@@ -5,20 +5,22 @@ The views below are SQL that Spark and DuckDB read alike.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import numeric
-from .operators import graph, netting, resample
+from .functions import columns, numeric
+from .operators import graph, netting, ranks, resample
 from .plans import compare as comparisons
 from .plans import matrix as matrices
 from .plans import power, recommend
 from .plans import sprt as sequential
-from .schema import BASELINE, FailureCaps, Metric, Options, SprtConfig, Thresholds
+from .schema import BASELINE, DEFAULT_SEED, FailureCaps, Metric, Options, SprtConfig, Thresholds
 from .sources.readers import read
 
 PAIRS = """SELECT CAST(l_orderkey AS STRING) AS id, CAST(l_orderkey AS BIGINT) AS line,
@@ -34,16 +36,15 @@ MATCHES = """SELECT CAST(NULL AS STRING) AS id, line, a, b, CASE WHEN abs(value
     FROM (SELECT CAST(event_id AS BIGINT) AS line, event_type AS a, lead(event_type) OVER w AS b, value, lead(value) OVER w AS next FROM {events} WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) e WHERE b IS NOT NULL AND a <> b"""
 STAR = f"""SELECT id, line, CASE WHEN a = 'view' THEN '{BASELINE}' ELSE a END AS a, CASE WHEN b = 'view' THEN '{BASELINE}' ELSE b END AS b, result FROM ({MATCHES}) m WHERE a = 'view' OR b = 'view'"""
 
-CONFIG, RESAMPLES, SEED, DIGITS = SprtConfig(0, 5), 100, 7, 6
+CONFIG, RESAMPLES, SEED, DIGITS = SprtConfig(0, 5), 10_000, 7, 6
 
 
 def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("lineitem", "events") if "{" + t + "}" in sql}
-    return spark.sql(sql, **tables)
+    return spark.sql(sql, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in set(re.findall(r"{([a-z]+)}", sql))})
 
 
 def duck(sql: str) -> str:
-    return sql.replace("{lineitem}", "lineitem").replace("{events}", "events").replace(" DIV ", " // ")
+    return re.sub(r"{([a-z]+)}", r"\1", sql).replace(" DIV ", " // ")
 
 
 def rounded(df: DataFrame) -> DataFrame:
@@ -212,37 +213,121 @@ def mean_diff_point(spark, sf_dir):
 
 @query(f"SELECT q, {_R.format('v')} AS effect FROM (SELECT unnest([0.1, 0.5, 0.9]) AS q, unnest(quantile_cont(candidate - baseline, [0.1, 0.5, 0.9])) AS v FROM ({PAIRS}) p) x")
 def quantile_diff_point(spark, sf_dir):
+    """Looked up by the operator that reports use."""
     rows = view(spark, sf_dir, PAIRS).select((F.col("candidate") - F.col("baseline")).alias("d"))
-    parts = [rows.agg(F.lit(q).alias("q"), F.percentile("d", q).alias("effect")) for q in (0.1, 0.5, 0.9)]
-    return rounded(parts[0].union(parts[1]).union(parts[2]))
+    n = rows.count()
+    at = [q * (n - 1) for q in (0.1, 0.5, 0.9)]
+    ends = ranks.order_statistics(rows, "d", n)(np.floor([at, np.ceil(at)]).astype(int)) if n else np.empty((2, 0))
+    made = [{"q": q, "effect": float(lo + (h - int(h)) * (hi - lo))} for q, h, lo, hi in zip((0.1, 0.5, 0.9), at, *ends)]
+    return table(spark, made, "q double, effect double")
 
 
-# --- bootstraps by hashed draws, in plain SQL on either side --------------------------------------------
+# --- mean bootstraps --------------------------------------------------------------------------------------
 
-_DIFFS = f"SELECT candidate - baseline AS diff, row_number() OVER (ORDER BY line) - 1 AS pos FROM ({PAIRS}) p"
-_DRAWS = f"""WITH v AS MATERIALIZED ({_DIFFS}), s AS (SELECT count(*) AS n, avg(diff) AS e FROM v),
-    m AS (SELECT r, avg(diff) AS m FROM (SELECT r, ('0x' || substr(md5('{SEED}:' || r || ':' || k), 1, 13))::BIGINT % n AS pos FROM s, unnest(range({RESAMPLES})) a(r), unnest(range(n)) b(k)) d JOIN v USING (pos) GROUP BY r),
-    o AS (SELECT list(m ORDER BY m) AS ms FROM m)"""
-_LO, _HI = 2, 97  # ranks of the ends among 100 sorted draws at 95 %
 
+def _mixed_sql(source: str) -> str:
+    """SQL for the rows of ``source`` with their column h mixed as 64 bits."""
+    for shift, factor in resample.MIX:
+        mixed = f"xor(h, h >> {shift})" if factor == 1 else f"(xor(h, h >> {shift})::UHUGEINT * {factor}::UHUGEINT % {2**64}::UHUGEINT)::UBIGINT"
+        source = f"SELECT * REPLACE ({mixed} AS h) FROM ({source}) m"
+    return source
 
-def _hashed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Column, Column, DataFrame]:
-    diffs = view(spark, sf_dir, _DIFFS)
-    draws = resample.hashed_means(diffs, RESAMPLES, SEED).agg(F.sort_array(F.collect_list("m")).alias("ms"))
-    return draws, F.get("ms", F.lit(_LO)), F.get("ms", F.lit(_HI)), diffs
 
+def _counter_sql(base: str, by: str, step: int) -> str:
+    return f"(({base}::UHUGEINT + {by}::UHUGEINT * {step}::UHUGEINT) % {2**64}::UHUGEINT)::UBIGINT"
 
-@query(f"{_DRAWS} SELECT {_R.format(f'ms[{_LO + 1}]')} AS ci_low, {_R.format(f'ms[{_HI + 1}]')} AS ci_high FROM o")
+
+def _places_sql(source: str) -> str:
+    """SQL for rows (r, g, start, size, low, high, j) with the position that a stream's j-th draw gives."""
+    x = f"SELECT *, (low + j::UBIGINT * {resample.DRAW}::UBIGINT) & 4294967295 AS x FROM ({source}) s"
+    for i, (shift, factor) in enumerate(resample.MIX32):
+        mixed = f"(xor(x, x >> {shift}) * {factor}::UBIGINT) & 4294967295"
+        x = f"SELECT * REPLACE ({f'xor({mixed}, high)' if i == 0 else mixed} AS x) FROM ({x}) s"
+    return f"SELECT g, r, start + (x * size::UBIGINT >> 32)::BIGINT AS pos FROM ({x}) s"
+
+
+def _quantile_sql(u: str) -> str:
+    """SQL for the normal quantile of a column by its rational approximations."""
+
+    def poly(coefficients: tuple[float, ...], x: str) -> str:
+        out = "0.0"
+        for c in coefficients:
+            out = f"({out} * {x} + {c!r})"
+        return out
+
+    q, t = f"({u} - 0.5)", f"sqrt(-2 * ln(least({u}, 1 - {u})))"
+    centre = f"{q} * {poly(numeric._CENTRE_NUM, f'({q} * {q})')} / {poly(numeric._CENTRE_DEN, f'({q} * {q})')}"
+    tail = f"{poly(numeric._TAIL_NUM, t)} / {poly(numeric._TAIL_DEN, t)}"
+    return f"(CASE WHEN {u} BETWEEN {numeric.TAIL} AND {1 - numeric.TAIL} THEN {centre} WHEN {u} < 0.5 THEN {tail} ELSE -({tail}) END)"
+
+
+def _means_sql(values: str, resamples: int, seed: int) -> str:
+    """SQL for CTEs over rows (g, diff): s (g, n, e, cubes, squares) and o (g, ms), the sorted means of all resamples of each group.
+
+    Splits are of more than SINGLY draws here, so the rule for fewer is left out.
+    """
+    start = "{} * n // nb"
+    bits = _mixed_sql(f"SELECT * REPLACE ({_counter_sql('base', 'node', resample.NODE)} AS h) FROM t WHERE hi - lo {{}} 1")
+    gap = "(diff - e) / (n - 1)"
+    return f"""WITH RECURSIVE v AS MATERIALIZED (SELECT g, diff, row_number() OVER (PARTITION BY g ORDER BY diff) - 1 AS pos FROM ({values}) p),
+        c AS MATERIALIZED (SELECT g, count(*) AS n, ceil(count(*) / {resample.BLOCK}.0)::BIGINT AS nb, avg(diff) AS e FROM v GROUP BY g),
+        s AS MATERIALIZED (SELECT g, any_value(n) AS n, any_value(e) AS e, sum({gap} * {gap} * {gap}) AS cubes, sum({gap} * {gap}) AS squares FROM v JOIN c USING (g) GROUP BY g),
+        b AS MATERIALIZED ({_mixed_sql(f"SELECT r, {_counter_sql(str(seed), 'r', resample.STEP)} AS h FROM range({resamples}) x(r)")}),
+        t AS (SELECT g, r, h AS base, 1::BIGINT AS node, 0::BIGINT AS lo, nb AS hi, n AS k, n, nb, h FROM b, c
+            UNION ALL SELECT g, r, base, 2 * node + side, CASE side WHEN 0 THEN lo ELSE mid END, CASE side WHEN 0 THEN mid ELSE hi END, CASE side WHEN 0 THEN gone ELSE k - gone END, n, nb, base
+            FROM (SELECT *, least(k, greatest(0, floor(k * p + z * sqrt(k * p * (1 - p)) + (z * z - 1) * (1 - 2 * p) / 6 + 0.5)))::BIGINT AS gone
+                FROM (SELECT *, {_quantile_sql("u")} AS z, ({start.format("mid")} - {start.format("lo")}) / ({start.format("hi")} - {start.format("lo")}) AS p
+                    FROM (SELECT *, (lo + hi) // 2 AS mid, ((h // 2048)::DOUBLE + 0.5) / {2**53} AS u FROM ({bits.format(">")}) x) y) z) w, (VALUES (0), (1)) f(side)),
+        l AS (SELECT g, r, k, {start.format("lo")} AS start, {start.format("hi")} - {start.format("lo")} AS size, h & 4294967295 AS low, h >> 32 AS high FROM ({bits.format("=")}) x),
+        j AS ({_places_sql("SELECT g, r, start, size, low, high, j FROM l, unnest(range(k)) x(j)")}),
+        m AS (SELECT g, r, avg(diff) AS m FROM j JOIN v USING (g, pos) GROUP BY g, r),
+        o AS MATERIALIZED (SELECT g, list(m ORDER BY m) AS ms FROM m GROUP BY g)"""
+
+
+def _ends_sql(method: str, resamples: int) -> tuple[str, str]:
+    """SQL for the ends of an interval at 95 % from o and s."""
+    lo, hi = numeric.ranks(0.025, 0.975, resamples)
+    if method == "percentile":
+        return f"ms[{lo + 1}]", f"ms[{hi + 1}]"
+    if method == "basic":
+        return f"2 * e - ms[{hi + 1}]", f"2 * e - ms[{lo + 1}]"
+    skew = "(CASE WHEN squares < 1e-12 THEN 0 ELSE cubes / (6 * pow(squares, 1.5)) END)"
+    shift = lambda z: f"(z0 + (z0 + {z}) / (1 - {skew} * (z0 + {z})))"
+    level = lambda z: f"({_normal_sql(shift(z))} * {resamples})"
+    return f"ms[least(floor({level(-_Z)})::BIGINT, {resamples - 1}) + 1]", f"ms[least(greatest(ceil({level(_Z)})::BIGINT - 1, 0), {resamples - 1}) + 1]"
+
+
+def _share_below_sql(resamples: int) -> str:
+    """SQL for s and o with z0, the normal quantile of the share of means below the effect."""
+    below = f"least(greatest(len(list_filter(ms, lambda x: x < e)) / {resamples}.0, {0.5 / resamples}), {1 - 0.5 / resamples})"
+    return f"SELECT *, {_quantile_sql('below')} AS z0 FROM (SELECT *, {below} AS below FROM s JOIN o USING (g)) q"
+
+
+_DIFFS = f"SELECT 0 AS g, candidate - baseline AS diff FROM ({PAIRS}) p"
+
+
+def _boot_sql(method: str) -> str:
+    lo, hi = _ends_sql(method, RESAMPLES)
+    return f"{_means_sql(_DIFFS, RESAMPLES, SEED)} SELECT {_R.format(lo)} AS ci_low, {_R.format(hi)} AS ci_high FROM s JOIN o USING (g)"
+
+
+def _boot(spark: SparkSession, sf_dir: str, method: str) -> DataFrame:
+    """The operator's draws, closed to an interval in the plan."""
+    diffs = view(spark, sf_dir, PAIRS).select((F.col("candidate") - F.col("baseline")).alias("diff"))
+    _, means = resample.bootstrap_means(diffs, "diff", RESAMPLES, SEED)
+    effect = diffs.agg(F.avg("diff")).scalar()
+    lo, hi = columns.bootstrap_interval(F.col("draws"), effect, method, 0.95, RESAMPLES)
+    return rounded(means.select(lo.alias("ci_low"), hi.alias("ci_high")))
+
+
+@query(_boot_sql("percentile"))
 def mean_boot_percentile(spark, sf_dir):
-    draws, lo, hi, _ = _hashed(spark, sf_dir)
-    return rounded(draws.select(lo.alias("ci_low"), hi.alias("ci_high")))
+    return _boot(spark, sf_dir, "percentile")
 
 
-@query(f"{_DRAWS} SELECT {_R.format(f'2 * e - ms[{_HI + 1}]')} AS ci_low, {_R.format(f'2 * e - ms[{_LO + 1}]')} AS ci_high FROM o, s")
+@query(_boot_sql("basic"))
 def mean_boot_basic(spark, sf_dir):
-    draws, lo, hi, diffs = _hashed(spark, sf_dir)
-    e = diffs.agg(F.avg("diff")).scalar()
-    return rounded(draws.select((2 * e - hi).alias("ci_low"), (2 * e - lo).alias("ci_high")))
+    return _boot(spark, sf_dir, "basic")
 
 
 # --- sequential tests ---------------------------------------------------------------------------------
@@ -415,8 +500,51 @@ def _resampled(name: str, sql: str, metric: Metric, extra: str = "", **options)
     QUERIES[name] = lambda spark, sf_dir: table(spark, _compare(spark, sf_dir, sql, metric, **options), _EFFECT + extra)
 
 
-_resampled("mean_diff_percentile", PAIRS, Metric("mean-diff"), resamples=1000)
-_resampled("mean_diff_bca", PAIRS, Metric("mean-diff", bootstrap="bca"), resamples=1000)
+def _mean_diff_sql(method: str) -> str:
+    """SQL for a report of the mean difference at the default number of resamples."""
+    lo, hi = _ends_sql(method, RESAMPLES)
+    source = _share_below_sql(RESAMPLES) if method == "bca" else "SELECT * FROM s JOIN o USING (g)"
+    return f"""{_means_sql(_DIFFS, RESAMPLES, DEFAULT_SEED)} SELECT 'mean-diff' AS metric, n AS baseline_count, n AS candidate_count, n AS paired_count, {_R.format("e")} AS effect,
+        {_R.format("lo")} AS ci_low, {_R.format("hi")} AS ci_high, CASE WHEN lo >= 0 THEN 'pass' WHEN hi <= 0 THEN 'fail' ELSE 'inconclusive' END AS verdict
+        FROM (SELECT n, e, {lo} AS lo, {hi} AS hi FROM ({source}) z) x"""
+
+
+@query(_mean_diff_sql("percentile"))
+def mean_diff_percentile(spark, sf_dir):
+    return table(spark, _compare(spark, sf_dir, PAIRS, Metric("mean-diff")), _EFFECT)
+
+
+@query(_mean_diff_sql("basic"))
+def mean_diff_basic(spark, sf_dir):
+    return table(spark, _compare(spark, sf_dir, PAIRS, Metric("mean-diff", bootstrap="basic")), _EFFECT)
+
+
+@query(_mean_diff_sql("bca"))
+def mean_diff_bca(spark, sf_dir):
+    return table(spark, _compare(spark, sf_dir, PAIRS, Metric("mean-diff", bootstrap="bca")), _EFFECT)
+
+
+_TEAMS = f"SELECT o_orderpriority AS team, id, line, baseline, candidate FROM ({PAIRS}) p JOIN {{orders}} o ON o_orderkey = line"
+
+
+def _grouped_sql(method: str) -> str:
+    lo, hi = _ends_sql(method, RESAMPLES)
+    return f"""{_means_sql(f"SELECT team AS g, candidate - baseline AS diff FROM ({_TEAMS}) p", RESAMPLES, DEFAULT_SEED)} SELECT g AS team, n AS paired_count, {_R.format("e")} AS effect,
+        {_R.format("lo")} AS ci_low, {_R.format("hi")} AS ci_high, CASE WHEN lo >= 0 THEN 'pass' WHEN hi <= 0 THEN 'fail' ELSE 'inconclusive' END AS verdict, false AS has_error
+        FROM (SELECT g, n, e, {lo} AS lo, {hi} AS hi FROM s JOIN o USING (g)) x"""
+
+
+@query(_grouped_sql("percentile"))
+def grouped_mean_diff(spark, sf_dir):
+    """An interval for each group, in one plan."""
+    return rounded(comparisons.grouped_mean_diff(view(spark, sf_dir, _TEAMS), ("team",)))
+
+
+@query(_grouped_sql("basic"))
+def grouped_mean_diff_basic(spark, sf_dir):
+    return rounded(comparisons.grouped_mean_diff(view(spark, sf_dir, _TEAMS), ("team",), method="basic"))
+
+
 _resampled("quantile_diff", PAIRS, Metric("quantile-diff", quantile=0.5), ", quantile double")
 _resampled("quantile_diff_basic", PAIRS, Metric("quantile-diff", quantile=0.9, bootstrap="basic"), ", quantile double")
 _resampled("cluster_bootstrap", CLUSTERS, Metric("winrate"), ", cluster_count long, max_cluster_size long, design_effect double", clustered=True)

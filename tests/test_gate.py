@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from tallygate.cli import main, parser, run
 from tallygate.errors import GateError
@@ -69,17 +70,71 @@ def test_mean_interval_covers_and_is_reproducible(spark, method):
     assert (r["ci_low"], r["ci_high"], r["effect"]) == pytest.approx((again["ci_low"], again["ci_high"], again["effect"]), rel=1e-12)
 
 
-def test_blocks_resample_like_a_broadcast(spark, monkeypatch):
+def test_draws_follow_values_alone(spark, monkeypatch):
+    """Rows without ids or lines, in any partitions, with frequent values: the same draws. Blocks of another length draw alike."""
     from tallygate.operators import resample
 
-    df = pairs(spark, range(50))
-    monkeypatch.setattr(resample, "_BLOCK", 16)
-    wide = compare(df, [Metric("mean-diff")], Options(resamples=800))
-    monkeypatch.setattr(resample, "BROADCAST_DIFFS", 10)
-    blocks = compare(df, [Metric("mean-diff")], Options(resamples=800))
-    assert (blocks["ci_low"], blocks["ci_high"]) == pytest.approx((wide["ci_low"], wide["ci_high"]), rel=1e-12)
-    q = compare(df, [Metric("quantile-diff", quantile=0.5)], Options(resamples=300))
-    assert q["effect"] == 24.5 and q["ci_low"] < 24.5 < q["ci_high"]
+    rows = [(0.0, float(v)) for v in [*range(300), *[7] * 200, *(0.5 * k * k for k in range(40))]]
+    df = spark.createDataFrame(rows, "baseline double, candidate double")
+    monkeypatch.setattr(resample, "BLOCK", 64)
+    monkeypatch.setattr(resample, "TOGETHER", 2)
+    o = Options(resamples=700)
+    found = [compare(x, [Metric("mean-diff", bootstrap="bca")], o) for x in (df.coalesce(1), df.repartition(7), spark.createDataFrame(rows[::-1], df.schema).repartition(3))]
+    assert all(f["paired_count"] == 540 for f in found)
+    assert all((f["ci_low"], f["ci_high"]) == pytest.approx((found[0]["ci_low"], found[0]["ci_high"]), rel=1e-12) for f in found)
+    monkeypatch.setattr(resample, "BLOCK", 1024)
+    other = compare(df, [Metric("mean-diff", bootstrap="bca")], o)
+    width = found[0]["ci_high"] - found[0]["ci_low"]
+    assert other["ci_high"] - other["ci_low"] == pytest.approx(width, rel=0.15) and other["ci_low"] == pytest.approx(found[0]["ci_low"], abs=0.15 * width)
+
+
+def test_rows_without_id_and_equal_lines_are_their_own(spark):
+    df = spark.createDataFrame([(W, 1), (W, 1), (L, 1), (None, 2)], "result string, line long").where("result is not null")
+    assert compare(df.union(df), [Metric("winrate")])["paired_count"] == 6
+
+
+def test_grouped_mean_difference_equals_single_ones(spark):
+    from tallygate.plans.compare import grouped_mean_diff
+
+    rows = [(("a", "b", None, "c")[min(i % 4, 3) if i < 400 else 0], 0.0, float((i * 37) % 101) - 40, i + 1) for i in range(3000)] + [("one", 0.0, 4.0, 5000), ("none", None, None, 5001)]
+    df = spark.createDataFrame(rows, "team string, baseline double, candidate double, line long").withColumn("baseline_status", F.when(F.col("team") == "none", "ok"))
+    o = Options(resamples=300)
+    got = {r.team: r for r in grouped_mean_diff(df, ("team",), options=o).collect()}
+    assert set(got) == {"a", "b", None, "c", "one"} and (got["one"].ci_low, got["one"].ci_high) == (4.0, 4.0)
+    for team in ("a", "b", None, "c"):
+        r = compare(df.where(F.col("team").eqNullSafe(team)).drop("team"), [Metric("mean-diff")], o)
+        g = got[team]
+        assert (g.paired_count, g.verdict, g.has_error) == (r["paired_count"], r["verdict"], False)
+        assert (g.effect, g.ci_low, g.ci_high) == pytest.approx((r["effect"], r["ci_low"], r["ci_high"]), rel=1e-9)
+
+
+@pytest.mark.parametrize("kind", ["even", "frequent", "wide", "two"])
+def test_order_statistics_by_narrowing(spark, monkeypatch, kind):
+    """Ranges of more than a few rows are narrowed until they are short; frequent values and outliers included."""
+    import numpy as np
+
+    from tallygate.operators import ranks
+
+    g = np.random.default_rng(5)
+    x = {"even": g.uniform(size=4000), "frequent": np.where(g.uniform(size=4000) < 0.4, 3.0, g.normal(size=4000)), "wide": np.exp(g.normal(0, 60, 4000)), "two": g.integers(0, 2, 4000) * 1e9}[kind]
+    monkeypatch.setattr(ranks, "SORTED", 100)
+    df = spark.createDataFrame([(float(v),) for v in x], "d double").repartition(5)
+    at, y = ranks.order_statistics(df, "d", len(x)), np.sort(x)
+    for wanted in ([0], [3999], [0, 3999], [2000, 2001], [*range(1980, 2020), 7, 3500]):
+        assert (at(np.array(wanted)) == y[wanted]).all()
+    assert (at(np.array([[5, 6], [7, 5]])) == y[[[5, 6], [7, 5]]]).all()
+
+
+def test_ranks_of_groups(spark):
+    from tallygate.operators.ranks import ranked
+
+    rows = [((None, "a", "b")[i % 3], float(i % 11) if i % 2 else 4.0) for i in range(500)]
+    table, df = ranked(spark.createDataFrame(rows, "g string, x double").repartition(6), "x", ("g",))
+    got = df.collect()
+    for g in (None, "a", "b"):
+        mine = sorted((r["rank"], r.x, r.n) for r in got if r.g == g)
+        assert [m[1] for m in mine] == sorted(x for k, x in rows if k == g) and [m[0] for m in mine] == list(range(mine[0][2]))
+    table.drop()
 
 
 def test_netting_by_id(spark):
@@ -295,9 +350,50 @@ def test_lines_over_many_blocks(spark, tmp_path):
 def test_draws_are_shared_out_fairly():
     import numpy as np
 
-    from tallygate.operators.resample import block_share
+    from tallygate.operators.resample import shares
+
+    n, blocks, rs = 1000, 7, np.arange(3000)
+    of = {b: k for b, k, _ in shares(n, blocks, 1, rs, 0, blocks)}
+    assert list(of) == list(range(blocks)) and (sum(of.values()) == n).all()
+    size = np.diff([i * n // blocks for i in range(blocks + 1)])
+    for b in of:
+        assert of[b].mean() == pytest.approx(size[b], rel=0.02) and of[b].var() == pytest.approx(size[b] * (1 - size[b] / n), rel=0.12)
+    some = {b: k for b, k, _ in shares(n, blocks, 1, rs[10:20], 3, 5)}
+    assert list(some) == [3, 4] and all((some[b] == of[b][10:20]).all() for b in some)
+    few = {b: k for b, k, _ in shares(40, 4, 1, rs, 0, 4)}  # splits made draw by draw
+    assert (sum(few.values()) == 40).all() and few[0].var() == pytest.approx(40 * 0.25 * 0.75, rel=0.12)
+
+
+@pytest.mark.parametrize("method", ["percentile", "basic", "bca"])
+def test_mean_intervals_cover(method):
+    """Of samples of 30 from an exponential distribution, about nine tenths of the 90 % intervals hold the mean."""
+    import numpy as np
+
+    from tallygate.functions import numeric
+    from tallygate.operators.resample import drawn_sums
+
+    hit = 0
+    for sample in range(300):
+        x = np.sort(np.random.default_rng(sample).exponential(size=30))
+        draws, gap = drawn_sums(x, 30, 0, sample, np.arange(400)) / 30, (x - x.mean()) / 29
+        if method == "bca":
+            lo, hi = numeric.bca_interval(draws, x.mean(), numeric.acceleration_from_sums((gap**3).sum(), (gap**2).sum()), 0.9)
+        else:
+            lo, hi = numeric.percentile_interval(draws, 0.9) if method == "percentile" else numeric.basic_interval(draws, x.mean(), 0.9)
+        hit += lo <= 1 <= hi
+    assert 0.79 < hit / 300 < 0.95
+
+
+@pytest.mark.parametrize("q", [0.5, 0.8])
+def test_quantile_intervals_cover(q):
+    import numpy as np
+
+    from tallygate.functions import numeric
+    from tallygate.operators.resample import bootstrap_quantiles
 
-    ends = np.array([0, 10, 15, 40, 41, 100])
-    shares = np.array([[block_share(1, r, ends, i) for i in range(5)] for r in range(2000)])
-    assert (shares.sum(1) == 100).all() and shares.mean(0) == pytest.approx(np.diff(ends), rel=0.1)
-    assert shares.var(0) == pytest.approx(np.diff(ends) * (1 - np.diff(ends) / 100), rel=0.2)
+    hit, true = 0, numeric.normal_quantile(q) if q != 0.5 else 0.0
+    for sample in range(400):
+        x = np.sort(np.random.default_rng(sample).normal(size=60))
+        lo, hi = numeric.percentile_interval(bootstrap_quantiles(lambda r, x=x: x[r], 60, q, 400, sample), 0.9)
+        hit += lo <= true <= hi
+    assert 0.83 < hit / 400 < 0.96

@@ -30,7 +30,7 @@ def test_same_rows(spark, duck, name):
     pd.testing.assert_frame_equal(a, b, check_dtype=False, rtol=1e-6)
 
 
-RESAMPLED = ["mean_diff_percentile", "mean_diff_bca", "quantile_diff", "quantile_diff_basic", "cluster_bootstrap", "matrix_general", "matrix_bca", "matrix_dense", "sprt_horizon"]
+RESAMPLED = ["quantile_diff", "quantile_diff_basic", "cluster_bootstrap", "matrix_general", "matrix_bca", "matrix_dense", "sprt_horizon"]
 
 
 def test_only_resampled_reports_lack_sql():
