@@ -14,7 +14,7 @@ from .plans.power import estimate_trials, pilot_sd, sprt_trials
 from .plans.recommend import plan
 from .plans.sprt import sprt
 from .schema import BOOTSTRAPS, CI_METHODS, CORRECTIONS, DEFAULT_SEED, METRICS, POLICIES, VARIANTS, FailureCaps, Metric, Options, SprtConfig, Thresholds
-from .sources.readers import read, read_named
+from .sources.readers import read, read_files
 from .sources.sinks import to_json, to_markdown, write
 
 EXIT = {"pass": 0, "fail": 1, "inconclusive": 2}
@@ -122,8 +122,8 @@ def run(spark: SparkSession, a: argparse.Namespace) -> dict:
     if a.command == "sprt":
         return sprt(read(spark, a.input, fmt=a.format), _config(a, a.sprt_variant), a.sprt_variant, paired=a.paired_by_id, policy=a.failure_policy, caps=_caps(a))
     if a.command in ("matrix", "plan"):
-        legacy = read_named(spark, a.inputs, a.format)
-        tables = [read(spark, p, fmt=a.format, match=True) for p in a.matches]
+        legacy = read_files(spark, a.inputs, a.format) if a.inputs else []
+        tables = read_files(spark, a.matches, a.format, match=True) if a.matches else []
         options = {"confidence": a.confidence, "paired": a.paired_by_id, "resamples": a.resamples, "seed": a.seed, "method": a.bootstrap_method}
         return matrix(spark, legacy, tables, **options) if a.command == "matrix" else plan(spark, legacy, tables, min_elo=a.min_elo, **options)
     if a.sprt:

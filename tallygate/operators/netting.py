@@ -6,7 +6,7 @@ of sums from each task.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import FAILURES, Metric
@@ -60,8 +60,26 @@ def net(keys: DataFrame, metrics: list[Metric], paired: bool) -> DataFrame:
     return keys
 
 
-def totals(keys: DataFrame, metrics: list[Metric], paired: bool, by: tuple[str, ...] = ()) -> DataFrame:
-    """One row of counts for each group of ``by`` (or for all), with the first error of rows and of ids."""
+def repeated(df: DataFrame, metrics: list[Metric], paired: bool) -> DataFrame:
+    """(line, rank, kind, detail, id) of the first record beyond those that an id may have: the second, or with ``paired`` the third.
+
+    A row number below a limit is cut off within tasks before rows are exchanged, so a hot id sends a few rows from each.
+    """
+    most = 2 if paired else 1
+    counts = [difference().isNotNull()] if any(m.numeric for m in metrics) else []
+    counts += [effective_outcome(p).isNotNull() for p in _policies(metrics)] if paired else []
+    rows, found = trials(df).where(F.col("id").isNotNull()), None
+    words = "more than two records" if paired else "more than one record"
+    for use in counts:
+        k = F.row_number().over(Window.partitionBy("id").orderBy("line"))
+        late = rows.where(use).select("id", "line", k.alias("k")).where(F.col("k") <= most + 1).where(F.col("k") == most + 1)
+        found = late if found is None else found.unionByName(late)
+    error = _error(F.col("line"), 5, "DuplicateId", F.concat(F.lit(f"{words} of id "), F.col("id")))
+    return found.select(error.alias("e"), "id").orderBy("e").limit(1).select("e.*", "id")
+
+
+def totals(keys: DataFrame, metrics: list[Metric], paired: bool, by: tuple[str, ...] = (), sets: list[tuple[str, ...]] | None = None) -> DataFrame:
+    """One row of counts for each group of ``by`` (or for all, or for each of the sets of keys), with the first error of rows and of ids."""
     keys = net(keys, metrics, paired)
     late = F.lit(None).cast(_ERROR)
     if any(m.numeric for m in metrics):
@@ -86,7 +104,9 @@ def totals(keys: DataFrame, metrics: list[Metric], paired: bool, by: tuple[str,
     if any(m.numeric for m in metrics):
         d = F.col("diff")
         out += [F.count(d).alias("n_diff"), F.avg(d).alias("mean_diff"), F.count_if(d > 0).alias("pos"), F.count_if(d < 0).alias("neg"), F.stddev_samp(d).alias("sd_diff")]
-    return keys.groupBy(*by).agg(*out)
+    if sets is None:
+        return keys.groupBy(*by).agg(*out)
+    return keys.groupingSets([list(s) for s in sets], *by).agg(F.grouping_id().alias("grouping_id"), *out)
 
 
 def cluster_table(keys: DataFrame, policy: str) -> DataFrame:

@@ -60,7 +60,8 @@ def compare(df: DataFrame, metrics: list[Metric], options: Options | None = None
             fail("EmptyInput", "there are no records")
         check_confidence(o.confidence)
         raise_error(row["error"])
-        raise_error(row["late_error"])
+        if row["late_error"]:
+            raise_error(netting.repeated(df, metrics, o.paired).first())
         if o.paired or o.clustered:
             row |= {"records_with_id": 0, "max_id_count": 0}
         reports = [_report(m, _measure(m, row, keys, o), row, o) for m in metrics]
@@ -259,13 +260,28 @@ def apply_caps(report: dict, o: Options) -> None:
 def closed_form(df: DataFrame, metrics: list[Metric], options: Options | None = None, by: tuple[str, ...] = ()) -> DataFrame:
     """Winrate, elo and sign test of each group of ``by`` as one declared plan: (by, metric, counts, effect, interval, verdict).
 
-    For tables of many groups, where no report is assembled on the driver. Errors of rows don't raise here; their
-    count is in ``errors``.
+    For tables of many groups, where no report is assembled on the driver. Errors of rows don't raise here;
+    ``has_error`` tells of groups that have some.
     """
     o = options or Options()
+    return _closed(netting.totals(netting.by_key(df, metrics, by), metrics, o.paired, by), metrics, o, by)
+
+
+def closed_form_sets(df: DataFrame, metrics: list[Metric], sets: list[tuple[str, ...]], options: Options | None = None) -> DataFrame:
+    """The same for several sets of keys at once, as by GROUPING SETS, with its ``grouping_id``: (keys, grouping_id, metric, ...).
+
+    Rows are netted by id once, within the finest groups; tallies of these are what all sets add up. So rows are exchanged
+    by id once, whatever the number of sets, and a group's tally once for each.
+    """
+    o = options or Options()
+    by = tuple(dict.fromkeys(c for s in sets for c in s))
+    rows = netting.totals(netting.by_key(df, metrics, by), metrics, o.paired, by, sets)
+    return _closed(rows, metrics, o, (*by, "grouping_id"))
+
+
+def _closed(rows: DataFrame, metrics: list[Metric], o: Options, by: tuple[str, ...]) -> DataFrame:
     if any(m.kind not in ("winrate", "elo", "sign-test") or m.ci_method != "wilson" for m in metrics):
         fail("IncompatibleCiMethod", "only closed-form intervals by Wilson's method")
-    rows = netting.totals(netting.by_key(df, metrics, by), metrics, o.paired, by)
     parts = []
     for m in metrics:
         if m.kind == "sign-test":

@@ -12,19 +12,35 @@ from ..functions import columns, numeric
 from ..operators import graph, netting
 from ..operators.trials import matches, raise_error
 from ..schema import BASELINE, DEFAULT_SEED, SCHEMA_VERSION, Metric, check_confidence
+from ..sources.readers import Files
 
 _ELO = [Metric("elo")]
 
 
-def legacy_totals(legacy: DataFrame, paired: bool) -> DataFrame:
-    """Counts of each candidate's trials against the baseline: all files in one pass, by the column ``candidate_name``."""
-    return netting.totals(netting.by_key(legacy, _ELO, ("candidate_name",)), _ELO, paired, ("candidate_name",))
+def legacy_totals(rows: DataFrame, paired: bool) -> DataFrame:
+    """Counts of each candidate's trials against the baseline: all files in one pass, by the column ``of_file``."""
+    return netting.totals(netting.by_key(rows, _ELO, ("of_file",)), _ELO, paired, ("of_file",))
 
 
-def matrix(spark: SparkSession, legacy: list[tuple[str, DataFrame]], match_tables: list[DataFrame], *, confidence: float = 0.95, paired: bool = False, resamples: int = 2000, seed: int = DEFAULT_SEED, method: str = "percentile") -> dict:
-    """``legacy`` are trial tables by candidate, ``match_tables`` head-to-head records; the order names the candidates."""
+def _as_files(tables: list) -> Files:
+    """Tables, or pairs of a name and a table, as records of many files."""
+    named = [t if isinstance(t, tuple) else (str(i), t) for i, t in enumerate(tables)]
+    numbered = [df.withColumn("of_file", F.lit(i)) for i, (_, df) in enumerate(named)]
+    both = numbered[0]
+    for t in numbered[1:]:
+        both = both.unionByName(t, allowMissingColumns=True)
+    return Files([n for n, _ in named], both)
+
+
+def matrix(spark: SparkSession, legacy: Files | list[tuple[str, DataFrame]], match_tables: Files | list[DataFrame], *, confidence: float = 0.95, paired: bool = False, resamples: int = 2000, seed: int = DEFAULT_SEED, method: str = "percentile") -> dict:
+    """``legacy`` are trials by candidate, ``match_tables`` head-to-head records; the order names the candidates.
+
+    Files read together are one scan each for trials and matches.
+    """
     check_confidence(confidence)
-    names = [n for n, _ in legacy]
+    trial_files = legacy if isinstance(legacy, Files) else _as_files(legacy) if legacy else None
+    match_files = match_tables if isinstance(match_tables, Files) else _as_files(match_tables) if match_tables else None
+    names = trial_files.names if trial_files else []
     if len(set(names)) < len(names):
         fail("InvalidThreshold", "two files have the same name")
     if BASELINE in names:
@@ -39,26 +55,20 @@ def matrix(spark: SparkSession, legacy: list[tuple[str, DataFrame]], match_table
                 e[i] += k
             e[2] += draws
 
-    if legacy:
-        tables = [df.withColumn("candidate_name", F.lit(n)) for n, df in legacy]
-        both = tables[0]
-        for t in tables[1:]:
-            both = both.unionByName(t, allowMissingColumns=True)
-        rows = {r["candidate_name"]: r.asDict() for r in legacy_totals(both, paired).collect()}
+    if trial_files:
+        rows = {names[r["of_file"]]: r.asDict() for r in legacy_totals(trial_files.rows, paired).collect()}
         for n in names:
             if n not in rows:
                 fail("EmptyInput", f"{n} has no records")
             raise_error(rows[n]["error"])
-            raise_error(rows[n]["late_error"])
+            if rows[n]["late_error"]:
+                raise_error(netting.repeated(trial_files.rows.where(F.col("of_file") == names.index(n)), _ELO, paired).first())
             summaries[n] = rows[n]
             w, d, x = (int(rows[n][f"{k}_report_only"]) for k in "wdl")
             add(n, BASELINE, w, x, d)
     order = list(names)
-    if match_tables:
-        numbered = [matches(t).withColumn("file", F.lit(i)) for i, t in enumerate(match_tables)]
-        both = numbered[0]
-        for t in numbered[1:]:
-            both = both.unionByName(t)
+    if match_files:
+        both = matches(match_files.rows).withColumnRenamed("of_file", "file")
         for r in graph.match_edges(both, paired).collect():
             raise_error(r["error"])
             add(r["lo"], r["hi"], r["lo_wins"], r["hi_wins"], r["draws"])

@@ -120,7 +120,8 @@ def pilot_sd(df: DataFrame, paired: bool = False) -> float:
     if not row["n_rows"]:
         fail("EmptyInput", "there are no records")
     raise_error(row["error"])
-    raise_error(row["late_error"])
+    if row["late_error"]:
+        raise_error(netting.repeated(df, metrics, paired).first())
     if row["n_diff"] < 2:
         fail("InsufficientPilotData", f"a pilot needs two differences, got {row['n_diff']}")
     if not row["sd_diff"]:

@@ -31,7 +31,7 @@ def sprt(df: DataFrame, config: SprtConfig, variant: str = "wald", *, paired: bo
     if five and not paired:
         fail("InvalidThreshold", "the pentanomial variant needs records paired by id")
     raise_error(row["error"])
-    raise_error(row["late_error"])
+    raise_error(row["late_error"] if five or not row["late_error"] else netting.repeated(df, metrics, paired).first())
     lower, upper = numeric.wald_bounds(config.alpha, config.beta)
     drawelo, buckets = None, None
     if five:

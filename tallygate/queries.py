@@ -6,7 +6,6 @@ The views below are SQL that Spark and DuckDB read alike.
 from __future__ import annotations
 
 import re
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -15,13 +14,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import columns, numeric
-from .operators import graph, netting, ranks, resample
+from .operators import graph, netting, ranks, resample, trials
 from .plans import compare as comparisons
 from .plans import matrix as matrices
 from .plans import power, recommend
 from .plans import sprt as sequential
 from .schema import BASELINE, DEFAULT_SEED, FailureCaps, Metric, Options, SprtConfig, Thresholds
-from .sources.readers import read
+from .sources.readers import read, read_files
+from .sources.scratch import shared_folder
 
 PAIRS = """SELECT CAST(l_orderkey AS STRING) AS id, CAST(l_orderkey AS BIGINT) AS line,
     avg(CASE WHEN l_returnflag = 'N' THEN CAST(l_extendedprice AS DOUBLE) END) AS baseline, avg(CASE WHEN l_returnflag <> 'N' THEN CAST(l_extendedprice AS DOUBLE) END) AS candidate
@@ -30,8 +30,10 @@ OUTCOMES = f"""SELECT id, line, CASE WHEN abs(candidate - baseline) < 0.05 * bas
 STATUSES = f"""SELECT id, line, result, CASE line % 97 WHEN 0 THEN 'timeout' WHEN 3 THEN 'crash' ELSE 'ok' END AS baseline_status,
     CASE line % 97 WHEN 1 THEN 'crash' WHEN 2 THEN 'invalid' WHEN 3 THEN 'crash' ELSE 'ok' END AS candidate_status FROM ({OUTCOMES}) o"""
 CLUSTERS = """SELECT CAST(user_id AS STRING) AS id, CAST(event_id AS BIGINT) AS line, CASE WHEN value > 60 THEN 'candidate_win' WHEN value < 40 THEN 'baseline_win' ELSE 'draw' END AS result FROM {events}"""
-GAMES = """SELECT concat(CAST(user_id AS STRING), '-', CAST((k + 1) DIV 2 AS STRING)) AS id, line, CASE WHEN value > 60 THEN 'candidate_win' WHEN value < 40 THEN 'baseline_win' ELSE 'draw' END AS result
-    FROM (SELECT user_id, CAST(event_id AS BIGINT) AS line, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k, count(*) OVER (PARTITION BY user_id) AS n FROM {events}) e WHERE k <= n - n % 2"""
+GAMES = """SELECT user_id, concat(CAST(user_id AS STRING), '-', CAST((k + 1) DIV 2 AS STRING)) AS id, line, CASE WHEN value > 60 THEN 'candidate_win' WHEN value < 40 THEN 'baseline_win' ELSE 'draw' END AS result, k > n - n % 2 AS single
+    FROM (SELECT user_id, CAST(event_id AS BIGINT) AS line, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k, count(*) OVER (PARTITION BY user_id) AS n FROM {events}) e"""
+# A user's odd game has no second one: for the pentanomial test its trial timed out.
+PAIRED_GAMES = f"SELECT id, line, CASE WHEN NOT single THEN result END AS result, CASE WHEN single THEN 'timeout' ELSE 'ok' END AS candidate_status FROM ({GAMES}) g"
 MATCHES = """SELECT CAST(NULL AS STRING) AS id, line, a, b, CASE WHEN abs(value - next) <= 5 THEN 'draw' WHEN value > next THEN 'a_win' ELSE 'b_win' END AS result
     FROM (SELECT CAST(event_id AS BIGINT) AS line, event_type AS a, lead(event_type) OVER w AS b, value, lead(value) OVER w AS next FROM {events} WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) e WHERE b IS NOT NULL AND a <> b"""
 STAR = f"""SELECT id, line, CASE WHEN a = 'view' THEN '{BASELINE}' ELSE a END AS a, CASE WHEN b = 'view' THEN '{BASELINE}' ELSE b END AS b, result FROM ({MATCHES}) m WHERE a = 'view' OR b = 'view'"""
@@ -82,14 +84,15 @@ def _elo_sql(p: str) -> str:
     return f"(-400 * log10(1 / least(greatest({p}, 1e-4), 1 - 1e-4) - 1))"
 
 
-def _closed_sql(counts: str, scale: Callable[[str], str], metric: str, draws: bool = False) -> str:
-    """SQL for a report row from a subquery with w, d and l."""
+def _closed_sql(counts: str, scale: Callable[[str], str], metric: str, draws: bool = False, keys: str = "") -> str:
+    """SQL for report rows from a subquery with w, d and l, and with ``keys``."""
+    more = f"{keys}, " if keys else ""
     total, wins = ("w + d + l", "w + d / 2.0") if draws else ("w + l", "1.0 * w")
-    return f"""SELECT '{metric}' AS metric, baseline_count, candidate_count, paired_count, {_R.format(scale("p"))} AS effect, {_R.format(scale("lo"))} AS ci_low, {_R.format(scale("hi"))} AS ci_high, false AS has_error,
+    return f"""SELECT {more}'{metric}' AS metric, baseline_count, candidate_count, paired_count, {_R.format(scale("p"))} AS effect, {_R.format(scale("lo"))} AS ci_low, {_R.format(scale("hi"))} AS ci_high, false AS has_error,
         CASE WHEN {scale("lo")} >= 0 THEN 'pass' WHEN {scale("hi")} <= 0 THEN 'fail' ELSE 'inconclusive' END AS verdict
         FROM (SELECT *, greatest(0, (p + {_Z * _Z} / (2 * n)) / (1 + {_Z * _Z} / n) - {_Z} / (1 + {_Z * _Z} / n) * sqrt(p * (1 - p) / n + {_Z * _Z} / (4 * n * n))) AS lo,
             least(1, (p + {_Z * _Z} / (2 * n)) / (1 + {_Z * _Z} / n) + {_Z} / (1 + {_Z * _Z} / n) * sqrt(p * (1 - p) / n + {_Z * _Z} / (4 * n * n))) AS hi
-            FROM (SELECT l AS baseline_count, w AS candidate_count, ({total})::BIGINT AS paired_count, ({total})::DOUBLE AS n, ({wins}) / ({total}) AS p FROM ({counts}) c) x) y"""
+            FROM (SELECT {more}l AS baseline_count, w AS candidate_count, ({total})::BIGINT AS paired_count, ({total})::DOUBLE AS n, ({wins}) / ({total}) AS p FROM ({counts}) c) x) y"""
 
 
 def _tally(source: str, keep: str = "true", outcome: str = "result") -> str:
@@ -99,7 +102,7 @@ def _tally(source: str, keep: str = "true", outcome: str = "result") -> str:
 _PP = lambda x: f"({x} - 0.5)"
 _SIGNS = f"SELECT count(*) FILTER (candidate > baseline) AS w, 0 AS d, count(*) FILTER (candidate < baseline) AS l FROM ({PAIRS}) p"
 _FAILED = {s: f"{s}_status IN ('timeout', 'crash', 'invalid')" for s in ("baseline", "candidate")}
-_NETTED = f"SELECT CASE WHEN p > 2 THEN 'candidate_win' WHEN p < 2 THEN 'baseline_win' ELSE 'draw' END AS result FROM (SELECT id, sum(CASE result WHEN 'candidate_win' THEN 2 WHEN 'draw' THEN 1 ELSE 0 END) AS p FROM ({GAMES}) g GROUP BY id) n"
+_NETTED = f"SELECT user_id, CASE WHEN p > n THEN 'candidate_win' WHEN p < n THEN 'baseline_win' ELSE 'draw' END AS result FROM (SELECT user_id, id, count(*) AS n, sum(CASE result WHEN 'candidate_win' THEN 2 WHEN 'draw' THEN 1 ELSE 0 END) AS p FROM ({GAMES}) g GROUP BY user_id, id) n"
 
 
 def _metric(spark: SparkSession, sf_dir: str, sql: str, *metrics: Metric, **options) -> DataFrame:
@@ -151,19 +154,39 @@ def policy_loss(spark, sf_dir):
     return _metric(spark, sf_dir, STATUSES, Metric("winrate", policy="loss"))
 
 
-@query("SELECT user_id::VARCHAR AS team, 'elo' AS metric, " + _closed_sql("SELECT user_id, count(*) FILTER (value > 60) AS w, count(*) FILTER (value BETWEEN 40 AND 60) AS d, count(*) FILTER (value < 40) AS l FROM events GROUP BY user_id", _elo_sql, "elo", True).replace("SELECT 'elo' AS metric, ", "", 1).replace("SELECT l AS baseline_count", "SELECT user_id, l AS baseline_count"))
+_BY_USER = f"SELECT id AS team, count(*) FILTER (result = 'candidate_win') AS w, count(*) FILTER (result = 'draw') AS d, count(*) FILTER (result = 'baseline_win') AS l FROM ({CLUSTERS}) c GROUP BY id"
+
+
+@query(_closed_sql(_BY_USER, _elo_sql, "elo", True, "team"))
 def grouped_elo(spark, sf_dir):
     """One report for each group, in one plan."""
     rows = view(spark, sf_dir, CLUSTERS).withColumn("team", F.col("id"))
     return rounded(comparisons.closed_form(rows, [Metric("elo")], by=("team",)))
 
 
+_SQUADS = f"SELECT user_id % 7 AS squad, user_id % 3 AS league, id, line, result FROM ({GAMES}) g"
+
+
+def _sets_sql() -> str:
+    """SQL for win rates and ratings of squads, leagues, both and all, from pairs netted once."""
+    counts = f"""SELECT user_id % 7 AS squad, user_id % 3 AS league, GROUPING(squad, league)::BIGINT AS grouping_id, count(*) FILTER (result = 'candidate_win') AS w, count(*) FILTER (result = 'draw') AS d,
+        count(*) FILTER (result = 'baseline_win') AS l FROM ({_NETTED}) n GROUP BY GROUPING SETS ((squad, league), (squad), (league), ())"""
+    keys = "squad, league, grouping_id"
+    return " UNION ALL ".join(f"({_closed_sql(counts, scale, metric, draws, keys)})" for scale, metric, draws in ((_PP, "winrate", False), (_elo_sql, "elo", True)))
+
+
+@query(_sets_sql())
+def grouping_sets(spark, sf_dir):
+    """Reports at several grains, from tallies netted once by id."""
+    sets = [("squad", "league"), ("squad",), ("league",), ()]
+    return rounded(comparisons.closed_form_sets(view(spark, sf_dir, _SQUADS), [Metric("winrate"), Metric("elo")], sets, Options(paired=True)))
+
+
 # --- readers: the trials written as files and read again ---------------------------------------------
 
 
 def _written(spark: SparkSession, sf_dir: str, fmt: str) -> DataFrame:
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tallygate-")
-    path = f"{folder}/trials-{uuid.uuid4().hex}.{fmt}"
+    path = f"{shared_folder(spark)}/trials-{uuid.uuid4().hex}.{fmt}"
     rows = view(spark, sf_dir, _BOTH).select("id", "baseline", "candidate", "result")
     rows.write.option("header", True).format("json" if fmt == "jsonl" else fmt).save(path)
     return rounded(read(spark, path).select("id", "baseline", "candidate", "result"))
@@ -183,6 +206,20 @@ def read_csv(spark, sf_dir):
     return _written(spark, sf_dir, "csv")
 
 
+@query("SELECT concat('event_type=', event_type) AS name, count(*) FILTER (value > 60) AS wins, count(*) FILTER (value BETWEEN 40 AND 60) AS draws, count(*) FILTER (value < 40) AS losses, count(*) AS n_rows, min(event_id)::BIGINT AS first_id FROM events GROUP BY event_type")
+def read_many_files(spark, sf_dir):
+    """Trials of several candidates, a folder of files each, read in one scan and counted by candidate."""
+    path = f"{shared_folder(spark)}/many-{uuid.uuid4().hex}"
+    rows = view(spark, sf_dir, f"SELECT CAST(line AS STRING) AS id, result, event_type FROM ({CLUSTERS}) c JOIN {{events}} e ON event_id = line")
+    rows.write.partitionBy("event_type").json(path)
+    kinds = sorted(r[0] for r in rows.select("event_type").distinct().collect())
+    files = read_files(spark, [f"{path}/event_type={k}" for k in kinds])
+    first = files.rows.groupBy("of_file").agg(F.min(F.col("id").cast("long")).alias("first_id"))
+    names = F.get(F.array(*map(F.lit, files.names)), F.col("of_file"))
+    counts = matrices.legacy_totals(files.rows, False).join(first, "of_file")
+    return counts.select(names.alias("name"), *(F.col(f"{k}_report_only").alias(n) for k, n in (("w", "wins"), ("d", "draws"), ("l", "losses"))), "n_rows", "first_id")
+
+
 # --- counts ------------------------------------------------------------------------------------------
 
 
@@ -222,6 +259,62 @@ def quantile_diff_point(spark, sf_dir):
     return table(spark, made, "q double, effect double")
 
 
+_REPEATED = "SELECT CAST(user_id AS STRING) AS id, CAST(event_id AS BIGINT) AS line, 50.0 AS baseline, value AS candidate FROM {events}"
+
+
+def _duplicate_sql(kth: int) -> str:
+    ordered = f"SELECT id, line, row_number() OVER (PARTITION BY id ORDER BY line) AS k FROM ({_REPEATED}) r"
+    return f"SELECT 'DuplicateId' AS kind, line, id FROM ({ordered}) o WHERE k = {kth} ORDER BY line LIMIT 1"
+
+
+@query(_duplicate_sql(2))
+def duplicate_id(spark, sf_dir):
+    """The first record whose id came before: what a report of numbers refuses."""
+    return netting.repeated(view(spark, sf_dir, _REPEATED), [Metric("mean-diff")], False).select("kind", "line", "id")
+
+
+@query(_duplicate_sql(3))
+def duplicate_id_paired(spark, sf_dir):
+    return netting.repeated(view(spark, sf_dir, _REPEATED), [Metric("mean-diff")], True).select("kind", "line", "id")
+
+
+_BAD = """SELECT CAST(event_id AS STRING) AS id, CAST(event_id AS BIGINT) AS line, CASE WHEN event_type = 'error' THEN 'boom' ELSE 'ok' END AS baseline_status,
+    CASE WHEN value > 60 THEN 'candidate_win' WHEN value < 3 THEN 'tie' WHEN value < 40 THEN 'baseline_win' ELSE 'draw' END AS result FROM {events}"""
+
+
+@query(f"""SELECT kind, detail, count(*) AS n_rows, min(line) AS line FROM (SELECT line, CASE WHEN baseline_status = 'boom' THEN 'UnrecognizedStatus' WHEN result = 'tie' THEN 'UnrecognizedOutcome' END AS kind,
+    CASE WHEN baseline_status = 'boom' THEN 'baseline_status is boom' ELSE concat('result is ', result) END AS detail FROM ({_BAD}) b) e WHERE kind IS NOT NULL GROUP BY kind, detail""")
+def row_errors(spark, sf_dir):
+    """What is wrong with rows, by kind."""
+    rows = trials.trials(view(spark, sf_dir, _BAD)).select(trials.row_error([Metric("elo")]).alias("e")).where("e is not null")
+    return rows.groupBy("e.kind", "e.detail").agg(F.count("*").alias("n_rows"), F.min("e.line").alias("line"))
+
+
+# --- paired differences and matches -----------------------------------------------------------------------
+
+_TWICE = "SELECT CAST(l_orderkey AS STRING) || '-' || CAST((l_linenumber + 1) DIV 2 AS STRING) AS id, CAST(l_orderkey AS BIGINT) * 100 + l_linenumber AS line, 40000.0 AS baseline, CAST(l_extendedprice AS DOUBLE) AS candidate FROM {lineitem}"
+_MEANS = f"SELECT id, avg(candidate - baseline) AS diff, count(*) AS n FROM ({_TWICE}) t GROUP BY id"
+
+
+@query(f"SELECT count(*) AS paired_count, count(*) FILTER (diff > 0) AS pos, count(*) FILTER (diff < 0) AS neg, {_R.format('avg(diff)')} AS effect, {_R.format('stddev_samp(diff)')} AS sd FROM ({_MEANS}) m WHERE n <= 2")
+def paired_diffs(spark, sf_dir):
+    """Two records of an id are one mean difference."""
+    m = [Metric("mean-diff")]
+    rows = netting.totals(netting.by_key(view(spark, sf_dir, _TWICE), m).where("n_diff <= 2"), m, True)
+    return rounded(rows.select(F.col("n_diff").alias("paired_count"), "pos", "neg", F.col("mean_diff").alias("effect"), F.col("sd_diff").alias("sd")))
+
+
+# Odd and even games of two types of event, by the minute, are a pair.
+_PAIRED_MATCHES = f"SELECT CASE WHEN k <= n - n % 2 THEN CAST((k + 1) DIV 2 AS STRING) END AS id, line, a, b, result FROM (SELECT *, row_number() OVER (PARTITION BY least(a, b), greatest(a, b) ORDER BY line) AS k, count(*) OVER (PARTITION BY least(a, b), greatest(a, b)) AS n FROM ({MATCHES}) m) p"
+_MATCH_POINTS = f"SELECT least(a, b) AS lo, greatest(a, b) AS hi, coalesce(id, 'x' || line) AS game, count(*) AS n, sum(CASE WHEN result = 'draw' THEN 1 WHEN (result = 'a_win') = (a < b) THEN 2 ELSE 0 END) AS p FROM ({_PAIRED_MATCHES}) m GROUP BY ALL"
+
+
+@query(f"SELECT lo, hi, count(*) FILTER (p > n) AS lo_wins, count(*) FILTER (p < n) AS hi_wins, count(*) FILTER (p = n) AS draws FROM ({_MATCH_POINTS}) g GROUP BY lo, hi")
+def matrix_edges_paired(spark, sf_dir):
+    """Two matches of a pair with one id are one game; a match without id is its own."""
+    return graph.match_edges(view(spark, sf_dir, _PAIRED_MATCHES), True).drop("error")
+
+
 # --- mean bootstraps --------------------------------------------------------------------------------------
 
 
@@ -356,10 +449,14 @@ def sprt_trinomial(spark, sf_dir):
     return rounded(sequential.by_group(view(spark, sf_dir, OUTCOMES), CONFIG, "trinomial"))
 
 
-@query(f"SELECT {', '.join(f'count(*) FILTER (p = {b}) AS bucket_{b}' for b in range(5))}, sum(n)::BIGINT AS games, count(*) AS pairs FROM (SELECT id, count(*) AS n, sum(CASE result WHEN 'candidate_win' THEN 2 WHEN 'draw' THEN 1 ELSE 0 END) AS p FROM ({GAMES}) g GROUP BY id) x")
+_BUCKETS = ", ".join(f"count(*) FILTER (p = {b} AND NOT single) AS bucket_{b}" for b in range(5))
+_PAIR_POINTS = f"SELECT id, single, count(*) AS n, sum(CASE result WHEN 'candidate_win' THEN 2 WHEN 'draw' THEN 1 ELSE 0 END) AS p FROM ({GAMES}) g GROUP BY id, single"
+
+
+@query(f"SELECT {_BUCKETS}, coalesce(sum(n) FILTER (NOT single), 0)::BIGINT AS games, count(*) FILTER (NOT single) AS pairs, count(*) FILTER (single) AS candidate_timeout FROM ({_PAIR_POINTS}) x")
 def pentanomial_counts(spark, sf_dir):
-    rows = netting.pentanomial(netting.by_key(view(spark, sf_dir, GAMES), [Metric("winrate")]), "report-only")
-    return rows.select(*(f"bucket_{b}" for b in range(5)), "games", "pairs")
+    rows = netting.pentanomial(netting.by_key(view(spark, sf_dir, PAIRED_GAMES), [Metric("winrate")]), "report-only")
+    return rows.select(*(f"bucket_{b}" for b in range(5)), "games", "pairs", "candidate_timeout")
 
 
 # --- graphs -----------------------------------------------------------------------------------------------
@@ -552,10 +649,9 @@ _resampled("cluster_bootstrap", CLUSTERS, Metric("winrate"), ", cluster_count lo
 
 def _pentanomial_sql() -> str:
     """SQL for the ratio of the likeliest distributions whose means are the scores of elo 0 and 5, found by bisection."""
-    counts = ", ".join(f"count(*) FILTER (p = {b}) AS b{b}" for b in range(5))
-    pairs = f"SELECT sum(CASE result WHEN 'candidate_win' THEN 2 WHEN 'draw' THEN 1 ELSE 0 END) AS p FROM ({GAMES}) g GROUP BY id"
+    counts = ", ".join(f"count(*) FILTER (p = {b} AND NOT single) AS b{b}" for b in range(5))
     total = lambda f: f"list_sum(list_transform(range(5), lambda j: {f}))"
-    return f"""WITH RECURSIVE c AS MATERIALIZED (SELECT {counts} FROM ({pairs}) x),
+    return f"""WITH RECURSIVE c AS MATERIALIZED (SELECT {counts} FROM ({_PAIR_POINTS}) x),
         n AS MATERIALIZED (SELECT [{", ".join(f"greatest(b{b}, 0.001)::DOUBLE" for b in range(5))}] AS n FROM c),
         s AS (SELECT k, sc, n, -1 / (1 - sc) + 1e-9 AS lo, 1 / sc - 1e-9 AS hi, 0 AS i FROM n, (SELECT k, 1 / (1 + pow(10, -5.0 * k / 400)) AS sc FROM (VALUES (0), (1)) v(k)) e
             UNION ALL SELECT k, sc, n, CASE WHEN g > 0 THEN mid ELSE lo END, CASE WHEN g > 0 THEN hi ELSE mid END, i + 1
@@ -567,7 +663,7 @@ def _pentanomial_sql() -> str:
 
 @query(_pentanomial_sql())
 def sprt_pentanomial(spark, sf_dir):
-    made = sequential.sprt(view(spark, sf_dir, GAMES), CONFIG, "pentanomial", paired=True)
+    made = sequential.sprt(view(spark, sf_dir, PAIRED_GAMES), CONFIG, "pentanomial", paired=True)
     return table(spark, [made], "candidate_wins long, draws long, baseline_wins long, llr double, verdict string")
 
 

@@ -6,6 +6,7 @@ import atexit
 import os
 import sys
 import tempfile
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -33,16 +34,49 @@ def read(spark: SparkSession, path: str, *, fmt: str | None = None, match: bool
         atexit.register(os.unlink, path)
     if path.endswith(".parquet"):
         return spark.read.parquet(path)
+    return _scan(spark, [path], resolve_format(path, fmt), match)
+
+
+def _scan(spark: SparkSession, paths: list[str], kind: str, match: bool) -> DataFrame:
     try:
-        return (read_csv if resolve_format(path, fmt) == "csv" else read_jsonl)(spark, path, match)
+        return (read_csv if kind == "csv" else read_jsonl)(spark, paths, match)
     except Exception as e:
         if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER" in str(e):
-            fail("Io", f"can't read {path}")
+            fail("Io", f"can't read {', '.join(paths)}")
         raise
 
 
+@dataclass(frozen=True)
+class Files:
+    """Records of many files: the files' names in order, and one table in which ``of_file`` gives a record's file by its number."""
+
+    names: list[str]
+    rows: DataFrame
+
+
+def read_files(spark: SparkSession, paths: list[str], fmt: str | None = None, match: bool = False) -> Files:
+    """Records of many files or folders by the stem of their name, which must differ. Files of one format are one scan.
+
+    A record's file is the last part of its path that is one of the names read, so a folder's files are one.
+    """
+    names = [stem(p.rstrip("/")) for p in paths]
+    if len(set(names)) < len(names):
+        fail("InvalidThreshold", "two files have the same name")
+    parts = []
+    for kind in dict.fromkeys(resolve_format(p, fmt) for p in paths):
+        own = [i for i, p in enumerate(paths) if resolve_format(p, fmt) == kind]
+        known = F.create_map(*(F.lit(x) for i in own for x in (os.path.basename(paths[i].rstrip("/")), i)))
+        steps = F.split(F.url_decode(F.replace("file", F.lit("+"), F.lit("%2B"))), "/")
+        number = F.element_at(F.filter(F.transform(steps, lambda x: F.try_element_at(known, x)), lambda x: x.isNotNull()), -1)
+        parts.append(_scan(spark, [paths[i] for i in own], kind, match).withColumn("of_file", number).drop("file"))
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part)
+    return Files(names, rows)
+
+
 def _numbered(rows: DataFrame, first: int) -> DataFrame:
-    """The rows of files with their ``line``, counted from ``first`` in each file.
+    """The rows of files with their ``file`` and their ``line``, counted from ``first`` in each file.
 
     Rows are numbered within the blocks that files are read in; what stands before a block is the sum of the counts of
     the blocks before it. So a file of many blocks is numbered where it lies; joined in is one row for each block.
@@ -52,10 +86,10 @@ def _numbered(rows: DataFrame, first: int) -> DataFrame:
     blocks = placed.groupBy("__file", "__start").agg(F.count("*").alias("n"), F.min("__id").alias("least"))
     before = F.sum("n").over(Window.partitionBy("__file").orderBy("__start").rowsBetween(Window.unboundedPreceding, -1))
     shift = blocks.select("__file", "__start", (F.coalesce(before, F.lit(0)) - F.col("least") + first).alias("__shift"))
-    return placed.join(shift, ["__file", "__start"]).select(*rows.columns, (F.col("__id") + F.col("__shift")).alias("line"))
+    return placed.join(shift, ["__file", "__start"]).select(*rows.columns, F.col("__file").alias("file"), (F.col("__id") + F.col("__shift")).alias("line"))
 
 
-def read_jsonl(spark: SparkSession, path: str, match: bool = False) -> DataFrame:
+def read_jsonl(spark: SparkSession, path: str | list[str], match: bool = False) -> DataFrame:
     """One JSON object a line; blank lines count but hold no record. Unknown keys are passed over, wrong types are errors.
 
     Spark's variant parser rejects repeated keys and malformed numbers; that nothing follows the object is
@@ -65,7 +99,7 @@ def read_jsonl(spark: SparkSession, path: str, match: bool = False) -> DataFrame
     lines = _numbered(spark.read.text(path), 1).where(F.trim(F.regexp_replace("value", r"\s", " ")) != "")
     v = F.try_parse_json("value")
     whole = F.try_parse_json(F.concat(F.lit("["), "value", F.lit("]")))
-    rows = lines.select("line", "value", v.alias("v"), whole.alias("w"))
+    rows = lines.select("file", "line", "value", v.alias("v"), whole.alias("w"))
     single = F.schema_of_variant("v").startswith("OBJECT") & F.col("w").isNotNull() & F.try_variant_get("w", "$[1]", "variant").isNull()
     kinds = {c: F.schema_of_variant(F.try_variant_get("v", f"$.{c}", "variant")) for c in names}
     typed: Column = F.lit(True)
@@ -76,10 +110,10 @@ def read_jsonl(spark: SparkSession, path: str, match: bool = False) -> DataFrame
     good = F.coalesce(single, F.lit(False)) & typed
     values = [F.when(good, F.try_variant_get("v", f"$.{c}", "double" if c in _NUMBERS and not match else "string")).alias(c) for c in names]
     error = F.when(~good, F.concat(F.lit("InvalidJson:"), F.lit("not a record: "), F.substring("value", 1, 80)))
-    return rows.select(*values, "line", error.alias("_error"))
+    return rows.select(*values, "file", "line", error.alias("_error"))
 
 
-def read_csv(spark: SparkSession, path: str, match: bool = False) -> DataFrame:
+def read_csv(spark: SparkSession, path: str | list[str], match: bool = False) -> DataFrame:
     """CSV with a header; an empty cell is null. The line of a record is its number and that of the header."""
     names = MATCH_COLUMNS if match else TRIAL_COLUMNS
     raw = spark.read.csv(path, header=True, inferSchema=False, multiLine=True, mode="PERMISSIVE", quote='"', escape='"', nullValue="", emptyValue="")
@@ -95,12 +129,4 @@ def read_csv(spark: SparkSession, path: str, match: bool = False) -> DataFrame:
         else:
             values.append(text(c).alias(c))
     error = F.when(bad, F.lit("InvalidCsv:a number can't be read"))
-    return df.select(*values, "line", error.alias("_error"))
-
-
-def read_named(spark: SparkSession, paths: list[str], fmt: str | None = None) -> list[tuple[str, DataFrame]]:
-    """Trial tables by the stem of their file, which names the candidate."""
-    names = [stem(p) for p in paths]
-    if len(set(names)) < len(names):
-        fail("InvalidThreshold", "two files have the same name")
-    return [(n, read(spark, p, fmt=fmt)) for n, p in zip(names, paths, strict=True)]
+    return df.select(*values, "file", "line", error.alias("_error"))

@@ -347,6 +347,55 @@ def test_lines_over_many_blocks(spark, tmp_path):
     assert len(rows) == 5300 and all(r.line == 1 + i + i // 2 for r in rows for i in [int(r.id[1:])])
 
 
+def test_many_files_are_one_scan(spark, tmp_path):
+    """Names with blanks and plus signs, folders of files, and both formats; lines and errors are a file's own."""
+    from tallygate.sources.readers import read_files
+
+    (tmp_path / "a b+c.jsonl").write_text("".join(json.dumps({"id": f"a{i}", "result": W}) + "\n" for i in range(4)))
+    (tmp_path / "d%20e.jsonl").write_text(json.dumps({"id": "d", "result": L}) + "\n")
+    (tmp_path / "f.csv").write_text("id,result\nf1,draw\nf2,draw\n")
+    (tmp_path / "g.jsonl").mkdir()
+    for k in range(3):
+        (tmp_path / "g.jsonl" / f"part-{k}.json").write_text(json.dumps({"id": f"g{k}", "result": D}) + "\n")
+    paths = [str(tmp_path / x) for x in ("a b+c.jsonl", "d%20e.jsonl", "f.csv", "g.jsonl")]
+    files = read_files(spark, paths)
+    assert files.names == ["a b+c", "d%20e", "f", "g"]
+    got = sorted((r.of_file, r.id, r.line) for r in files.rows.collect())
+    assert got == [(0, "a0", 1), (0, "a1", 2), (0, "a2", 3), (0, "a3", 4), (1, "d", 1), (2, "f1", 2), (2, "f2", 3), (3, "g0", 1), (3, "g1", 1), (3, "g2", 1)]
+    scans = read_files(spark, paths[:2] + paths[3:]).rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in scans
+    m = matrix(spark, files, [])
+    assert [(c["name"], c["candidate_count"], c["paired_count"]) for c in m["candidates"]] == [("a b+c", 4, 4), ("d%20e", 0, 1), ("f", 0, 2), ("g", 0, 3)]
+    (tmp_path / "h.jsonl").write_text(json.dumps({"id": "h", "result": W}) + "\n{bad\n")
+    with pytest.raises(GateError, match="2"):
+        matrix(spark, read_files(spark, [*paths, str(tmp_path / "h.jsonl")]), [])
+    assert kind_of(lambda: read_files(spark, [paths[0], str(tmp_path / "x" / "a b+c.csv")])) == "InvalidThreshold"
+
+
+def test_duplicate_ids_name_the_second_record(spark):
+    rows = [("a", 1.0, 5), ("b", 2.0, 3), ("a", 1.0, 9), ("a", 1.0, 7), ("b", 1.0, 20), (None, 1.0, 1), (None, 1.0, 2)]
+    df = spark.createDataFrame([(i, 0.0, c, n) for i, c, n in rows], "id string, baseline double, candidate double, line long")
+    with pytest.raises(GateError, match="line 7.* id a"):
+        compare(df, [Metric("mean-diff")])
+    with pytest.raises(GateError, match="line 9.* id a"):
+        compare(df, [Metric("mean-diff")], Options(paired=True))
+    with pytest.raises(GateError, match="line 7.* id a"):
+        pilot_sd(df)
+
+
+def test_grouping_sets_equal_separate_groups(spark):
+    from tallygate.plans.compare import closed_form_sets
+
+    df = spark.createDataFrame([(f"k{i // 2}", (W, L, D)[i % 3], i + 1, "xy"[i // 2 % 2], (None, "q")[i // 4 % 2]) for i in range(120)], "id string, result string, line long, team string, day string")
+    sets, metrics, o = [("team", "day"), ("day",), ()], [Metric("winrate"), Metric("elo")], Options(paired=True)
+    got = {(r.team, r.day, r.grouping_id, r.metric): tuple(r)[4:] for r in closed_form_sets(df, metrics, sets, o).collect()}
+    for keys, number in ((("team", "day"), 0), (("day",), 2), ((), 3)):
+        for r in closed_form(df, metrics, o, keys).collect():
+            x = r.asDict()
+            assert got.pop((x.get("team"), x.get("day"), number, r.metric)) == tuple(r)[len(keys) + 1 :]
+    assert not got
+
+
 def test_draws_are_shared_out_fairly():
     import numpy as np
 
