@@ -8,6 +8,7 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Callable
+from datetime import timedelta
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +23,7 @@ from .plans import sprt as sequential
 from .schema import BASELINE, DEFAULT_SEED, FailureCaps, Metric, Options, SprtConfig, Thresholds
 from .sources.readers import read, read_files
 from .sources.scratch import shared_folder
+from .streaming.windows import paired_windows, replay
 
 PAIRS = """SELECT CAST(l_orderkey AS STRING) AS id, CAST(l_orderkey AS BIGINT) AS line,
     avg(CASE WHEN l_returnflag = 'N' THEN CAST(l_extendedprice AS DOUBLE) END) AS baseline, avg(CASE WHEN l_returnflag <> 'N' THEN CAST(l_extendedprice AS DOUBLE) END) AS candidate
@@ -315,6 +317,27 @@ def matrix_edges_paired(spark, sf_dir):
     return graph.match_edges(view(spark, sf_dir, _PAIRED_MATCHES), True).drop("error")
 
 
+# --- streams --------------------------------------------------------------------------------------------
+
+_TIMED = f"SELECT g.user_id % 7 AS squad, id, line, result, ts FROM ({GAMES}) g JOIN {{events}} e ON event_id = line"
+# Records come up to an hour after their time, one in ten of them once more up to five hours later.
+_DELIVERED = f"SELECT *, ts + make_interval(0, 0, 0, 0, 0, 0, line * 7919 % 3600) AS arrival FROM ({_TIMED}) t UNION ALL SELECT *, ts + make_interval(0, 0, 0, 0, 4, 0, line * 7919 % 3600) FROM ({_TIMED}) t WHERE line % 10 = 0"
+_COUNTED = f"SELECT squad, id, max(ts) AS last, count(*) AS n, sum(CASE result WHEN 'candidate_win' THEN 2 WHEN 'draw' THEN 1 ELSE 0 END) AS p FROM ({_TIMED}) t GROUP BY squad, id"
+
+
+@query(f"""SELECT strftime(CASE WHEN n = 1 THEN last + INTERVAL 20 DAY ELSE last END, '%Y-%m-%d') AS day, squad, {', '.join(f"count(*) FILTER (n = 2 AND p = {b}) AS bucket_{b}" for b in range(5))},
+    count(*) FILTER (n = 1) AS unpaired, 0::BIGINT AS excess FROM ({_COUNTED}) c GROUP BY ALL""")
+def stream_pairs(spark, sf_dir):
+    """Pentanomial counts by day and squad from micro-batches in event time, with repeated and late deliveries."""
+    rows = view(spark, sf_dir, _DELIVERED)
+    days = rows.select(F.datediff("arrival", F.lit("2024-01-01").cast("date")).alias("day"), *rows.columns)
+    last = view(spark, sf_dir, "SELECT max(ts) AS ts FROM {events}").first()["ts"]
+    end = spark.createDataFrame([(0, "end", -1, "draw", last + timedelta(days=400))], "squad long, id string, line long, result string, ts timestamp")
+    pieces = [days.where(F.floor(F.col("day") / 11) == k).drop("day", "arrival") for k in range(3)]
+    found = replay(spark, [*pieces, end.select(*(F.col(c).cast(t) for c, t in pieces[0].dtypes))], lambda s: paired_windows(s, ("squad",), delay="6 hours", forget="20 days"), f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}")
+    return found.withColumn("start", F.date_format("start", "yyyy-MM-dd")).withColumnRenamed("start", "day")
+
+
 # --- mean bootstraps --------------------------------------------------------------------------------------
 
 

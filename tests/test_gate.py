@@ -347,6 +347,23 @@ def test_lines_over_many_blocks(spark, tmp_path):
     assert len(rows) == 5300 and all(r.line == 1 + i + i // 2 for r in rows for i in [int(r.id[1:])])
 
 
+def test_pairs_in_event_time(spark, tmp_path):
+    """Repeated deliveries, a third record, a late one, a half that is given up, and a group key."""
+    from datetime import datetime, timedelta
+
+    from tallygate.streaming.windows import paired_windows, replay
+
+    at = lambda hours: datetime(2024, 1, 1) + timedelta(hours=hours)
+    first = [("x", "p1", 1, W, at(1)), ("x", "p1", 1, W, at(1)), ("x", "p2", 2, L, at(2)), ("y", "p3", 3, D, at(3)), ("y", "p3", 4, D, at(2.5)), ("x", "h", 5, W, at(4)), ("x", None, 6, W, at(4)), ("y", "n", 7, None, at(4))]
+    second = [("x", "p1", 8, D, at(5)), ("x", "p2", 2, L, at(2)), ("x", "p2", 9, L, at(25)), ("y", "p3", 10, W, at(26))]
+    third = [("x", "late", 11, W, at(3)), ("x", "h", 12, W, at(1)), ("y", "q", 13, L, at(60)), ("y", "q", 14, W, at(61))]
+    end = [("x", "end", 15, W, at(1000))]
+    schema = "team string, id string, line long, result string, ts timestamp"
+    found = replay(spark, [spark.createDataFrame(b, schema) for b in (first, second, third, end)], lambda s: paired_windows(s, ("team",), delay="6 hours", forget="40 hours"), str(tmp_path / "stream"))
+    got = sorted((r.start.day, r.team, *(r[f"bucket_{b}"] for b in range(5)), r.unpaired, r.excess) for r in found.collect())
+    assert got == [(1, "x", 0, 0, 0, 1, 0, 0, 0), (1, "y", 0, 0, 1, 0, 0, 0, 0), (2, "x", 1, 0, 0, 0, 0, 1, 0), (2, "y", 0, 0, 0, 0, 0, 0, 1), (3, "y", 0, 0, 1, 0, 0, 0, 0)]
+
+
 def test_many_files_are_one_scan(spark, tmp_path):
     """Names with blanks and plus signs, folders of files, and both formats; lines and errors are a file's own."""
     from tallygate.sources.readers import read_files
