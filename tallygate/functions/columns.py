@@ -27,47 +27,15 @@ def elo_from_score(p: Column) -> Column:
     return -400 * F.log10(1 / between(p, numeric.ELO_CLAMP, 1 - numeric.ELO_CLAMP) - 1)
 
 
-def score_from_elo(e: Column) -> Column:
-    return 1 / (1 + F.pow(F.lit(10.0), -e / 400))
-
-
 def points2(outcome: Column, win: str = "candidate_win") -> Column:
     """Twice the points of an outcome, so that sums stay whole numbers."""
     return F.when(outcome == win, 2).when(outcome == "draw", 1).when(outcome.isNotNull(), 0)
 
 
-def normal_quantile(p: Column) -> Column:
-    def poly(cs: tuple[float, ...], x: Column) -> Column:
-        out = F.lit(0.0)
-        for c in cs:
-            out = out * x + c
-        return out
-
-    q = p - 0.5
-    t = F.sqrt(-2 * F.log(F.least(p, 1 - p)))
-    tail = poly(numeric._TAIL_NUM, t) / poly(numeric._TAIL_DEN, t)
-    centre = q * poly(numeric._CENTRE_NUM, q * q) / poly(numeric._CENTRE_DEN, q * q)
-    return F.when((p >= numeric.TAIL) & (p <= 1 - numeric.TAIL), centre).when(p < 0.5, tail).otherwise(-tail)
-
-
 def verdict(ci_low: Column, ci_high: Column, t: Thresholds) -> Column:
     return F.when(ci_low >= t.pass_above, "pass").when(ci_high <= t.fail_below, "fail").otherwise("inconclusive")
 
 
-def reason(ci_low: Column, ci_high: Column, t: Thresholds) -> Column:
-    up, down = f"{t.pass_above:.4f}", f"{t.fail_below:.4f}"
-    return (
-        F.when(ci_low >= t.pass_above, F.format_string(f"CI lower bound %.4f meets the pass threshold {up}", ci_low))
-        .when(ci_high <= t.fail_below, F.format_string(f"CI upper bound %.4f is at or below the fail threshold {down}", ci_high))
-        .otherwise(F.format_string(f"CI [%.4f, %.4f] crosses neither the pass ({up}) nor the fail ({down}) threshold", ci_low, ci_high))
-    )
-
-
-def worst(verdict: Column) -> Column:
-    """Aggregate: fail before inconclusive before pass."""
-    return F.element_at(F.array(*map(F.lit, ("pass", "inconclusive", "fail"))), F.max(F.when(verdict == "fail", 3).when(verdict == "inconclusive", 2).otherwise(1)))
-
-
 def wald_llr(config: SprtConfig, wins: Column, losses: Column) -> Column:
     up, down = numeric.wald_steps(config.elo0, config.elo1)
     return wins * up + losses * down

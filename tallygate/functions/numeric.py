@@ -18,6 +18,8 @@ _CENTRE_DEN = (-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e0
 _TAIL_NUM = (-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00, -2.549732539343734e00, 4.374664141464968e00, 2.938163982698783e00)
 _TAIL_DEN = (7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00, 1.0)
 TAIL = 0.02425
+# Fixed values of the pentanomial test: a bucket's least count, and how near to its poles the search begins.
+LEAST_COUNT, EDGE = 1e-3, 1e-9
 
 
 def _poly(coefficients: tuple[float, ...], x: float) -> float:
@@ -192,13 +194,13 @@ def trinomial_llr(elo0: float, elo1: float, wins: int, draws: int, losses: int)
 
 def pentanomial_llr(elo0: float, elo1: float, buckets: list[int]) -> float:
     """Generalised ratio over pair scores 0, 1/4, ..., 1; empty buckets count 0.001."""
-    counts = np.maximum(np.array(buckets, float), 1e-3)
+    counts = np.maximum(np.array(buckets, float), LEAST_COUNT)
     p, scores = counts / counts.sum(), np.arange(5) / 4
 
     def fitted(elo: float) -> np.ndarray:
         # The likeliest distribution with this mean: p / (1 + x a) where the mean of a is zero.
         a = scores - score_from_elo(elo)
-        lo, hi = -1 / a.max() + 1e-9, -1 / a.min() - 1e-9
+        lo, hi = -1 / a.max() + EDGE, -1 / a.min() - EDGE
         for _ in range(100):
             x = (lo + hi) / 2
             lo, hi = (x, hi) if (p * a / (1 + x * a)).sum() > 0 else (lo, x)

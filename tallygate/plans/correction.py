@@ -6,6 +6,7 @@ from ..errors import fail
 from ..functions import numeric
 from ..schema import Metric, Options
 
+# The least level searched, and halvings of the search.
 FLOOR, STEPS = 1e-12, 60
 
 

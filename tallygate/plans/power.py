@@ -18,6 +18,7 @@ from ..operators.resample import generator
 from ..operators.trials import raise_error
 from ..schema import CI_METHODS, DEFAULT_SEED, SCHEMA_VERSION, Metric, SprtConfig, check_confidence, one_of
 
+# The most trials searched, sizes in a row that must do, sizes looked at on either side, simulated tests.
 MOST, WINDOW, AROUND, REPLICATIONS = 5_000_000, 20, 500, 2_000
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import columns, numeric
-from .operators import graph, netting, ranks, resample, trials
+from .operators import graph, large_graph, netting, ranks, resample, trials
 from .plans import compare as comparisons
 from .plans import matrix as matrices
 from .plans import power, recommend
@@ -713,6 +713,46 @@ def matrix_ratings(spark, sf_dir):
     return made.withColumn("elo", F.round("elo", 3) + F.lit(0.0))
 
 
+# Suppliers of one nation meet where lines of an order follow each other; the dearer line wins.
+_SUPPLIERS = """SELECT line, CAST(a AS STRING) AS a, CAST(b AS STRING) AS b, CASE WHEN abs(x - y) < 0.02 * x THEN 'draw' WHEN x > y THEN 'a_win' ELSE 'b_win' END AS result
+    FROM (SELECT CAST(l_orderkey AS BIGINT) * 100 + l_linenumber AS line, l_suppkey AS a, l_extendedprice AS x, lead(l_suppkey) OVER w AS b, lead(l_extendedprice) OVER w AS y
+        FROM {lineitem} WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey, l_extendedprice)) l
+    JOIN {supplier} s ON s.s_suppkey = a JOIN {supplier} t ON t.s_suppkey = b WHERE a <> b AND s.s_nationkey = t.s_nationkey"""
+
+
+def _components_sql() -> str:
+    """SQL for CTEs e (edges), n (nodes with component) of the suppliers' graph, by reach from every node."""
+    arcs = "SELECT lo AS u, hi AS v FROM e WHERE lo_wins + draws > 0 UNION ALL SELECT hi, lo FROM e WHERE hi_wins + draws > 0"
+    return f"""WITH RECURSIVE e AS MATERIALIZED ({_edges_sql(_SUPPLIERS)}), arc AS MATERIALIZED ({arcs}), node AS (SELECT lo AS x FROM e UNION SELECT hi FROM e),
+        reach(x, y) AS (SELECT x, x FROM node UNION SELECT reach.x, v FROM reach JOIN arc ON u = y), pair AS MATERIALIZED (SELECT x, y FROM reach),
+        n AS MATERIALIZED (SELECT p.x AS node, min(p.y) AS component FROM pair p JOIN pair q ON p.x = q.y AND p.y = q.x GROUP BY p.x)"""
+
+
+@query(f"{_components_sql()} SELECT component, count(*) AS nodes FROM n GROUP BY component")
+def large_graph_components(spark, sf_dir):
+    """Strongly connected components by joins, with their sizes."""
+    edges = graph.match_edges(view(spark, sf_dir, _SUPPLIERS), False)
+    arcs = [edges.where(F.col(w) + F.col("draws") > 0).select(F.col(u).alias("u"), F.col(v).alias("v")) for u, v, w in (("lo", "hi", "lo_wins"), ("hi", "lo", "hi_wins"))]
+    nodes = edges.select(F.col("lo").alias("node")).union(edges.select("hi"))
+    return large_graph.strong_components(nodes, arcs[0].union(arcs[1])).groupBy("component").agg(F.count("*").alias("nodes"))
+
+
+@query(f"""{_components_sql()}, k AS MATERIALIZED (SELECT node, component, row_number() OVER (ORDER BY node) AS i FROM n),
+    w AS (SELECT k.node, k.i, q.i AS pin, coalesce(sum(CASE WHEN k.node = lo THEN lo_wins ELSE hi_wins END + draws / 2.0) FILTER (o.component = k.component), 0)::DOUBLE AS w
+        FROM k JOIN k q ON q.node = k.component LEFT JOIN e ON k.node = lo OR k.node = hi LEFT JOIN k o ON o.node = CASE WHEN k.node = lo THEN hi ELSE lo END GROUP BY ALL),
+    l AS MATERIALIZED (SELECT list(w ORDER BY i) AS ws, list(pin ORDER BY i) AS pins FROM w),
+    p AS MATERIALIZED (SELECT list(es ORDER BY i) AS es FROM (SELECT k.i, list({{'j': o.i, 'n': (lo_wins + hi_wins + draws)::DOUBLE}}) FILTER (o.component = k.component) AS es
+        FROM k LEFT JOIN e ON k.node = lo OR k.node = hi LEFT JOIN k o ON o.node = CASE WHEN k.node = lo THEN hi ELSE lo END GROUP BY k.i) z),
+    r AS (SELECT list_transform(ws, lambda x: 1.0::DOUBLE) AS s, 0 AS t FROM l
+        UNION ALL SELECT list_transform(range(1, len(u) + 1), lambda i: u[i] / u[pins[i]]), t + 1
+        FROM (SELECT list_transform(range(1, len(ws) + 1), lambda i: CASE WHEN ws[i] > 0 THEN ws[i] / list_sum(list_transform(es[i], lambda x: x.n / (s[i] + s[x.j]))) ELSE 1.0 END) AS u, pins, t FROM r, l, p WHERE t < 400) h)
+    SELECT node, component, round(400 * log10(s[i]), 3) + 0.0 AS elo FROM k, r WHERE t = 400""")
+def large_graph_ratings(spark, sf_dir):
+    """Ratings of a graph of many components by steps of joins."""
+    made = large_graph.ratings(graph.match_edges(view(spark, sf_dir, _SUPPLIERS), False).drop("error"))
+    return made.withColumn("elo", F.round("elo", 3) + F.lit(0.0))
+
+
 _CELLS = "row string, col string, elo_diff double, ci_low double, ci_high double, status string"
 
 
@@ -724,19 +764,15 @@ def matrix_bca(spark, sf_dir):
     return table(spark, _matrix(spark, sf_dir, method="bca")["matrix"], _CELLS)
 
 
+# A full round of up to 100 competitors: suppliers by the last two digits of their number.
+_ROUND = """SELECT line, CAST(a AS STRING) AS a, CAST(b AS STRING) AS b, CASE WHEN abs(x - y) < 0.02 * x THEN 'draw' WHEN x > y THEN 'a_win' ELSE 'b_win' END AS result
+    FROM (SELECT CAST(l_orderkey AS BIGINT) * 100 + l_linenumber AS line, l_suppkey % 100 AS a, l_extendedprice AS x, lead(l_suppkey % 100) OVER w AS b, lead(l_extendedprice) OVER w AS y
+        FROM {lineitem} WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey, l_extendedprice)) l WHERE a <> b"""
+
+
 def matrix_dense(spark, sf_dir):
-    """A full round of 100 competitors of given strengths, 20 games a pair, 2,000 resamples; no table is read."""
-    strength = [100 * numeric.normal_quantile((i + 0.5) / 100) for i in range(100)]
-    edges = []
-    for a in range(100):
-        for b in range(a + 1, 100):
-            wins = round(16 * numeric.score_from_elo(strength[a] - strength[b]))
-            edges.append((a, b, wins, 16 - wins, 4))
-    g = graph.Graph(100, edges)
-    label, elo = g.fit()
-    cis = graph.pairwise_intervals(spark, g, label, elo, resamples=2000, seed=SEED, confidence=0.95, method="percentile")
-    made = [{"row": str(i), "col": str(j), "elo_diff": float(elo[i] - elo[j]), "ci_low": lo, "ci_high": hi, "status": "direct"} for (i, j), (lo, hi) in cis.items()]
-    return table(spark, made, _CELLS)
+    """The matrix of 100 competitors by 2,000 resamples."""
+    return table(spark, matrices.matrix(spark, [], [view(spark, sf_dir, _ROUND)])["matrix"], _CELLS)
 
 
 QUERIES |= {f.__name__: f for f in (matrix_general, matrix_bca, matrix_dense)}
@@ -767,13 +803,23 @@ def plan_star(spark, sf_dir):
     return table(spark, rows, "row string, col string, status string, current_ci_half_width double, estimated_additional_trials long, place long")
 
 
+# Trials whose candidate wins about three in five, from which power reports take the effect that they assume.
+_PILOT = "SELECT CAST(event_id AS STRING) AS id, CAST(event_id AS BIGINT) AS line, CASE WHEN value > 25 THEN 'candidate_win' ELSE 'baseline_win' END AS result FROM {events}"
+_WON = f"(SELECT count(*) FILTER (result = 'candidate_win')::DOUBLE / count(*) AS p1 FROM ({_PILOT}) s)"
+
+
+def _pilot_effect(spark: SparkSession, sf_dir: str, kind: str) -> float:
+    return comparisons.closed_form(view(spark, sf_dir, _PILOT), [Metric(kind)]).first()["effect"]
+
+
 # The first of 20 sizes in a row at which 80 % is reached.
-@query(f"""WITH f AS MATERIALIZED (SELECT n, ceil(0.5 * n + {_Z} * sqrt(0.25 * n) - 1e-9)::BIGINT AS k FROM range(1, 1301) r(n)),
-    p AS (SELECT n, coalesce(list_sum(list_transform(range(k, n + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(0.55) + (n - j) * ln(0.45)))), 0) AS power FROM f),
+@query(f"""WITH f AS MATERIALIZED (SELECT n, p1, ceil(0.5 * n + {_Z} * sqrt(0.25 * n) - 1e-9)::BIGINT AS k FROM range(1, 1301) r(n), {_WON} w),
+    p AS (SELECT n, coalesce(list_sum(list_transform(range(k, n + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(p1) + (n - j) * ln(1 - p1)))), 0) AS power FROM f),
     m AS (SELECT n, power, min(power) OVER (ORDER BY n ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING) AS least FROM p)
     SELECT n AS estimated_trials, {_R.format("power")} AS achieved_power, 'exact_binomial_search' AS method FROM m WHERE least >= 0.8 ORDER BY n LIMIT 1""")
 def power_exact(spark, sf_dir):
-    return table(spark, [power.estimate_trials("winrate", 0.0, 0.05)], "estimated_trials long, achieved_power double, method string")
+    """How many trials show the effect of a pilot."""
+    return table(spark, [power.estimate_trials("winrate", 0.0, _pilot_effect(spark, sf_dir, "winrate"))], "estimated_trials long, achieved_power double, method string")
 
 
 @query(f"""WITH d AS (SELECT stddev_samp(candidate - baseline) AS sd FROM ({PAIRS}) p), n AS (SELECT sd, ceil(pow(({_Z} + 0.8416212335729143) * sd / 1000, 2))::BIGINT AS n FROM d)
@@ -784,15 +830,18 @@ def power_pilot(spark, sf_dir):
     return table(spark, [made], "estimated_trials long, assume_sd double, achieved_power double")
 
 
-@query("""WITH s AS (SELECT 1 / (1 + pow(10, -20 / 400.0)) AS p1), u AS (SELECT p1, ln(p1 / 0.5) AS up, ln((1 - p1) / 0.5) AS down, ln(0.95 / 0.05) AS top FROM s)
+@query(f"""WITH u AS (SELECT p1, ln(p1 / 0.5) AS up, ln((1 - p1) / 0.5) AS down, ln(0.95 / 0.05) AS top FROM {_WON} s)
     SELECT ceil((0.05 * top - 0.95 * top) / (0.5 * up + 0.5 * down))::BIGINT AS expected_trials_under_h0, ceil((0.95 * top - 0.05 * top) / (p1 * up + (1 - p1) * down))::BIGINT AS expected_trials_under_h1 FROM u""")
 def sprt_asn(spark, sf_dir):
-    return table(spark, [power.sprt_trials(SprtConfig(0, 20))], "expected_trials_under_h0 long, expected_trials_under_h1 long")
+    """Expected lengths of a sequential test for the rating of a pilot."""
+    config = SprtConfig(0, _pilot_effect(spark, sf_dir, "elo"))
+    return table(spark, [power.sprt_trials(config)], "expected_trials_under_h0 long, expected_trials_under_h1 long")
 
 
 def sprt_horizon(spark, sf_dir):
-    """The risk of no decision within 3,000 trials, by simulation."""
-    return table(spark, [power.sprt_trials(SprtConfig(0, 20), horizon=3000, spark=spark)], "horizon long, probability_no_decision_by_horizon double")
+    """The risk of no decision within 120 trials of a test for the rating of a pilot, by simulation."""
+    config = SprtConfig(0, _pilot_effect(spark, sf_dir, "elo"))
+    return table(spark, [power.sprt_trials(config, horizon=120, spark=spark)], "horizon long, probability_no_decision_by_horizon double")
 
 
 QUERIES["sprt_horizon"] = sprt_horizon

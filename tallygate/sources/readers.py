@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import atexit
 import os
 import sys
-import tempfile
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -13,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..errors import fail
 from ..schema import MATCH_COLUMNS, TRIAL_COLUMNS
+from .scratch import shared_folder
 
 _NUMBERS = ("baseline", "candidate")
 
@@ -28,15 +28,26 @@ def stem(path: str) -> str:
 def read(spark: SparkSession, path: str, *, fmt: str | None = None, match: bool = False) -> DataFrame:
     """Records of a JSONL or CSV file, of standard input (``-``) or of a Parquet table."""
     if path == "-":
-        with tempfile.NamedTemporaryFile("wb", suffix=".records", delete=False) as f:
-            f.write(sys.stdin.buffer.read())
-        path = f.name
-        atexit.register(os.unlink, path)
+        path = _spooled(spark)
     if path.endswith(".parquet"):
         return spark.read.parquet(path)
     return _scan(spark, [path], resolve_format(path, fmt), match)
 
 
+def _spooled(spark: SparkSession) -> str:
+    """Standard input as a file of the shared folder, which goes with the session; a piece at a time passes through the driver."""
+    jvm = spark.sparkContext._jvm
+    path = f"{shared_folder(spark)}/stdin-{uuid.uuid4().hex}.records"
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    fs = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = fs.create(place)
+    while piece := sys.stdin.buffer.read(1 << 20):
+        out.write(piece)
+    out.close()
+    fs.deleteOnExit(place)
+    return path
+
+
 def _scan(spark: SparkSession, paths: list[str], kind: str, match: bool) -> DataFrame:
     try:
         return (read_csv if kind == "csv" else read_jsonl)(spark, paths, match)

@@ -347,6 +347,40 @@ def test_lines_over_many_blocks(spark, tmp_path):
     assert len(rows) == 5300 and all(r.line == 1 + i + i // 2 for r in rows for i in [int(r.id[1:])])
 
 
+@pytest.mark.parametrize("joins", [False, True])
+def test_large_graphs_equal_small_ones(spark, monkeypatch, joins):
+    """Components and ratings by joins against those of one machine, on random graphs of several components, chains and lone nodes."""
+    import random
+
+    from tallygate.operators.graph import Graph
+    from tallygate.operators import large_graph
+    from tallygate.operators.large_graph import ratings, strong_components
+
+    monkeypatch.setattr(large_graph, "IN_TASK", 8 if joins else 100)
+    r, edges = random.Random(1), {}
+    for _ in range(60):
+        a, b = sorted(r.sample(range(26), 2))
+        if a // 9 == b // 9 or r.random() < 0.15:
+            edges[a, b] = r.choice([(3, 2, 1), (2, 0, 0), (0, 4, 0), (1, 1, 5), (0, 0, 2)])
+    edges |= {(k, k + 1): (2, 3, 0) for k in (0, 1, 2, 9, 10)}
+    if joins:  # one component of many edges, which settles soon, and one of few
+        edges = {(a, b): (2 + a % 3, 2 + b % 2, 1) for b in range(6) for a in range(b)} | {(8, 9): (1, 2, 0)}
+    g = Graph(26, [(a, b, *w) for (a, b), w in edges.items()])
+    label, elo = g.fit()
+    rows = [(f"n{a:02}", f"n{b:02}", *w) for (a, b), w in edges.items()]
+    schema = "lo string, hi string, lo_wins long, hi_wins long, draws long"
+    half = [[(*x[:2], *(k // 2 for k in x[2:])) for x in rows], [(*x[:2], *(k - k // 2 for k in x[2:])) for x in rows]]
+    got = {x.node: x for x in ratings(*(spark.createDataFrame(h, schema) for h in half)).collect()}
+    played = sorted({i for pair in edges for i in pair})
+    assert sorted(got) == [f"n{i:02}" for i in played]
+    for i in played:
+        x = got[f"n{i:02}"]
+        assert x.component == f"n{min(j for j in range(26) if label[j] == label[i]):02}" and x.elo == pytest.approx(elo[i], abs=1e-3)
+    chain = [(i, i + 1) for i in range(12)] + [(20, 22), (22, 21), (21, 20), (21, 25)]
+    found = strong_components(spark.createDataFrame([(i,) for i in (*range(13), 20, 21, 22, 25, 99)], "node long"), spark.createDataFrame(chain, "u long, v long"))
+    assert {x.node: x.component for x in found.collect()} == {**{i: i for i in range(13)}, 20: 20, 21: 20, 22: 20, 25: 25, 99: 99}
+
+
 def test_pairs_in_event_time(spark, tmp_path):
     """Repeated deliveries, a third record, a late one, a half that is given up, and a group key."""
     from datetime import datetime, timedelta
@@ -389,6 +423,20 @@ def test_many_files_are_one_scan(spark, tmp_path):
     assert kind_of(lambda: read_files(spark, [paths[0], str(tmp_path / "x" / "a b+c.csv")])) == "InvalidThreshold"
 
 
+def test_standard_input_and_shared_folder(spark, monkeypatch):
+    import io
+    from types import SimpleNamespace
+
+    from tallygate.sources.scratch import shared_folder
+
+    data = "".join(json.dumps({"id": str(i), "result": W}) + "\n" for i in range(50_000)).encode()
+    monkeypatch.setattr("sys.stdin", SimpleNamespace(buffer=io.BytesIO(data)))
+    rows = read(spark, "-")
+    assert rows.count() == 50_000 and rows.agg({"line": "max"}).first()[0] == 50_000
+    remote = SimpleNamespace(sparkContext=SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None), conf=SimpleNamespace(get=lambda *a: None))
+    assert kind_of(lambda: shared_folder(remote)) == "Io"
+
+
 def test_duplicate_ids_name_the_second_record(spark):
     rows = [("a", 1.0, 5), ("b", 2.0, 3), ("a", 1.0, 9), ("a", 1.0, 7), ("b", 1.0, 20), (None, 1.0, 1), (None, 1.0, 2)]
     df = spark.createDataFrame([(i, 0.0, c, n) for i, c, n in rows], "id string, baseline double, candidate double, line long")
