@@ -173,6 +173,7 @@ def _sets_sql() -> str:
     """SQL for win rates and ratings of squads, leagues, both and all, from pairs netted once."""
     counts = f"""SELECT user_id % 7 AS squad, user_id % 3 AS league, GROUPING(squad, league)::BIGINT AS grouping_id, count(*) FILTER (result = 'candidate_win') AS w, count(*) FILTER (result = 'draw') AS d,
         count(*) FILTER (result = 'baseline_win') AS l FROM ({_NETTED}) n GROUP BY GROUPING SETS ((squad, league), (squad), (league), ())"""
+    counts = f"SELECT * REPLACE (coalesce(squad::VARCHAR, 'all') AS squad, coalesce(league::VARCHAR, 'all') AS league) FROM ({counts}) t"
     keys = "squad, league, grouping_id"
     return " UNION ALL ".join(f"({_closed_sql(counts, scale, metric, draws, keys)})" for scale, metric, draws in ((_PP, "winrate", False), (_elo_sql, "elo", True)))
 
@@ -181,7 +182,8 @@ def _sets_sql() -> str:
 def grouping_sets(spark, sf_dir):
     """Reports at several grains, from tallies netted once by id."""
     sets = [("squad", "league"), ("squad",), ("league",), ()]
-    return rounded(comparisons.closed_form_sets(view(spark, sf_dir, _SQUADS), [Metric("winrate"), Metric("elo")], sets, Options(paired=True)))
+    made = comparisons.closed_form_sets(view(spark, sf_dir, _SQUADS), [Metric("winrate"), Metric("elo")], sets, Options(paired=True))
+    return rounded(made.withColumns({c: F.coalesce(F.col(c).cast("string"), F.lit("all")) for c in ("squad", "league")}))
 
 
 # --- readers: the trials written as files and read again ---------------------------------------------
