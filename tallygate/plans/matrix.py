@@ -68,11 +68,14 @@ def matrix(spark: SparkSession, legacy: Files | list[tuple[str, DataFrame]], mat
             add(n, BASELINE, w, x, d)
     order = list(names)
     if match_files:
-        both = matches(match_files.rows).withColumnRenamed("of_file", "file")
-        for r in graph.match_edges(both, paired).collect():
-            raise_error(r["error"])
-            add(r["lo"], r["hi"], r["lo_wins"], r["hi_wins"], r["draws"])
-        order += [n for n in first_seen(both) if n not in order and n != BASELINE]
+        both = matches(match_files.rows).withColumnRenamed("of_file", "file").persist()
+        try:
+            for r in graph.match_edges(both, paired).collect():
+                raise_error(r["error"])
+                add(r["lo"], r["hi"], r["lo_wins"], r["hi_wins"], r["draws"])
+            order += [n for n in first_seen(both) if n not in order and n != BASELINE]
+        finally:
+            both.unpersist()
     if not order:
         fail("EmptyInput", "there are no records")
     star = all(BASELINE in pair for pair in edges)
