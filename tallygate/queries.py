@@ -189,10 +189,10 @@ def grouping_sets(spark, sf_dir):
 # --- readers: the trials written as files and read again ---------------------------------------------
 
 
-def _written(spark: SparkSession, sf_dir: str, fmt: str) -> DataFrame:
+def _written(spark: SparkSession, sf_dir: str, fmt: str, trials: str) -> DataFrame:
     path = f"{shared_folder(spark)}/trials-{uuid.uuid4().hex}.{fmt}"
-    rows = view(spark, sf_dir, _BOTH).select("id", "baseline", "candidate", "result")
-    rows.write.option("header", True).format("json" if fmt == "jsonl" else fmt).save(path)
+    rows = view(spark, sf_dir, trials).select("id", "baseline", "candidate", "result")
+    rows.write.options(header=True, escape='"').format("json" if fmt == "jsonl" else fmt).save(path)
     return rounded(read(spark, path).select("id", "baseline", "candidate", "result"))
 
 
@@ -202,12 +202,21 @@ _READ = f"SELECT id, {_R.format('baseline')} AS baseline, {_R.format('candidate'
 
 @query(_READ)
 def read_jsonl(spark, sf_dir):
-    return _written(spark, sf_dir, "jsonl")
+    return _written(spark, sf_dir, "jsonl", _BOTH)
 
 
 @query(_READ)
 def read_csv(spark, sf_dir):
-    return _written(spark, sf_dir, "csv")
+    return _written(spark, sf_dir, "csv", _BOTH)
+
+
+_MANY_LINES = f"SELECT concat('a \"', id, '\",', chr(10), chr(10), '\"', line, '\"') AS id, baseline, candidate, result FROM ({_BOTH}) b"
+
+
+@query(f"SELECT id, {_R.format('baseline')} AS baseline, {_R.format('candidate')} AS candidate, result FROM ({_MANY_LINES}) m")
+def read_csv_quoted(spark, sf_dir):
+    """Every record has a cell of three lines, with quotes and commas."""
+    return _written(spark, sf_dir, "csv", _MANY_LINES)
 
 
 @query("SELECT concat('event_type=', event_type) AS name, count(*) FILTER (value > 60) AS wins, count(*) FILTER (value BETWEEN 40 AND 60) AS draws, count(*) FILTER (value < 40) AS losses, count(*) AS n_rows, min(event_id)::BIGINT AS first_id FROM events GROUP BY event_type")

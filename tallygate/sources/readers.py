@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..errors import fail
 from ..schema import MATCH_COLUMNS, TRIAL_COLUMNS
+from .quoted import records
 from .scratch import shared_folder
 
 _NUMBERS = ("baseline", "candidate")
@@ -125,12 +126,13 @@ def read_jsonl(spark: SparkSession, path: str | list[str], match: bool = False)
 
 
 def read_csv(spark: SparkSession, path: str | list[str], match: bool = False) -> DataFrame:
-    """CSV with a header; an empty cell is null. The line of a record is its number and that of the header."""
+    """CSV with a header in each file; an empty cell is null. The line of a record is its number and that of the header.
+
+    A record with more or fewer cells than its header is an error, as is a number that can't be read.
+    """
     names = MATCH_COLUMNS if match else TRIAL_COLUMNS
-    raw = spark.read.csv(path, header=True, inferSchema=False, multiLine=True, mode="PERMISSIVE", quote='"', escape='"', nullValue="", emptyValue="")
-    df = _numbered(raw.withColumnRenamed("line", "_line"), 2)
-    have = set(raw.columns)
-    text = lambda c: F.nullif(F.col(c), F.lit("")) if c in have else F.lit(None).cast("string")
+    df = records(spark, path)
+    text = lambda c: F.nullif(F.try_element_at("cells", F.nullif(F.array_position("head", c), F.lit(0)).cast("int")), F.lit(""))
     values, bad = [], F.lit(False)
     for c in names:
         if c in _NUMBERS and not match:
@@ -139,5 +141,6 @@ def read_csv(spark: SparkSession, path: str | list[str], match: bool = False) ->
             values.append(number.alias(c))
         else:
             values.append(text(c).alias(c))
-    error = F.when(bad, F.lit("InvalidCsv:a number can't be read"))
-    return df.select(*values, "file", "line", error.alias("_error"))
+    uneven = F.concat(F.lit("InvalidCsv:"), F.col("n_cells").cast("string"), F.lit(" cells where the header has "), F.size("head").cast("string"))
+    error = F.when(F.col("n_cells") != F.size("head"), uneven).when(bad, F.lit("InvalidCsv:a number can't be read"))
+    return df.select(*values, "file", (F.col("number") + 1).alias("line"), error.alias("_error"))
