@@ -64,7 +64,7 @@ _encoder = cache(Encoder)
 class Piece(NamedTuple):
     doc_id: int | None
     start: int
-    ids: bytes  # four bytes each
+    ids: bytes | memoryview  # four bytes each
     doc_tokens: int
 
     def cut(self, at: int) -> tuple[Piece, Piece]:
@@ -90,9 +90,11 @@ class Packer:
 
     def add(self, piece: Piece) -> Iterator[list[Piece]]:
         """Place a document; yield the windows that this fills."""
-        while len(piece.ids) >= 4 * self.size:
-            full, piece = piece.cut(self.size)
-            yield [full]
+        ids, step = memoryview(piece.ids), 4 * self.size
+        whole = len(ids) // step
+        for k in range(whole):  # views; copying the rest for each window would take the square of its length
+            yield [piece._replace(start=piece.start + k * self.size, ids=ids[k * step : (k + 1) * step])]
+        piece = piece._replace(start=piece.start + whole * self.size, ids=piece.ids[whole * step :])
         length = len(piece.ids) // 4
         if not length:
             return
