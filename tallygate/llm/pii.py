@@ -13,7 +13,8 @@ from __future__ import annotations
 import hashlib
 import random
 import re
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Iterable, Iterator
 from functools import cache
 
 import numpy as np
@@ -275,19 +276,44 @@ def trained(seed: int = 20240517, count: int = 6000) -> tuple[Trees, dict[str, f
     return trees, thresholds
 
 
+class Taken:
+    """Stretches of a text, merged and in order, so that one look-up tells whether a span meets any."""
+
+    def __init__(self, spans: Iterable[tuple[int, int]]):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for a, b in sorted(spans):
+            if self.ends and a <= self.ends[-1]:
+                self.ends[-1] = max(b, self.ends[-1])
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def meets(self, start: int, end: int) -> bool:
+        i = bisect_left(self.starts, end) - 1
+        return i >= 0 and self.ends[i] > start
+
+    def add(self, start: int, end: int) -> None:
+        """Take a span that meets none."""
+        i = bisect_left(self.starts, start)
+        self.starts.insert(i, start)
+        self.ends.insert(i, end)
+
+
 def all_spans(text: str, trees: Trees, thresholds: dict[str, float]) -> tuple[list, list]:
     """(base spans, all spans), each by kind, then start."""
     base = base_spans(text)
-    taken = sorted((a, b) for _, a, b in base)
-    proposed = [c for c in candidates(text) if not any(a < c[2] and c[1] < b for a, b in taken)] if text else []
+    taken = Taken((a, b) for _, a, b in base)
+    proposed = [c for c in candidates(text) if not taken.meets(*c[1:])] if text else []
     if not proposed:
         return base, base
     p = trees.probability(np.array([describe(text, *c) for c in proposed]))
-    added: list[tuple[str, int, int]] = []
+    added, own = [], Taken(())
     for i in sorted(range(len(p)), key=lambda i: (-p[i], proposed[i][1], proposed[i][2])):
         kind, a, b = proposed[i]
-        if p[i] > thresholds[kind] and not any(x < b and a < y for _, x, y in added):
+        if p[i] > thresholds[kind] and not own.meets(a, b):
             added.append(proposed[i])
+            own.add(a, b)
     return base, sorted([*base, *added], key=lambda s: (KINDS.index(s[0]), s[1]))
 
 

@@ -5,6 +5,7 @@ import collections
 import hashlib
 import math
 import random
+import time
 import re
 import textwrap
 import zlib
@@ -110,6 +111,18 @@ def test_packing_round_trip(docs, none):
         fills.append(at)
         assert at <= 64
     assert sum(f < 64 for f in fills) <= 3  # one a task
+
+
+def test_packing_a_long_document():
+    """Windows are views of the document, so that its length costs no square; the rest is a copy that doesn't hold it."""
+    n, size = 4_000_003, 2048
+    ids, packer, begun = np.arange(n, dtype="<u4").tobytes(), packing.Packer(size), time.monotonic()
+    full = list(packer.add(packing.Piece(7, 0, ids, n)))
+    assert time.monotonic() - begun < 5
+    ((rest,),) = packer.finish()
+    pieces = [p for (p,) in full] + [rest]
+    assert [p.start for p in pieces] == list(range(0, n, size)) and b"".join(bytes(p.ids) for p in pieces) == ids
+    assert isinstance(rest.ids, bytes) and {p.doc_tokens for p in pieces} == {n}
     assert packing.pack(none, path).count() == 0
     for text in ("a <|endoftext|> b", "<|endoftext|>", "x  <|endoftext|>  \n<|endoftext|><|endoftext|>é", "<|endoftext| <|ENDOFTEXT|>", "\n\n <|endoftext|>\n\n", " " * 9):
         assert packing.Encoder(path).encode(text) == np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -198,6 +211,32 @@ def test_personal_data(spark, none):
         left = PERSONAL[r.doc_id]
         assert r.redacted is None if left is None else not any(left[a:b] in r.redacted for k, a, b in found if b - a > 8)
     assert pii.find_personal_data(none).count() == 0
+
+
+def test_spans_met_are_told_by_one_look_up():
+    """As a comparison with every span tells, of spans that overlap, touch and repeat."""
+    r = random.Random(3)
+    for _ in range(200):
+        spans = [(a, a + r.randint(1, 9)) for a in (r.randint(0, 60) for _ in range(r.randint(0, 8)))]
+        taken = pii.Taken(spans)
+        for _ in range(20):
+            a = r.randint(0, 70)
+            b = a + r.randint(1, 9)
+            assert taken.meets(a, b) == any(x < b and a < y for x, y in spans)
+            if not taken.meets(a, b):
+                taken.add(a, b)
+                spans.append((a, b))
+
+
+def test_personal_data_of_a_long_list():
+    """A hundred thousand addresses in one text, written plainly and out, take seconds."""
+    begun = time.monotonic()
+    plain = " ".join(f"u{i}@mail{i}.com" for i in range(100_000))
+    found, every = pii.all_spans(plain, *pii.trained())
+    assert len(found) == len(every) == 100_000
+    written = " ".join(f"email u{i} [at] mail{i} [dot] com," for i in range(20_000))
+    assert len(pii.all_spans(written, *pii.trained())[1]) == 20_000
+    assert time.monotonic() - begun < 60
     assert pii.redact("x a@b.c y", [("email", 2, 7)]) == "x <EMAIL> y"
     out = pii.redact_documents(df.selectExpr("doc_id", "text", "1 as spans"))
     assert out.columns == ["doc_id", "text", "spans"] and "@mail0" not in out.where("doc_id = 0").first().text
