@@ -186,18 +186,19 @@ def _matrix(f: pd.DataFrame, width: int) -> np.ndarray:
     return np.concatenate([np.asarray(x).reshape(-1, width) for x in f.sort_values("first")["x"]])
 
 
-def pairwise_intervals(spark: SparkSession, graph: Graph, label: np.ndarray, elo: np.ndarray, *, resamples: int, seed: int, confidence: float, method: str) -> dict[tuple[int, int], tuple[float, float]]:
-    """Bootstrap intervals of the rating differences of all connected pairs.
+def pairwise_intervals(spark: SparkSession, graph: Graph, label: np.ndarray, elo: np.ndarray, *, resamples: int, seed: int, confidence: float, method: str) -> DataFrame:
+    """(a, b, ci_low, ci_high): bootstrap intervals of the rating differences of all connected pairs, by the nodes' numbers.
 
     A resample redraws the games of every edge and fits the graph once for all pairs. Pairs connected in fewer
     than nine tenths of the resamples get none. Resamples run as tasks, which hand on their draws in blocks of pairs;
-    intervals are computed where a block's draws meet, so the driver gets two numbers a pair.
+    intervals are computed where a block's draws meet, and stay a table.
     """
     i, j = np.triu_indices(graph.nodes, 1)
     keep = label[i] == label[j]
     pairs = np.stack([i[keep], j[keep]], 1)
+    schema = "a long, b long, ci_low double, ci_high double"
     if not len(pairs):
-        return {}
+        return spark.createDataFrame([], schema)
     total = graph.games.sum(1).astype(np.int64)
     effect = elo[pairs[:, 0]] - elo[pairs[:, 1]]
     skew = _acceleration(spark, graph, pairs, effect) if method == "bca" else np.zeros(len(pairs))
@@ -215,6 +216,7 @@ def pairwise_intervals(spark: SparkSession, graph: Graph, label: np.ndarray, elo
     def close(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
         at = int(key[0]) * PAIR_BLOCK
         e, a = (v[at : at + PAIR_BLOCK] for v in sent.value[4:])
+        ends_of = sent.value[1][at : at + PAIR_BLOCK].tolist()
         draws, ends = _matrix(f, len(e)), []
         for k in range(len(e)):
             d = draws[~np.isnan(draws[:, k]), k]
@@ -226,13 +228,12 @@ def pairwise_intervals(spark: SparkSession, graph: Graph, label: np.ndarray, elo
                 lo, hi = numeric.bca_interval(d, e[k], a[k], confidence)
             else:
                 lo, hi = numeric.percentile_interval(d, confidence)
-            ends.append((at + k, lo, hi))
-        return pd.DataFrame(ends, columns=["pair", "lo", "hi"])
+            ends.append((*ends_of[k], lo, hi))
+        return pd.DataFrame(ends, columns=["a", "b", "ci_low", "ci_high"])
 
     slices = max(1, min(resamples, 2 * spark.sparkContext.defaultParallelism))
     draws = spark.range(0, resamples, 1, slices).mapInPandas(run, "block long, first long, x array<double>")
-    rows = draws.groupBy("block").applyInPandas(close, "pair long, lo double, hi double").collect()
-    return {(int(pairs[r.pair, 0]), int(pairs[r.pair, 1])): (r.lo, r.hi) for r in rows}
+    return draws.groupBy("block").applyInPandas(close, schema)
 
 
 def _acceleration(spark: SparkSession, graph: Graph, pairs: np.ndarray, effect: np.ndarray) -> np.ndarray:

@@ -80,8 +80,8 @@ def matrix(spark: SparkSession, legacy: Files | list[tuple[str, DataFrame]], mat
         fail("EmptyInput", "there are no records")
     star = all(BASELINE in pair for pair in edges)
     build = _star if star else _general
-    candidates, cells = build(spark, order, summaries, edges, confidence=confidence, resamples=resamples, seed=seed, method=method)
-    return {"schema_version": SCHEMA_VERSION, "confidence": confidence, "candidates": candidates, "matrix": cells}
+    candidates, found = build(spark, order, summaries, edges, confidence=confidence, resamples=resamples, seed=seed, method=method)
+    return {"schema_version": SCHEMA_VERSION, "confidence": confidence, "candidates": candidates, "matrix": found}
 
 
 def first_seen(rows: DataFrame) -> list[str]:
@@ -133,7 +133,7 @@ def _general(spark, order, summaries, edges, *, confidence, resamples, seed, met
         listed.append((number[lo], number[hi], lo_wins, hi_wins, draws))
     g = graph.Graph(len(nodes), listed)
     label, elo = g.fit()
-    cis = graph.pairwise_intervals(spark, g, label, elo, resamples=resamples, seed=seed, confidence=confidence, method=method)
+    intervals = graph.pairwise_intervals(spark, g, label, elo, resamples=resamples, seed=seed, confidence=confidence, method=method)
     totals = {n: [0, 0, 0] for n in nodes}
     for (lo, hi), (lo_wins, hi_wins, draws) in edges.items():
         for n, w in ((lo, lo_wins), (hi, hi_wins)):
@@ -142,14 +142,31 @@ def _general(spark, order, summaries, edges, *, confidence, resamples, seed, met
     for n in order:
         w, d, games = totals[n]
         found.append(_summary(n, float(elo[number[n]]), None, games - w - d, w, games, None, int(label[number[n]])))
-    cells = []
-    for i, a in enumerate(nodes):
-        for j in range(i + 1, len(nodes)):
-            b = nodes[j]
-            joined = label[i] == label[j]
-            status = ("direct" if (min(a, b), max(a, b)) in edges else "inferred") if joined else "disconnected"
-            cells.append(_cell(a, b, float(elo[i] - elo[j]) if joined else None, cis.get((i, j)), status))
-    return found, cells
+    rated = [(n, i, int(label[i]), float(elo[i])) for n, i in number.items()]
+    made = cells(spark.createDataFrame(rated, "node string, place long, component long, elo double"), spark.createDataFrame([*edges], "lo string, hi string"), intervals)
+    ci = lambda r: None if r.ci_low is None else (r.ci_low, r.ci_high)
+    return found, [_cell(r.row_name, r.col_name, r.elo_diff, ci(r), r.status) for r in made.orderBy("row_place", "col_place").collect()]
+
+
+def cells(nodes: DataFrame, edges: DataFrame, intervals: DataFrame | None = None) -> DataFrame:
+    """(row_name, col_name, row_place, col_place, elo_diff, ci_low, ci_high, status) of all pairs, as one declared plan.
+
+    ``nodes`` are (node, place, component, elo), and a pair's row is the end of the lower place. A pair of one component has a
+    difference, and is ``direct`` if ``edges`` (lo, hi; each pair once) holds it, else ``inferred``; other pairs are ``disconnected``.
+    ``intervals`` are (a, b, ci_low, ci_high) by places, a < b. The nodes' join with one another has their number squared as its
+    result, which is what a matrix is.
+    """
+    a, b = (nodes.select(F.col("node").alias(f"{s}_name"), F.col("place").alias(f"{s}_place"), F.col("component").alias(f"{s}_of"), F.col("elo").alias(f"{s}_elo")) for s in ("row", "col"))
+    lo, hi = graph.canonical(F.col("row_name"), F.col("col_name"))
+    pairs = a.join(b, F.col("row_place") < F.col("col_place")).withColumns({"lo": lo, "hi": hi})
+    pairs = pairs.join(edges.select("lo", "hi", F.lit(True).alias("met")), ["lo", "hi"], "left")
+    if intervals is None:
+        pairs = pairs.withColumns({c: F.lit(None).cast("double") for c in ("ci_low", "ci_high")})
+    else:
+        pairs = pairs.join(intervals.withColumnsRenamed({"a": "row_place", "b": "col_place"}), ["row_place", "col_place"], "left")
+    one = F.col("row_of") == F.col("col_of")
+    diff, status = F.when(one, F.col("row_elo") - F.col("col_elo")), F.when(~one, "disconnected").when(F.col("met"), "direct").otherwise("inferred")
+    return pairs.select("row_name", "col_name", "row_place", "col_place", diff.alias("elo_diff"), "ci_low", "ci_high", status.alias("status"))
 
 
 def star_cells(edges: DataFrame, confidence: float) -> DataFrame:

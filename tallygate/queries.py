@@ -748,7 +748,8 @@ def large_graph_components(spark, sf_dir):
     return large_graph.strong_components(nodes, arcs[0].union(arcs[1])).groupBy("component").agg(F.count("*").alias("nodes"))
 
 
-@query(f"""{_components_sql()}, k AS MATERIALIZED (SELECT node, component, row_number() OVER (ORDER BY node) AS i FROM n),
+#: CTE q: the suppliers' ratings (node, component, elo) by four hundred steps.
+_RATED = f"""{_components_sql()}, k AS MATERIALIZED (SELECT node, component, row_number() OVER (ORDER BY node) AS i FROM n),
     w AS (SELECT k.node, k.i, q.i AS pin, coalesce(sum(CASE WHEN k.node = lo THEN lo_wins ELSE hi_wins END + draws / 2.0) FILTER (o.component = k.component), 0)::DOUBLE AS w
         FROM k JOIN k q ON q.node = k.component LEFT JOIN e ON k.node = lo OR k.node = hi LEFT JOIN k o ON o.node = CASE WHEN k.node = lo THEN hi ELSE lo END GROUP BY ALL),
     l AS MATERIALIZED (SELECT list(w ORDER BY i) AS ws, list(pin ORDER BY i) AS pins FROM w),
@@ -756,14 +757,27 @@ def large_graph_components(spark, sf_dir):
         FROM k LEFT JOIN e ON k.node = lo OR k.node = hi LEFT JOIN k o ON o.node = CASE WHEN k.node = lo THEN hi ELSE lo END GROUP BY k.i) z),
     r AS (SELECT list_transform(ws, lambda x: 1.0::DOUBLE) AS s, 0 AS t FROM l
         UNION ALL SELECT list_transform(range(1, len(u) + 1), lambda i: u[i] / u[pins[i]]), t + 1
-        FROM (SELECT list_transform(range(1, len(ws) + 1), lambda i: CASE WHEN ws[i] > 0 THEN ws[i] / list_sum(list_transform(es[i], lambda x: x.n / (s[i] + s[x.j]))) ELSE 1.0 END) AS u, pins, t FROM r, l, p WHERE t < 400) h)
-    SELECT node, component, round(400 * log10(s[i]), 3) + 0.0 AS elo FROM k, r WHERE t = 400""")
+        FROM (SELECT list_transform(range(1, len(ws) + 1), lambda i: CASE WHEN ws[i] > 0 THEN ws[i] / list_sum(list_transform(es[i], lambda x: x.n / (s[i] + s[x.j]))) ELSE 1.0 END) AS u, pins, t FROM r, l, p WHERE t < 400) h),
+    q AS MATERIALIZED (SELECT node, component, 400 * log10(s[i]) AS elo FROM k, r WHERE t = 400)"""
+
+
+@query(f"{_RATED} SELECT node, component, round(elo, 3) + 0.0 AS elo FROM q")
 def large_graph_ratings(spark, sf_dir):
     """Ratings of a graph of many components by steps of joins."""
     made = large_graph.ratings(graph.match_edges(view(spark, sf_dir, _SUPPLIERS), False).drop("error"))
     return made.withColumn("elo", F.round("elo", 3) + F.lit(0.0))
 
 
+@query(f"""{_RATED} SELECT a.node AS row_name, b.node AS col_name, CASE WHEN a.component = b.component THEN round(a.elo - b.elo, 3) + 0.0 END AS elo_diff,
+    CASE WHEN a.component <> b.component THEN 'disconnected' WHEN lo IS NULL THEN 'inferred' ELSE 'direct' END AS status
+    FROM q a JOIN q b ON a.node < b.node LEFT JOIN e ON lo = a.node AND hi = b.node""")
+def large_graph_cells(spark, sf_dir):
+    """All pairs of a graph of many components: differences, and whether the two have met, are only linked or can't be compared."""
+    edges = graph.match_edges(view(spark, sf_dir, _SUPPLIERS), False).drop("error")
+    nodes = large_graph.ratings(edges).withColumn("place", F.col("node"))
+    return matrices.cells(nodes, edges).select("row_name", "col_name", (F.round("elo_diff", 3) + F.lit(0.0)).alias("elo_diff"), "status")
+
+
 _CELLS = "row string, col string, elo_diff double, ci_low double, ci_high double, status string"
 
 
