@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import conversation_repair, decontamination, embedding_dedup, jaccard_join, licences, lm_scoring, packing, periodic_runs, pii, quality, quality_rules, substring_dedup, url_filter
+from .shared import Table
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +61,20 @@ def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan_licences(table(spark, sf_dir, "documents"))
 
 
+def licence_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences found in a table with many copies: of nine documents in a row, seven have become a known text under a holder's
+    line of their own, in capitals or spaced out, one has become such a text with a word more, and one has its own text.
+    """
+    own = table(spark, sf_dir, "documents")
+    k, count = F.pmod("doc_id", F.lit(len(licences.KNOWN) + 2)).cast("int"), len(licences.KNOWN)
+    text = F.get(F.array(*(F.lit(t) for _, t in licences.KNOWN)), F.when(k < count, k).otherwise(0))
+    body = F.when(F.col("doc_id") % 2 == 0, F.translate(text, licences.LOWER, licences.UPPER)).otherwise(F.replace(text, F.lit(" "), F.lit(" - ")))
+    holder = F.concat(F.lit("Copyright (c) 2021 "), F.coalesce("source", F.lit("someone")), F.lit("\n\n"))
+    copied = F.when(k < count, F.concat(holder, body)).when(k == count, F.concat(holder, body, F.lit("\nmore"))).otherwise(F.col("text"))
+    written = Table(own.select("doc_id", copied.alias("text")), "licences")
+    return licences.scan_licences(written.df)
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=13)
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
@@ -90,7 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_packing, op2_url_filter, op3_personal_data, op4_quality, op5_lm_score, op6_jaccard_join, op7_decontamination,
-        op8_quality_rules, op9_licences, op10_substring_dedup, op11_embedding_dedup, op12_periodic_runs, op13_conversation_repair,
+        op8_quality_rules, op9_licences, licence_copies, op10_substring_dedup, op11_embedding_dedup, op12_periodic_runs, op13_conversation_repair,
     )
 }
 
@@ -127,6 +142,20 @@ def _canonical(text: str) -> str:
     return x
 
 
+def _licence_sql(docs: str) -> str:
+    known = ", ".join(f"({_quote(i)}, {_quote(t)})" for i, t in licences.KNOWN)
+    return f"""
+        WITH k AS (SELECT sha256({_canonical("t")}) AS d, min(id) AS license_id FROM (VALUES {known}) v(id, t) GROUP BY d),
+        x AS (SELECT doc_id, sha256({_canonical("text")}) AS digest FROM ({docs}) docs)
+        SELECT doc_id, digest, license_id FROM x LEFT JOIN k ON digest = d"""
+
+
+_COPY = f"CASE doc_id % {len(licences.KNOWN) + 2} {' '.join(f'WHEN {i} THEN {_quote(t)}' for i, (_, t) in enumerate(licences.KNOWN))} WHEN {len(licences.KNOWN)} THEN {_quote(licences.KNOWN[0][1])} END"
+#: SQL for the table of copies: a known text under a holder's line, in capitals or spaced out, or with a word more, or the document.
+_COPIES = f"""SELECT doc_id, CASE WHEN t IS NULL THEN text ELSE 'Copyright (c) 2021 ' || coalesce(source, 'someone') || repeat(chr(10), 2)
+        || CASE WHEN doc_id % 2 = 0 THEN translate(t, '{licences.LOWER}', '{licences.UPPER}') ELSE replace(t, ' ', ' - ') END
+        || CASE WHEN doc_id % {len(licences.KNOWN) + 2} = {len(licences.KNOWN)} THEN chr(10) || 'more' ELSE '' END END AS text
+    FROM (SELECT *, {_COPY} AS t FROM documents) c"""
 _BITS = " + ".join(f"CASE WHEN {rule} THEN {1 << k} ELSE 0 END" for k, (_, rule) in enumerate(quality_rules.RULES))
 _HELD = lambda m: f"(failed & {m}) <> 0"
 
@@ -203,10 +232,8 @@ ORACLE: dict[str, str] = {
         f AS (SELECT *, ({_BITS})::BIGINT AS failed FROM m)
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
             {_HELD(quality_rules.mask("base"))} AS base_failed, NOT {_HELD(quality_rules.mask("v2"))} AS kept, failed FROM f""",
-    "op9_licences": f"""
-        WITH k AS (SELECT sha256({_canonical("t")}) AS d, min(id) AS license_id FROM (VALUES {", ".join(f"({_quote(i)}, {_quote(t)})" for i, t in licences.KNOWN)}) v(id, t) GROUP BY d),
-        x AS (SELECT doc_id, sha256({_canonical("text")}) AS digest FROM documents)
-        SELECT doc_id, digest, license_id FROM x LEFT JOIN k ON digest = d""",
+    "op9_licences": _licence_sql("SELECT doc_id, text FROM documents"),
+    "licence_copies": _licence_sql(_COPIES),
     "op6_jaccard_join": f"""
         WITH RECURSIVE s AS MATERIALIZED ({_shingles("doc_id", "documents", 4)}),
         n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),

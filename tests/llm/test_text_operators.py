@@ -483,6 +483,21 @@ def test_licences(spark, docs, none):
     assert licences.scan_licences(docs).count() == len(corpus()) and licences.scan_licences(none).count() == 0
 
 
+@pytest.mark.parametrize("name", ["op9_licences", "licence_copies"])
+def test_licence_queries(spark, name):
+    """As SQL tells; of the copies all but the changed ones are found, each as its own."""
+    import duckdb
+
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{sf}/documents.parquet')")
+    got = sorted(map(tuple, queries.QUERIES[name](spark, sf).collect()))
+    assert got == sorted(con.execute(f"SELECT doc_id, digest, license_id FROM ({queries.ORACLE[name]}) r").fetchall())
+    if name == "licence_copies":
+        kinds = [k for k, _ in licences.KNOWN]
+        assert all(found == (kinds[i % 9] if i % 9 < 7 else None) for i, _, found in got)
+
+
 def test_licence_files(spark):
     """Whole files, as found and wrapped anew, with headings and holders."""
     wrap = lambda t, n: "\n\n".join(textwrap.fill(" ".join(p.split()), n) for p in t.split("\n\n"))
