@@ -82,10 +82,12 @@ def partitions(spark: SparkSession) -> int:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, which every executor sees; one of our own only where none is set."""
+    """``spark.checkpoint.dir``, which every executor sees; one of our own only where none is set and the master is local."""
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not path:
+        if not sc.master.startswith("local"):
+            raise ValueError("executors need a shared folder: set spark.checkpoint.dir")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tallygate-"))
         path = sc.getCheckpointDir()
     return path

@@ -483,6 +483,15 @@ def test_licences(spark, docs, none):
     assert licences.scan_licences(docs).count() == len(corpus()) and licences.scan_licences(none).count() == 0
 
 
+def test_shared_folder_is_asked_for():
+    from types import SimpleNamespace as Fake
+
+    nothing = Fake(get=lambda key, default: default)
+    cluster = Fake(conf=nothing, sparkContext=Fake(master="spark://host:7077", getCheckpointDir=lambda: None))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared.shared_dir(cluster)
+
+
 @pytest.mark.parametrize("name", ["op9_licences", "licence_copies"])
 def test_licence_queries(spark, name):
     """As SQL tells; of the copies all but the changed ones are found, each as its own."""
