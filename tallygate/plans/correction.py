@@ -27,7 +27,10 @@ def achieved_alpha(m: Metric, report: dict, confidence: float) -> float:
 
 
 def adjust(achieved: list[float | None], alpha: float, method: str) -> list[tuple[float | None, bool | None]]:
-    """(threshold, stands) of each claim; None for those that make none. The family is all of them."""
+    """(threshold, stands) of each claim; None for those that make none. The family is all of them.
+
+    Holm takes claims of one level, as FLOOR is for all that lie below it, in their order.
+    """
     m = len(achieved)
     out: list[tuple[float | None, bool | None]] = [(None, None)] * m
     standing = True

@@ -74,3 +74,14 @@ def test_dense_matrix(spark, duck):
 
 def test_horizon(spark):
     assert 0.2 < queries.QUERIES["sprt_horizon"](spark, SF).first().probability_no_decision_by_horizon < 0.9
+
+
+def test_claims_of_one_level_keep_their_order(spark, tmp_path):
+    """Both levels lie below the least one searched, where rounding would order them in SQL."""
+    prices = [1100.0] * 300 + [900.0] * 30 + [1010.0] * 10
+    lines = [(o, k, p, f) for o, x in enumerate(prices) for k, p, f in ((1, 1000.0, "N"), (2, x, "R"))]
+    pd.DataFrame(lines, columns=["l_orderkey", "l_linenumber", "l_extendedprice", "l_returnflag"]).to_parquet(tmp_path / "lineitem.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view lineitem as select * from read_parquet('{tmp_path}/lineitem.parquet')")
+    a, b = queries.QUERIES["claim_correction"](spark, str(tmp_path)).collect(), con.execute(queries.ORACLE["claim_correction"]).fetchall()
+    assert sorted(map(tuple, a)) == sorted(b) and {r.metric: r.adjusted_alpha_threshold for r in a} == {"winrate": 0.025, "sign-test": 0.05}
