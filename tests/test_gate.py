@@ -1,6 +1,7 @@
 """Reports over small inputs, against values known from elsewhere."""
 
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -511,3 +512,26 @@ def test_quantile_intervals_cover(q):
         lo, hi = numeric.percentile_interval(bootstrap_quantiles(lambda r, x=x: x[r], 60, q, 400, sample), 0.9)
         hit += lo <= true <= hi
     assert 0.83 < hit / 400 < 0.96
+
+
+def test_pairs_of_nodes_are_not_moved(spark):
+    """Cells against all pairs one by one, places unlike names; no exchange lies above the join that makes the pairs."""
+    import random
+
+    from tallygate.plans.matrix import cells
+
+    r = random.Random(3)
+    nodes = [(f"n{i}", (7 * i) % 40, i % 3, float(i)) for i in range(40)]
+    met = {tuple(sorted(r.sample([n[0] for n in nodes], 2))) for _ in range(200)}
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        made = cells(spark.createDataFrame(nodes, "node string, place long, component long, elo double"), spark.createDataFrame(sorted(met), "lo string, hi string"))
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        got = {(c.row_name, c.col_name): (c.elo_diff, c.status) for c in made.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    status = lambda a, b: "disconnected" if a[2] != b[2] else "direct" if tuple(sorted((a[0], b[0]))) in met else "inferred"
+    assert got == {(a[0], b[0]): (a[3] - b[3] if a[2] == b[2] else None, status(a, b)) for a in nodes for b in nodes if a[1] < b[1]}
+    above = plan[: re.search(r"(Join|CartesianProduct).*row_place.*<.*col_place", plan).start()]
+    assert "Exchange" not in above
