@@ -342,7 +342,7 @@ _COUNTED = f"SELECT squad, id, max(ts) AS last, count(*) AS n, sum(CASE result W
 def stream_pairs(spark, sf_dir):
     """Pentanomial counts by day and squad from micro-batches in event time, with repeated and late deliveries."""
     rows = view(spark, sf_dir, _DELIVERED)
-    days = rows.select(F.datediff("arrival", F.lit("2024-01-01").cast("date")).alias("day"), *rows.columns)
+    days = Table(rows.select(F.datediff("arrival", F.lit("2024-01-01").cast("date")).alias("day"), *rows.columns), "delivered").df
     last = view(spark, sf_dir, "SELECT max(ts) AS ts FROM {events}").first()["ts"]
     end = spark.createDataFrame([(0, "end", -1, "draw", last + timedelta(days=400))], "squad long, id string, line long, result string, ts timestamp")
     pieces = [days.where(F.floor(F.col("day") / 11) == k).drop("day", "arrival") for k in range(3)]

@@ -535,3 +535,40 @@ def test_pairs_of_nodes_are_not_moved(spark):
     assert got == {(a[0], b[0]): (a[3] - b[3] if a[2] == b[2] else None, status(a, b)) for a in nodes for b in nodes if a[1] < b[1]}
     above = plan[: re.search(r"(Join|CartesianProduct).*row_place.*<.*col_place", plan).start()]
     assert "Exchange" not in above
+
+
+def test_ids_of_a_part_share_a_state_and_a_timer():
+    """A thousand ids in two calls and one of the timer: pairs, a repeated record, third records, and halves given up once their time is over."""
+    import pandas as pd
+
+    from tallygate.streaming.windows import PairUp
+
+    class State:
+        value = None
+        get = lambda self: self.value
+        update = lambda self, v: setattr(self, "value", v)
+        clear = lambda self: setattr(self, "value", None)
+
+    class Handle:
+        def __init__(self):
+            self.state, self.timers = State(), set()
+            self.getValueState = lambda *_: self.state
+            self.registerTimer, self.deleteTimer = self.timers.add, self.timers.remove
+
+    class Clock:
+        getCurrentWatermarkInMs = getExpiryTimeInMs = lambda self: 1_600
+
+    handle, pairs = Handle(), PairUp(["team", "id"], 1_000)
+    pairs.init(handle)
+    frame = lambda rows: pd.DataFrame(rows, columns=["team", "id", "line", "points", "ms"])
+    first = list(pairs.handleInputRows((0,), iter([frame([("x", f"i{k}", k, k % 3, k) for k in range(700)]), frame([("x", f"i{k}", k, k % 3, k) for k in range(1000)])]), None))
+    assert sum(map(len, first)) == 0 and handle.timers == {1_000}
+    second = pd.concat(pairs.handleInputRows((0,), iter([frame([("x", f"i{k}", 5000 + k, 1, 2_000) for k in range(0, 1000, 2)] + [("x", "i0", 9000, 1, 1_500)])]), None))
+    assert len(second) == 501 and second["bucket"].tolist() == [k % 3 + 1 for k in range(0, 1000, 2)] + [-1]
+    assert (second["completed"].astype("datetime64[ms]").astype("int64") == 2_000).all() and handle.timers == {1_001}
+    handle.timers.clear()  # it fires
+    clock = Clock()
+    clock.getExpiryTimeInMs = lambda: 1_001
+    gone = pd.concat(pairs.handleExpiredTimer((0,), clock, clock))
+    assert gone["id"].tolist() == [f"i{k}" for k in range(1, 601, 2)] and gone["bucket"].isna().all() and handle.timers == {1_601}
+    assert (gone["completed"].astype("datetime64[ms]").astype("int64") == [1_000 + k for k in range(1, 601, 2)]).all()
