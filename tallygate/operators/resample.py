@@ -46,6 +46,8 @@ MIX = ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1))
 DRAW, MIX32 = 0x9E3779B9, ((16, 0x7FEB352D), (15, 0x846CA68B), (16, 1))
 #: Rows of a block, blocks that are drawn from together, draws of a split that are made one by one.
 BLOCK, TOGETHER, SINGLY = 1024, 64, 64
+#: Draws that are made at a time, and the least number of pieces that a part's resamples fall in, which bounds a piece's sums.
+CELLS, PIECES = 1 << 16, 8
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -55,15 +57,39 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def places(bits: np.ndarray, most: int, size: int) -> np.ndarray:
-    """A row a stream, named by 64 bits: its first draws from 0 to size - 1. The low half starts a counter, the high half enters its mixing."""
-    x = bits.astype(np.uint32)[:, None] + np.arange(most, dtype=np.uint32) * np.uint32(DRAW)
-    for i, (shift, factor) in enumerate(MIX32):
-        x ^= x >> np.uint32(shift)
-        x *= np.uint32(factor)
-        if i == 0:
-            x ^= (bits >> np.uint64(32)).astype(np.uint32)[:, None]
-    return (x.astype(np.uint64) * np.uint64(size) >> np.uint64(32)).astype(np.intp)
+def block_sums(values: np.ndarray, k: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """For each resample, the sum of the k values that its stream draws from a block.
+
+    A stream is named by 64 bits: the low half starts a counter, the high half enters its mixing. Streams are taken in order of
+    length, CELLS draws at a time in memory that is used again, so that few draws are made in vain and all stay in the cache.
+    """
+    total, most = np.zeros(len(k)), int(k.max(initial=0))
+    if not most:
+        return total
+    order, rows = np.argsort(k, kind="stable"), max(1, CELLS // most)
+    steps = np.arange(most, dtype=np.uint32) * np.uint32(DRAW)
+    low, high, size = bits.astype(np.uint32), (bits >> np.uint64(32)).astype(np.uint32), np.uint64(len(values))
+    space = [np.empty(rows * most, t) for t in (np.uint32, np.uint32, np.uint64, float)]
+    for at in range(0, len(k), rows):
+        own = order[at : at + rows]
+        least, width = int(k[own[0]]), int(k[own[-1]])
+        if not width:
+            continue
+        x, shifted, place, drawn = (a[: len(own) * width].reshape(len(own), width) for a in space)
+        np.add(low[own, None], steps[:width], out=x)
+        for i, (shift, factor) in enumerate(MIX32):
+            np.right_shift(x, np.uint32(shift), out=shifted)
+            np.bitwise_xor(x, shifted, out=x)
+            if factor != 1:
+                np.multiply(x, np.uint32(factor), out=x)
+            if i == 0:
+                np.bitwise_xor(x, high[own, None], out=x)
+        np.multiply(x, size, out=place)
+        np.right_shift(place, np.uint64(32), out=place)
+        np.take(values, place.view(np.int64), out=drawn, mode="clip")
+        drawn[:, least:] *= np.arange(least, width) < k[own, None]
+        total[own] = drawn.sum(1)
+    return total
 
 
 def _counter(x: np.ndarray, by: int, step: int = STEP) -> np.ndarray:
@@ -115,11 +141,7 @@ def drawn_sums(values: np.ndarray, n: int, part: int, seed: int, resamples: np.n
     total = np.zeros(len(resamples))
     for b, k, bits in shares(n, blocks, seed, resamples, first, last):
         lo, hi = (i * n // blocks - first * n // blocks for i in (b, b + 1))
-        v, most = values[lo:hi], int(k.max(initial=0))
-        for at in range(0, len(k), rows := max(1, 200_000 // max(1, most))):
-            own = slice(at, at + rows)
-            drawn = v[places(bits[own], most, len(v))]
-            total[own] += (drawn * (np.arange(most) < k[own, None])).sum(1)
+        total += block_sums(values[lo:hi], k, bits)
     return total
 
 
@@ -136,9 +158,12 @@ def bootstrap_means(values: DataFrame, value: str, resamples: int, seed: int, by
     block = F.floor(((F.col("rank") + 1) * blocks - 1) / F.col("n"))
     group = F.struct(F.lit(0).alias("_"), *by).alias("g")
     parts = rows.select(group, "n", F.floor(block / together).cast("long").alias("part"), value).groupBy("g", "n", "part").agg(F.sort_array(F.collect_list(value)).alias("v"))
-    work = spark.sparkContext.defaultParallelism * 2
-    slices = F.greatest(F.lit(1), F.least(F.lit(max(1, resamples // 64)), F.floor(F.lit(work) * F.col("n") / (size * 8 * (blocks / together + 1))))).cast("int")
-    dealt = parts.withColumn("slices", slices).withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).repartition("g", "part", "slice")
+    # As many pieces as keep all tasks busy, few for a small group, and no more copies of the values than that needs.
+    work = spark.sparkContext.defaultParallelism * 8
+    of_part = F.ceil(F.lit(work) / F.ceil(blocks / together))
+    wanted = F.least(F.floor(F.lit(work // 4) * F.col("n") / (size * 8)), F.greatest(of_part, F.lit(PIECES)))
+    slices = F.greatest(F.lit(1), F.least(F.lit(max(1, resamples // 64)), wanted)).cast("int")
+    dealt = parts.withColumn("slices", slices).withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).repartition(work, "g", "part", "slice")
     kind = next(f for f in dealt.schema if f.name == "g").dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

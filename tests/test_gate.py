@@ -572,3 +572,26 @@ def test_ids_of_a_part_share_a_state_and_a_timer():
     gone = pd.concat(pairs.handleExpiredTimer((0,), clock, clock))
     assert gone["id"].tolist() == [f"i{k}" for k in range(1, 601, 2)] and gone["bucket"].isna().all() and handle.timers == {1_601}
     assert (gone["completed"].astype("datetime64[ms]").astype("int64") == [1_000 + k for k in range(1, 601, 2)]).all()
+
+
+def test_sums_of_a_block_are_those_of_single_draws(monkeypatch):
+    """Streams of any lengths, some empty, whatever is drawn at a time; every draw mixed by itself in whole numbers."""
+    import numpy as np
+
+    from tallygate.operators import resample
+
+    def place(bits: int, j: int, size: int) -> int:
+        x, high = (bits + j * resample.DRAW) % 2**32, bits >> 32
+        for i, (shift, factor) in enumerate(resample.MIX32):
+            x = (x ^ (x >> shift)) * factor % 2**32
+            x ^= high if i == 0 else 0
+        return x * size >> 32
+
+    g = np.random.default_rng(5)
+    values, k, bits = g.normal(size=53), g.integers(0, 70, 40), g.integers(0, 2**64, 40, np.uint64)
+    k[:3] = 0
+    expected = [sum(values[place(int(b), j, 53)] for j in range(n)) for b, n in zip(bits, k)]
+    for cells in (1, 100, 1 << 16):
+        monkeypatch.setattr(resample, "CELLS", cells)
+        assert resample.block_sums(values, k, bits) == pytest.approx(expected, abs=1e-9)
+    assert resample.block_sums(values, k * 0, bits).tolist() == [0] * 40
