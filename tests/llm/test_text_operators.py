@@ -11,6 +11,7 @@ import textwrap
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tallygate.llm import boosting, decontamination, jaccard_join, licences, lm_scoring, packing, pii, quality, quality_rules, queries, shared, substring_dedup, url_filter
@@ -563,3 +564,26 @@ def test_doubling_levels(spark, none):
                     expected[(i, j)] = n
     assert got == expected
     assert substring_dedup.levels(none).count() == 0 and substring_dedup.remove_repeats(none).count() == 0
+
+
+@pytest.mark.parametrize("given, most", [(None, 4 << 20), ("1g", 4 << 20), ("1m", 1 << 20)])
+def test_python_workers_are_handed_short_batches(spark, given, most):
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+    def told(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([shared.pack_array(np.array([b.num_rows, b.nbytes]))], pa.binary())], names=["x"])
+
+    usual = spark.conf.get(setting)
+    sizes = spark.range(5000, numPartitions=1).selectExpr("id", "repeat('x', 4000) as text").mapInArrow(told, "x binary")
+    try:
+        if given:
+            spark.conf.set(setting, given)
+        now = spark.conf.get(setting)
+        seen = [np.frombuffer(zlib.decompress(r.x), np.int64) for r in shared.Table(sizes, "sizes").df.collect()]
+        folded = shared.fold_arrays(sizes, np.int64, np.maximum, np.zeros(2, np.int64))
+        assert spark.conf.get(setting) == now
+    finally:
+        spark.conf.set(setting, usual)
+    assert sum(n for n, _ in seen) == 5000
+    assert max(b for _, b in seen) == folded[1] <= most + 10_000
