@@ -13,6 +13,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tallygate.llm import boosting, decontamination, jaccard_join, licences, lm_scoring, packing, pii, quality, quality_rules, queries, shared, substring_dedup, url_filter
 
@@ -348,6 +349,35 @@ def test_lm_learns_what_it_has_not_seen(spark):
     assert len(held) > 80 and held.score.sum() > 0.97 * held.base_score.sum() and (held.score > held.base_score).mean() > 0.85
 
 
+def test_lm_words_beyond_the_table_count_alike(spark, monkeypatch):
+    """Scores are the same whether words are looked up in the table or by the join, and long words are words like others."""
+    long = ["x" * 90 + str(i) for i in range(6)]
+    rows = [(i, " ".join(("red", "sea", long[i % 3], f"n{i % 7}", "calm") if i % 2 else ("der", long[3 + i % 3], "see", f"m{i % 5}", f"u{i}")) * 5) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    scores = lambda d: {r.doc_id: (r.base_score, r.n_known, r.score) for r in lm_scoring.lm_scores(d).collect()}
+    whole = scores(df)
+    monkeypatch.setattr(lm_scoring, "VOCABULARY", 5)
+    joined = scores(df)
+    for i, x in whole.items():
+        assert joined[i] == pytest.approx(x, rel=1e-3)
+
+
+def test_lm_trains_until_a_pass_gains_little(spark, monkeypatch):
+    steps, step = [], lm_scoring._step
+    monkeypatch.setattr(lm_scoring, "_step", lambda *a: steps.append(a) or step(*a))
+    df = spark.createDataFrame([(i, " ".join("abcdefg"[(i + j) % 7] * (1 + i % 3) for j in range(40))) for i in range(80)], "doc_id long, text string")
+    first = lm_scoring.lm_scores(df).agg(F.sum("score")).first()[0]
+    assert len(steps) > 3
+    monkeypatch.setattr(lm_scoring, "GAIN", 100.0)
+    assert first > lm_scoring.lm_scores(df).agg(F.sum("score")).first()[0]
+
+
+def test_lm_with_nothing_learnt(spark):
+    unseen = [i for i in range(200) if zlib.crc32(str(i).encode()) % 10 == 0]
+    rows = lm_scoring.lm_scores(spark.createDataFrame([(i, "a b c") for i in unseen], "doc_id long, text string")).collect()
+    assert len(rows) == len(unseen) and all(r.train_tokens == 0 and r.base_score == 0 and r.score == pytest.approx(0, abs=1e-5) for r in rows)
+
+
 def test_lm_is_a_distribution():
     counts = np.array([5, 3, 2])
     v = lm_scoring.Vocabulary({b"a": 0, b"b": 1, b" ": 2}, counts, 14, 6, lm_scoring.word_classes(counts, np.eye(3, lm_scoring.SKETCH)))
