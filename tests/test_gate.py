@@ -595,3 +595,21 @@ def test_sums_of_a_block_are_those_of_single_draws(monkeypatch):
         monkeypatch.setattr(resample, "CELLS", cells)
         assert resample.block_sums(values, k, bits) == pytest.approx(expected, abs=1e-9)
     assert resample.block_sums(values, k * 0, bits).tolist() == [0] * 40
+
+
+def test_pairs_of_unlike_components_bring_no_edges(spark):
+    """They are made apart from the others, from names alone; each pair comes once, with its interval."""
+    from tallygate.plans.matrix import cells
+
+    nodes = [(f"n{i}", 30 - i, i % 4, float(i)) for i in range(30)]
+    ends = [(30 - b, 30 - a, 1.0 * a, 2.0 * b) for a in range(30) for b in range(a) if a % 4 == b % 4]  # (place, place, low, high), lower place first
+    ends = [(min(a, b), max(a, b), x, y) for a, b, x, y in ends]
+    met = [("n0", "n4"), ("n1", "n2")]
+    made = cells(spark.createDataFrame(nodes, "node string, place long, component long, elo double"), spark.createDataFrame(met, "lo string, hi string"), spark.createDataFrame(ends, "a long, b long, ci_low double, ci_high double"))
+    branches = made._jdf.queryExecution().optimizedPlan().children()
+    assert branches.size() == 2 and "disconnected" in branches.apply(0).toString() and "met" not in branches.apply(0).toString()
+    interval = {(a, b): (x, y) for a, b, x, y in ends}
+    got = [(c.row_name, c.col_name, c.elo_diff, c.ci_low, c.ci_high, c.status) for c in made.collect()]
+    status = lambda a, b: "disconnected" if a[2] != b[2] else "direct" if tuple(sorted((a[0], b[0]))) in met else "inferred"
+    want = [(a[0], b[0], a[3] - b[3] if a[2] == b[2] else None, *interval.get((a[1], b[1]), (None, None)), status(a, b)) for a in nodes for b in nodes if a[1] < b[1]]
+    assert sorted(got, key=lambda x: x[:2]) == sorted(want, key=lambda x: x[:2])
